@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from opsframe.llm.mixing import fair_mix
+from opsframe.llm.secret_scan import scan_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,13 @@ def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op7_fair_mix": op7_fair_mix,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
