@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opsframe.llm.mixing import fair_mix
 from opsframe.llm.secret_scan import scan_secrets
+from opsframe.llm.token_counts import count_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return count_tokens(table(spark, sf_dir, "documents"), f.read())
+
+
 QUERIES = {
+    "op4_token_counts": op4_token_counts,
     "op7_fair_mix": op7_fair_mix,
     "op10_secret_scan": op10_secret_scan,
 }
