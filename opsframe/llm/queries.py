@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from opsframe.llm.mixing import fair_mix
+from opsframe.llm.quality import quality_rules
 from opsframe.llm.secret_scan import scan_secrets
 from opsframe.llm.token_counts import count_tokens
 
@@ -28,9 +29,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return count_tokens(table(spark, sf_dir, "documents"), f.read())
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op7_fair_mix": op7_fair_mix,
+    "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
 
