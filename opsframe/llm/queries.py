@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from opsframe.llm.langid import fit_language_model, identify_language
 from opsframe.llm.mixing import fair_mix
 from opsframe.llm.quality import quality_rules
 from opsframe.llm.secret_scan import scan_secrets
@@ -22,6 +24,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def fold(modulus: int, rest: int, id_col: str = "doc_id") -> Column:
+    """Whether a document's id falls into the given remainder of its checksum."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == rest, F.lit(False))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(4, 2))
+    model = fit_language_model(docs, ~F.col("held_out"))
+    return identify_language(docs, model, keep=("held_out",))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,6 +47,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
     "op4_token_counts": op4_token_counts,
     "op7_fair_mix": op7_fair_mix,
     "op9_quality_rules": op9_quality_rules,
