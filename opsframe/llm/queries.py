@@ -10,6 +10,7 @@ from opsframe.llm.mixing import fair_mix
 from opsframe.llm.quality import quality_rules
 from opsframe.llm.secret_scan import scan_secrets
 from opsframe.llm.token_counts import count_tokens
+from opsframe.llm.toxicity import fit_neighbourhood, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, model, keep=("held_out",))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(5, 0))
+    model = fit_neighbourhood(docs, table(spark, sf_dir, "labels"), ~fold(5, 0))
+    return score_toxicity(docs, model, keep=("held_out",))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +55,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op7_fair_mix": op7_fair_mix,
     "op9_quality_rules": op9_quality_rules,

@@ -94,20 +94,33 @@ class Words:
         self.bounds = np.searchsorted(self.start, offsets)
         self.lower = lower
         self._hash: np.ndarray | None = None
+        self._running: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    @property
+    def running(self) -> np.ndarray:
+        """Running polynomial hash of the bytes; ranges of bytes are hashed by differences of it."""
+        if self._running is None:
+            power, _ = _power_tables(len(self.raw) + 1)
+            value = _BYTE[_LOWER[self.raw]] if self.lower else _BYTE[self.raw]
+            self._running = np.zeros(len(self.raw) + 1, np.uint64)
+            np.cumsum(value * power[: len(self.raw)], out=self._running[1:])
+        return self._running
+
+    def prefix(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of at least ``length`` bytes, and hashes of their first ``length`` bytes."""
+        have = np.flatnonzero(self.end - self.start >= length)
+        at = self.start[have]
+        return have, mix((self.running[at + length] - self.running[at]) * _power_tables(0)[1][at] + _LANES[length])
+
     @property
     def hash(self) -> np.ndarray:
         """A 64-bit hash of each word, A-Z lower-cased if asked for."""
         if self._hash is None:
-            power, inverse = _power_tables(len(self.raw) + 1)
-            value = _BYTE[_LOWER[self.raw]] if self.lower else _BYTE[self.raw]
-            total = np.zeros(len(self.raw) + 1, np.uint64)
-            np.cumsum(value * power[: len(self.raw)], out=total[1:])
-            h = (total[self.end] - total[self.start]) * inverse[self.start]
+            h = (self.running[self.end] - self.running[self.start]) * _power_tables(0)[1][self.start]
             self._hash = mix(h + (self.end - self.start).astype(np.uint64) * _LANES[15])
         return self._hash
 
