@@ -36,13 +36,17 @@ class Neighbourhood:
     toxic: np.ndarray
     weights: list[np.ndarray]  # for each block: vocabulary x examples
     peaks: np.ndarray  # vocabulary x blocks
-    prior: float
+    stands_for: np.ndarray  # labelled documents for each example, by label
     slope: float = 1.0
     shift: float = 0.0
 
     @classmethod
-    def build(cls, terms: np.ndarray, df: np.ndarray, n: int, rows: list[tuple[int, int, np.ndarray, np.ndarray]], prior: float) -> Neighbourhood:
-        """``rows``: id, label, vocabulary places and term counts of each example."""
+    def build(cls, terms: np.ndarray, df: np.ndarray, sampled: dict[int, int], labelled: dict[int, int], rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Neighbourhood:
+        """``rows``: id, label, vocabulary places and term counts of each example that has a vocabulary term.
+
+        ``sampled`` and ``labelled``: examples and all labelled documents of each label.
+        """
+        n = sum(sampled.values())
         idf = np.log1p(n / df).astype(np.float32)
         rows = sorted(rows, key=lambda r: (r[1], r[2][np.argmax(idf[r[2]])], r[0]))  # like examples share blocks, which keeps bounds tight
         n_blocks = max(1, -(-len(rows) // BLOCK))
@@ -52,9 +56,10 @@ class Neighbourhood:
             weights[i // BLOCK][place, i % BLOCK] = v / np.sqrt((v * v).sum())
         out = cls(
             terms, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32), weights,
-            np.stack([w.max(1) for w in weights], 1), prior,
+            np.stack([w.max(1) for w in weights], 1),
+            np.array([labelled[k] / sampled[k] for k in (0, 1)]),
         )
-        out.calibrate()
+        out.calibrate(sampled)
         return out
 
     def vectors(self, place: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -90,25 +95,28 @@ class Neighbourhood:
         return best, who
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
-        """Share of the toxic among the neighbours, weighted by closeness; one clean vote of weight 0.1 stands against none."""
-        w = np.where(who >= 0, 1 / (1.05 - best), 0)
+        """Share of the toxic among the neighbours, weighted by closeness and by how many labelled documents each stands for."""
+        w = np.where(who >= 0, 1 / (1.05 - best), 0) * (self.stands_for / self.stands_for.min())[self.toxic[who].astype(int)]
         return (w * self.toxic[who]).sum(1) / (w.sum(1) + 0.1)
 
-    def calibrate(self) -> None:
-        """Logistic calibration of left-one-out votes, with classes weighted back to their share in the labels."""
+    def calibrate(self, sampled: dict[int, int]) -> None:
+        """Logistic calibration of left-one-out votes; an example stands for as many labelled documents as its label's sample does."""
         q = np.concatenate(self.weights, 1).T[: len(self.ids)]
         best, who = self.nearest(q, NEIGHBOURS + 1)
         own = who == np.arange(len(q))[:, None]
-        best, who = np.where(own, 0, best), np.where(own, -1, who)
-        v = self.votes(best, who).astype(np.float64)
+        v = self.votes(np.where(own, 0, best), np.where(own, -1, who)).astype(np.float64)
         y = self.toxic.astype(np.float64)
-        w = np.where(y > 0, self.prior / max(y.mean(), 1e-9), (1 - self.prior) / max(1 - y.mean(), 1e-9))
+        missing = [sampled[k] - (y == k).sum() for k in (0, 1)]  # examples without a vocabulary term get no vote
+        v, y = np.append(v, [0.0, 0.0]), np.append(y, [0.0, 1.0])
+        w = self.stands_for[y.astype(int)]
+        w[-2:] *= missing
+        w *= 1000 / w.sum()
         a, b = 4.0, -2.0
-        for _ in range(50):  # Newton steps with a little ridge
+        for _ in range(100):  # Newton steps with a little ridge
             p = 1 / (1 + np.exp(-(a * v + b)))
-            r, h = w * (p - y), w * p * (1 - p) + 1e-9
-            g = np.array([(r * v).sum() + 0.5 * (a - 6), r.sum() + 0.05 * b])
-            m = np.array([[(h * v * v).sum() + 0.5, (h * v).sum()], [(h * v).sum(), h.sum() + 0.05]])
+            r, h = w * (p - y), w * p * (1 - p)
+            g = np.array([(r * v).sum() + 0.1 * a, r.sum() + 0.1 * b])
+            m = np.array([[(h * v * v).sum() + 0.1, (h * v).sum()], [(h * v).sum(), h.sum() + 0.1]])
             step = np.linalg.solve(m, g)
             a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
         self.slope, self.shift = float(max(a, 0.1)), float(b)
@@ -137,7 +145,7 @@ def fit_neighbourhood(
 
     The sample is taken by a hash of the id, about ``toxic_rows`` and
     ``clean_rows``.  The vocabulary is the ``vocabulary`` terms whose document
-    counts differ most between the labels (chi-squared of at least 25, in at
+    counts differ most between the labels (chi-squared of at least 40, in at
     least 5 examples).  A document labelled more than once counts as toxic if
     any label says so.
     """
@@ -174,7 +182,7 @@ def fit_neighbourhood(
     each = found.groupBy("term").agg(a.alias("a"), df.alias("df")).where("df >= 5")
     b, c, e = F.col("df") - F.col("a"), n1 - F.col("a"), n0 - (F.col("df") - F.col("a"))
     chi = (n1 + n0) * F.pow(F.col("a") * e - b * c, F.lit(2.0)) / (F.lit(n1 * n0) * F.col("df") * F.greatest(n1 + n0 - F.col("df"), F.lit(0.5)))
-    picked = each.withColumn("chi", chi).where("chi >= 25").orderBy(F.desc("chi"), "term").limit(vocabulary)
+    picked = each.withColumn("chi", chi).where("chi >= 40").orderBy(F.desc("chi"), "term").limit(vocabulary)
     top = picked.select("term", "df").collect()
     if not top:
         return None
@@ -183,7 +191,7 @@ def fit_neighbourhood(
     terms, df = terms[order], np.array([r.df for r in top])[order]
     rows = found.join(F.broadcast(picked.select("term")), "term").groupBy("id", "label").agg(F.collect_list("term").alias("t"), F.collect_list("tf").alias("n")).collect()
     rows = [(r.id, r.label, np.searchsorted(terms, np.array(r.t, np.int64).view(np.uint64)), np.array(r.n, np.float64)) for r in rows]
-    return Neighbourhood.build(terms, df, int(n1 + n0), rows, sizes[1] / (sizes[0] + sizes[1]))
+    return Neighbourhood.build(terms, df, {0: int(n0), 1: int(n1)}, {k: sizes[k] for k in (0, 1)}, rows)
 
 
 def score_toxicity(docs: DataFrame, model: Neighbourhood | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
