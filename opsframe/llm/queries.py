@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsframe.llm.decontaminate import find_contamination
 from opsframe.llm.langid import fit_language_model, identify_language
 from opsframe.llm.mixing import fair_mix
 from opsframe.llm.quality import quality_rules
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op6_decontaminate": op6_decontaminate,
     "op7_fair_mix": op7_fair_mix,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
