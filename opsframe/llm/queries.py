@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.llm.decontaminate import find_contamination
+from opsframe.llm.jaccard import jaccard_components
 from opsframe.llm.langid import fit_language_model, identify_language
 from opsframe.llm.mixing import fair_mix
 from opsframe.llm.quality import quality_rules
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op5_jaccard": op5_jaccard,
     "op6_decontaminate": op6_decontaminate,
     "op7_fair_mix": op7_fair_mix,
     "op9_quality_rules": op9_quality_rules,
