@@ -9,6 +9,7 @@ from opsframe.llm.decontaminate import find_contamination
 from opsframe.llm.jaccard import jaccard_components
 from opsframe.llm.langid import fit_language_model, identify_language
 from opsframe.llm.mixing import fair_mix
+from opsframe.llm.pii import find_pii
 from opsframe.llm.quality import quality_rules
 from opsframe.llm.secret_scan import scan_secrets
 from opsframe.llm.token_counts import count_tokens
@@ -35,6 +36,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def fold(modulus: int, rest: int, id_col: str = "doc_id") -> Column:
     """Whether a document's id falls into the given remainder of its checksum."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == rest, F.lit(False))
@@ -64,6 +69,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
