@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.llm.decontaminate import find_contamination
+from opsframe.llm.html_text import extract_text, fit_labeller
 from opsframe.llm.jaccard import jaccard_components
 from opsframe.llm.langid import fit_language_model, identify_language
 from opsframe.llm.mixing import fair_mix
@@ -64,6 +65,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return count_tokens(table(spark, sf_dir, "documents"), f.read())
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, fit_labeller(pages))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op5_jaccard": op5_jaccard,
     "op6_decontaminate": op6_decontaminate,
     "op7_fair_mix": op7_fair_mix,
+    "op8_page_text": op8_page_text,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
