@@ -258,3 +258,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     out = described.select("doc_id", "n", "a", "b").join(classes, ["a", "b", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the smallest id of each component and no other; of rows that repeat an id, one stays.
+
+    Rows with a null id all stay.  Texts are moved only for rows of repeated ids.
+    """
+    found = written(jaccard_components(docs, width, num, den, id_col, text_col), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    again = written(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col), "repeated")
+    kept = docs.join(_small(written(gone, "gone")), id_col, "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
+    small = _small(again)
+    return kept.join(small, id_col, "left_anti").unionByName(kept.join(small, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)

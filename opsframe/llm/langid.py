@@ -130,6 +130,38 @@ def fit_language_model(docs: DataFrame, learn: Column, rows: int = 1500, text_co
     return ByteConvNet.fit([w.encode() for _, w in found], [lang for lang, _ in found]) if found else None
 
 
+def _predict(net: ByteConvNet | None, tables: tuple | None, texts: pa.Array, named: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the likeliest language (-1: none) and its mean probability over all windows, for each text."""
+    raw, offsets = text_buffers(texts)
+    named = np.asarray(named)
+    n = len(named)
+    pred, score = np.full(n, -1), np.zeros(n)
+    if net is None or not n:
+        return pred, score
+    each = np.where(named, -(-np.diff(offsets) // WINDOW), 0)
+    first = np.concatenate(([0], np.cumsum(each)))
+    sums = np.zeros((n, len(net.langs)))
+    step = 1024
+    for lo in range(0, first[-1], step):
+        k = np.arange(lo, min(lo + step, first[-1]))
+        doc = np.searchsorted(first, k, side="right") - 1
+        begin = offsets[doc] + (k - first[doc]) * WINDOW
+        x = raw.take(np.minimum(begin[:, None] + np.arange(WINDOW), len(raw) - 1))
+        size = np.minimum(offsets[doc + 1] - begin, WINDOW)
+        short = size < WINDOW
+        x[short] = np.where(np.arange(WINDOW) < size[short, None], x[short], 0)
+        np.add.at(sums, doc, net.probabilities(x, tables) * size[:, None])
+    known = each > 0
+    sums[known] /= sums[known].sum(1, keepdims=True)
+    pred[known] = sums[known].argmax(1)
+    score[known] = sums[known].max(1)
+    return pred, score
+
+
+def _has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify_language(docs: DataFrame, model: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Language of every whole text: mean of the network's softmax over all its windows.
 
@@ -143,37 +175,28 @@ def identify_language(docs: DataFrame, model: ByteConvNet | None, id_col: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         tables = net.tables() if net else None
+        langs = [*(net.langs if net else []), "und"]
         for batch in batches:
-            raw, offsets = text_buffers(batch.column("text"))
-            named = np.asarray(batch.column("named"))
-            n = len(named)
-            pred, score = np.full(n, -1), np.zeros(n)
-            if net is not None and n:
-                each = np.where(named, -(-np.diff(offsets) // WINDOW), 0)
-                first = np.concatenate(([0], np.cumsum(each)))
-                sums = np.zeros((n, len(net.langs)))
-                step = 1024
-                for lo in range(0, first[-1], step):
-                    k = np.arange(lo, min(lo + step, first[-1]))
-                    doc = np.searchsorted(first, k, side="right") - 1
-                    begin = offsets[doc] + (k - first[doc]) * WINDOW
-                    at = begin[:, None] + np.arange(WINDOW)
-                    x = raw.take(np.minimum(at, len(raw) - 1))
-                    size = np.minimum(offsets[doc + 1] - begin, WINDOW)
-                    short = size < WINDOW
-                    x[short] = np.where(np.arange(WINDOW) < size[short, None], x[short], 0)
-                    np.add.at(sums, doc, net.probabilities(x, tables) * size[:, None])
-                known = each > 0
-                sums[known] /= sums[known].sum(1, keepdims=True)
-                pred[known] = sums[known].argmax(1)
-                score[known] = sums[known].max(1)
-            langs = [*(net.langs if net else []), "und"]
+            pred, score = _predict(net, tables, batch.column("text"), batch.column("named"))
             names = pa.array(langs, pa.string()).take(pa.array(np.where(pred < 0, len(langs) - 1, pred)))
-            rest = [batch.column(c) for c in names_kept]
-            yield pa.RecordBatch.from_arrays([*rest, names, pa.array(score)], [*names_kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), names, pa.array(score)], [*kept, "lang_pred", "score"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
-    names_kept = ["doc_id", *keep]
-    schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in names_kept)
-    d = d.withColumn("named", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return d.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    kept = ["doc_id", *keep]
+    schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in kept)
+    return d.withColumn("named", _has_letter("text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: ByteConvNet | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or has a score under ``least``; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        tables = net.tables() if net else None
+        for batch in batches:
+            pred, score = _predict(net, tables, batch.column(text_col), batch.column("_named"))
+            yield batch.select(columns).filter(pa.array((pred >= 0) & (score >= least)))
+
+    columns = docs.columns
+    return docs.withColumn("_named", _has_letter(text_col)).mapInArrow(run, docs.schema)

@@ -146,6 +146,6 @@ def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
             s = np.sort(rolled[lo : hi - width + 1])
             yield s[np.concatenate(([True], s[1:] != s[:-1]))]
         elif hi > lo:
-            yield mix((h[lo:hi] * _LANES[: hi - lo]).sum(keepdims=True) + _LANES[14] * np.uint64(hi - lo))
+            yield mix((h[lo:hi] * _LANES[: hi - lo]).sum(keepdims=True) + np.array([hi - lo], np.uint64) * _LANES[14])
         else:
             yield np.zeros(0, np.uint64)
