@@ -60,7 +60,7 @@ def _moment(line: Column, kind: str, pattern: str, names: tuple[str, ...]) -> Co
 
 
 def _shift(local: Column, minutes: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(local.cast("timestamp")) - minutes * F.lit(60_000_000))
+    return F.timestamp_micros(F.unix_micros(local.cast("timestamp")) - minutes.cast("long") * F.lit(60_000_000))
 
 
 def parse_log_timestamp(line: Column) -> Column:
