@@ -96,6 +96,21 @@ class _Order:
         return s[:length]
 
 
+def _centrality(docs: DataFrame, order: object, width: int) -> DataFrame:
+    """``doc_id, central``: share of a set's shingles that are frequent."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = order.value.tokens
+        for batch in batches:
+            share = np.zeros(batch.num_rows)
+            for i, s in _sets(batch, width):
+                if len(s) and len(known):
+                    share[i] = (known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s).mean()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(share)], ["doc_id", "central"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, central double").groupBy("doc_id").agg(F.max("central").alias("central"))
+
+
 def _compatible(a: str, b: str, num: int, den: int) -> Column:
     """Whether set sizes allow the similarity; ``lo`` and ``hi`` bound the sizes of a star's sets."""
     c = lambda x: F.col(x)
@@ -140,17 +155,19 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     Exact, without expanding groups of copies into pairs:
 
     1. Documents with equal sets form a class, represented by its smallest id.
-    2. Star links: representatives that share a star key are compared with one
-       pivot of the key; those that link to it join its star, with their
+    2. Star links: representatives that share two star keys with the keys' pivot
+       are compared with it; those that link to it join its star, with their
        distance.  Work is linear in the number of documents, whatever the groups.
     3. Index: each set enters the inverted lists of its prefix (the shingles of
        which any similar set must share one, in a common order with frequent
        shingles last).  List entries carry size and position, which skip entries
-       that cannot reach the overlap, and sets of a star enter as their pivot.
+       that cannot reach the overlap, and sets of a star enter as their pivot;
+       pairs that share too few prefix shingles are dropped.
     4. Pivots that meet in a list are compared.  For pivots that do not link,
        the Jaccard distance is a metric, so the pivot's answer settles a
        member's unless d(p, q) <= d(x, p) + 1 - num/den + d(y, q); only those
-       member pairs are compared themselves.
+       member pairs are compared themselves, and only where the two stars are
+       not in one component already.
 
     Words: ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Fewer words than
     ``width`` make one shingle; null or empty texts have none and link with
@@ -165,11 +182,18 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     named = described.where("doc_id is not null and n > 0")
     classes = written(named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
 
-    # stars
+    order = common.where("n >= 16").orderBy(F.desc("n"), "token").limit(ORDERED_SHINGLES).toPandas()
+    shared = d.sparkSession.sparkContext.broadcast(_Order(order["token"].to_numpy(np.int64).view(np.uint64), order["n"].to_numpy(np.int64)))
+
+    # stars: the pivot of a key is its set with the largest share of frequent shingles, which edited copies lack
     keyed = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    pivots = keyed.groupBy("key").agg(F.min(F.struct("n", "rep")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "pivot")
-    near = keyed.join(pivots, "key").where((F.col("rep") != F.col("pivot.rep")) & (den * F.col("pivot.n") >= num * F.col("n")))
-    near = near.select(F.col("rep").alias("x"), F.col("pivot.rep").alias("y")).distinct()
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    keyed = written(keyed.join(several, "key"), "keyed")
+    central = _centrality(d.join(_small(written(keyed.select(F.col("rep").alias("doc_id")).distinct(), "keyed-ids")), "doc_id", "left_semi"), shared, width)
+    keyed = keyed.join(central, keyed["rep"] == central["doc_id"]).drop("doc_id")
+    pivots = keyed.groupBy("key").agg(F.max(F.struct("central", -F.col("rep"), "n")).alias("pivot")).select("key", (-F.col("pivot.col2")).alias("pivot"), F.col("pivot.n").alias("pivot_n"))
+    near = keyed.join(pivots, "key").where((F.col("rep") != F.col("pivot")) & (den * F.least("pivot_n", "n") >= num * F.greatest("pivot_n", "n")))
+    near = near.groupBy(F.col("rep").alias("x"), F.col("pivot").alias("y")).agg(F.count(F.lit(1)).alias("keys")).where("keys >= 2").select("x", "y")
     linked = lambda o: o.where(den * F.col("both") >= num * (F.col("nx") + F.col("ny") - F.col("both")))
     distance = 1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))
     star_links = linked(_overlaps(d, written(near, "star-pairs"), width)).withColumn("d", distance)
@@ -177,8 +201,6 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     members = written(star_links.groupBy("x").agg(F.min(F.struct("d", "y")).alias("best")).select(F.col("x").alias("rep"), F.col("best.y").alias("star"), F.col("best.d").alias("d")), "stars")
 
     # index
-    order = common.where("n >= 16").orderBy(F.desc("n"), "token").limit(ORDERED_SHINGLES).toPandas()
-    shared = d.sparkSession.sparkContext.broadcast(_Order(order["token"].to_numpy(np.int64).view(np.uint64), order["n"].to_numpy(np.int64)))
     centres = members.groupBy("star").agg(F.max("d").alias("radius"))
     copies = named.join(classes.select("a", "b", F.col("n").alias("n"), "rep"), ["a", "b", "n"]).where("doc_id <> rep").select("doc_id").distinct()
     copies = copies.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
@@ -206,7 +228,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
             rows_ = np.repeat(np.array(rows), [r[2] for r in rows], axis=0)
             t, at, n, pos = np.concatenate(tokens), rows_[:, 0], rows_[:, 1], np.concatenate(places)
             lo = hi = n
-            pos = np.where(in_star[at], 0, pos)
+            pos = np.where(in_star[at], -1, pos)  # unknown: a star's sets have it in various places
             s = node[at]
             dup = np.flatnonzero(in_star[at])
             if len(dup):  # one entry for each star and shingle of this batch
@@ -225,32 +247,53 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
 
     texts = d.where("doc_id is not null").join(_small(special), "doc_id", "left").where("copy is null or not copy").select("doc_id", "text", "star")
     entries = texts.mapInArrow(index, "token long, star long, lo int, hi int, pos int")
-    room = lambda x: F.col(f"{x}.hi") - F.col(f"{x}.pos")
+    # The first shared shingle of two sets leaves them the overlap of what follows it; a later one can have as many before it as its place.
+    room = lambda x: F.col(f"{x}.hi") - F.greatest(F.col(f"{x}.pos"), F.lit(0))
+    known = (F.col("p.pos") >= 0) & (F.col("q.pos") >= 0)
+    before = F.greatest(F.when(known, F.least("p.pos", "q.pos")).otherwise(F.greatest("p.pos", "q.pos")), F.lit(0))
+    needed = num * (F.col("p.lo") + F.col("q.lo"))
+    may_be = lambda ahead: (num + den) * (ahead + F.least(room("p"), room("q"))) >= needed
     meet = entries.alias("p").join(entries.alias("q"), F.col("p.token") == F.col("q.token"))
     meet = meet.where((F.col("p.star") < F.col("q.star")) & _compatible("p", "q", num, den))
-    meet = meet.where((num + den) * F.least(room("p"), room("q")) >= num * (F.col("p.lo") + F.col("q.lo")))
-    met = written(meet.select(F.col("p.star").alias("x"), F.col("q.star").alias("y")).distinct(), "pivot-pairs")
+    meet = meet.where(may_be(before))
+    meet = meet.groupBy(F.col("p.star").alias("x"), F.col("q.star").alias("y")).agg(
+        F.count(F.lit(1)).alias("shared"), F.bool_or(may_be(F.lit(0))).alias("first"), *[f(f"{a}.{c}").alias(f"{a}{c}") for a in "pq" for f, c in ((F.min, "lo"), (F.max, "hi"))]
+    )
+    # beyond the prefixes two sets can share no more than the longer rest
+    rest = lambda x: F.ceil(num * F.col(f"{x}hi") / den) - 1
+    meet = meet.where("first").where((num + den) * (F.col("shared") + F.greatest(rest("p"), rest("q"))) >= num * (F.col("plo") + F.col("qlo")))
+    met = written(meet.select("x", "y"), "pivot-pairs")
     compared = _overlaps(d, met, width).withColumn("d", distance)
     pivot_links = linked(compared)
 
-    # members whose pivots are too close to settle their answers
-    apart = compared.where(den * F.col("both") < num * (F.col("nx") + F.col("ny") - F.col("both")))
-    radius = lambda side: centres.select(F.col("star").alias(side), F.col("radius").alias(f"r{side}"))
-    open_pairs = apart.join(radius("x"), "x", "left").join(radius("y"), "y", "left").fillna(0.0, ["rx", "ry"])
-    slack = 1 - num / den + 1e-9
-    open_pairs = open_pairs.where((F.col("rx") + F.col("ry") > 0) & (F.col("d") <= F.col("rx") + F.col("ry") + slack)).select("x", "y", "d")
-    within = members.select("star", "rep", F.col("d").alias("dm")).unionByName(compared.select(F.explode(F.array("x", "y")).alias("star")).distinct().select("star", F.col("star").alias("rep"), F.lit(0.0).alias("dm")))
-    side = lambda s: within.select(F.col("star").alias(s), F.col("rep").alias(f"m{s}"), F.col("dm").alias(f"d{s}"))
-    inner = open_pairs.join(side("x"), "x").join(side("y"), "y").where((F.col("dx") + F.col("dy") > 0) & (F.col("d") <= F.col("dx") + F.col("dy") + slack))
-    inner = written(inner.select(F.col("mx").alias("x"), F.col("my").alias("y"), F.col("x").alias("sx"), F.col("y").alias("sy")).where("x <> y"), "member-pairs")
-    member_links = linked(_overlaps(d, inner.select("x", "y").distinct(), width)).select("x", "y").join(inner, ["x", "y"]).select(F.col("sx").alias("u"), F.col("sy").alias("v"))
-
-    # components of stars, then of documents
+    # what is linked so far
     centre_of = members.select(F.col("rep").alias("x"), F.col("star").alias("sx"))
     links = star_links.select("x", "y").join(centre_of, "x").select(F.col("sx").alias("u"), F.col("y").alias("v"))
     links = links.unionByName(members.select(F.col("rep").alias("u"), F.col("star").alias("v")).join(centres.select(F.col("star").alias("u")), "u", "left_semi"))
-    links = links.unionByName(pivot_links.select(F.col("x").alias("u"), F.col("y").alias("v"))).unionByName(member_links)
+    links = links.unionByName(pivot_links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     labels = written(connected_components(links), "labels")
+
+    # members whose pivots are too close to settle their answers, and not linked yet
+    apart = compared.where(den * F.col("both") < num * (F.col("nx") + F.col("ny") - F.col("both")))
+    named_as = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    radius = lambda side: centres.select(F.col("star").alias(side), F.col("radius").alias(f"r{side}"))
+    slack = 1 - num / den + 1e-9
+    open_pairs = apart.join(radius("x"), "x", "left").join(radius("y"), "y", "left").fillna(0.0, ["rx", "ry"])
+    open_pairs = open_pairs.where((F.col("rx") + F.col("ry") > 0) & (F.col("d") <= F.col("rx") + F.col("ry") + slack))
+    open_pairs = open_pairs.join(named_as("x"), "x", "left").join(named_as("y"), "y", "left").select("x", "y", "d", F.coalesce("lx", "x").alias("lx"), F.coalesce("ly", "y").alias("ly"))
+    open_pairs = written(open_pairs.where("lx <> ly"), "open-pairs")
+    if not open_pairs.isEmpty():
+        asked = open_pairs.select(F.explode(F.array("x", "y")).alias("star")).distinct()
+        within = members.join(asked, "star", "left_semi").select("star", "rep", F.col("d").alias("dm")).unionByName(asked.select("star", F.col("star").alias("rep"), F.lit(0.0).alias("dm")))
+        side = lambda s: within.select(F.col("star").alias(s), F.col("rep").alias(f"m{s}"), F.col("dm").alias(f"d{s}"))
+        inner = open_pairs.join(side("x"), "x").join(side("y"), "y").where((F.col("dx") + F.col("dy") > 0) & (F.col("d") <= F.col("dx") + F.col("dy") + slack))
+        inner = written(inner.select(F.col("mx").alias("x"), F.col("my").alias("y"), "lx", "ly").where("x <> y"), "member-pairs")
+        found = linked(_overlaps(d, inner.select("x", "y").distinct(), width)).select("x", "y").join(inner, ["x", "y"])
+        merged = connected_components(found.select(F.col("lx").alias("u"), F.col("ly").alias("v"))).select(F.col("node").alias("l"), F.col("label").alias("m"))
+        nodes = labels.unionByName(merged.select(F.col("l").alias("node"), F.col("l").alias("label"))).distinct()
+        labels = written(nodes.join(merged, nodes["label"] == merged["l"], "left").select("node", F.coalesce("m", "label").alias("label")).distinct(), "labels")
+
+    # components of documents
     classes = classes.join(members.select("rep", "star"), "rep", "left").withColumn("node", F.coalesce("star", "rep"))
     classes = classes.join(labels, "node", "left").select("a", "b", "n", "rep", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
