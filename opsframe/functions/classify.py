@@ -53,11 +53,15 @@ def strip(text: Column) -> Column:
 
 def classify_line(line: Column) -> Column:
     """Category of the first rule that the stripped line fits; ``unclassified`` for others, null for blank lines."""
-    s = strip(line)
-    out = F.when(s == "", F.lit(None).cast("string"))
-    for category, pattern in RULES:
-        out = out.when(s.rlike(pattern), category)
-    return out.otherwise(F.when(s.isNotNull(), UNCLASSIFIED))
+
+    def first(s: Column) -> Column:
+        out = F.when(s == "", F.lit(None).cast("string"))
+        for category, pattern in RULES:
+            out = out.when(s.rlike(pattern), category)
+        return out.otherwise(F.when(s.isNotNull(), UNCLASSIFIED))
+
+    # The stripped line is bound once: written out for each rule it would outgrow a generated method.
+    return F.get(F.transform(F.array(strip(line)), first), F.lit(0))
 
 
 def severity_rank(category: Column) -> Column:

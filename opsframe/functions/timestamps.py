@@ -39,24 +39,39 @@ def offset_minutes(tz: Column, zone: Column) -> Column:
 
 
 def _moment(line: Column, kind: str, pattern: str, names: tuple[str, ...]) -> Column:
-    """Struct of one format's reading; null if it does not match or is no valid time, so that the next one is tried."""
-    g = {n: F.regexp_extract(line, pattern, i + 1) for i, n in enumerate(names)}
-    number = lambda n: g[n].try_cast("int")
-    year = number("year") if "year" in g else number("year2") + F.when(number("year2") <= 68, 2000).otherwise(1900)
-    month = number("month") if "month" in g else F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(g["name"])).cast("int"), F.lit(0))
-    # six digits of the fraction count; more are cut
-    micros = F.rpad(F.substring(g["frac"], 1, 6), 6, "0").try_cast("int") if "frac" in g else F.lit(0)
-    micros = F.coalesce(F.when(g["frac"] != "", micros), F.lit(0)) if "frac" in g else micros
-    valid = (number("hour") < 24) & (number("minute") < 60) & (number("second") < 60)
-    local = F.when(valid, F.try_make_timestamp_ntz(year, month, number("day"), number("hour"), number("minute"), number("second") + micros / F.lit(1000000)))
-    minutes = offset_minutes(g.get("tz", F.lit("")), g.get("zone", F.lit("")))
-    bad_zone = (g["tz"] != "") & minutes.isNull() if "tz" in g else F.lit(False)
-    found = F.struct(
-        F.regexp_extract(line, pattern, 0).alias("raw"), F.lit(kind).alias("kind"), F.lit(None).cast("double").alias("time_of_day"),
-        F.when(minutes.isNotNull(), _shift(local, minutes)).alias("ts_utc"),
-        F.when(minutes.isNull(), local).alias("ts_local"), F.when(minutes.isNull(), 1).otherwise(0).alias("tier"),
-    )
-    return F.when((F.regexp_extract(line, pattern, 0) != "") & local.isNotNull() & ~bad_zone, found)
+    """Struct of one format's reading; null if it does not match or is no valid time, so that the next one is tried.
+
+    The match is taken apart once, into a list of its groups that the reading is
+    bound to; so each format costs two searches, however many parts it has.
+    """
+    whole = F.regexp_extract(line, pattern, 0)
+    parts = F.split(F.regexp_replace(whole, pattern, "|".join(f"${i + 1}" for i in range(len(names)))), r"\|")
+
+    def read(cells: Column) -> Column:
+        g = {n: F.get(cells, F.lit(i)) for i, n in enumerate(names)}
+        number = lambda n: g[n].try_cast("int")
+        year = number("year") if "year" in g else number("year2") + F.when(number("year2") <= 68, 2000).otherwise(1900)
+        month = number("month") if "month" in g else F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(g["name"])).cast("int"), F.lit(0))
+        # six digits of the fraction count; more are cut
+        micros = F.lit(0)
+        if "frac" in g:
+            micros = F.coalesce(F.when(g["frac"] != "", F.rpad(F.substring(g["frac"], 1, 6), 6, "0").try_cast("int")), F.lit(0))
+        valid = (number("hour") < 24) & (number("minute") < 60) & (number("second") < 60)
+        local = F.when(valid, F.try_make_timestamp_ntz(year, month, number("day"), number("hour"), number("minute"), number("second") + micros / F.lit(1000000)))
+        minutes = offset_minutes(g.get("tz", F.lit("")), g.get("zone", F.lit("")))
+        bad_zone = (g["tz"] != "") & minutes.isNull() if "tz" in g else F.lit(False)
+        return F.struct(local.alias("local"), minutes.alias("minutes"), bad_zone.alias("bad"))
+
+    def told(t: Column) -> Column:
+        found = F.struct(
+            whole.alias("raw"), F.lit(kind).alias("kind"), F.lit(None).cast("double").alias("time_of_day"),
+            F.when(t["minutes"].isNotNull(), _shift(t["local"], t["minutes"])).alias("ts_utc"),
+            F.when(t["minutes"].isNull(), t["local"]).alias("ts_local"), F.when(t["minutes"].isNull(), 1).otherwise(0).alias("tier"),
+        )
+        return F.when(t["local"].isNotNull() & ~t["bad"], found)
+
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    return F.when(whole != "", bind(bind(parts, read), told))
 
 
 def _shift(local: Column, minutes: Column) -> Column:
