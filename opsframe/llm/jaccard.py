@@ -117,8 +117,8 @@ def _compatible(a: str, b: str, num: int, den: int) -> Column:
     return (den * c(f"{a}.hi") >= num * c(f"{b}.lo")) & (den * c(f"{b}.hi") >= num * c(f"{a}.lo"))
 
 
-def _overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``pairs`` (x, y) with the set sizes ``nx``, ``ny`` and the exact size of the intersection, ``both``.
+def _with_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """``pairs`` (x, y) with the sets of both, ``sx`` and ``sy``, as sorted 64-bit words.
 
     Only texts of documents in a pair are read into sets.  The sets move to the
     pairs in two joins on single ids, whose large groups Spark can split.
@@ -136,6 +136,11 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     sets = wanted.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
     one = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("set").alias("sx")), "x")
     two = one.join(sets.select(F.col("doc_id").alias("y"), F.col("set").alias("sy")), "y")
+    return two.select("x", "y", "sx", "sy")
+
+
+def _overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """``pairs`` (x, y) with the set sizes ``nx``, ``ny`` and the exact size of the intersection, ``both``."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +151,62 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
                 nx[i], ny[i], both[i] = len(a), len(b), (u[1:] == u[:-1]).sum()
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(nx), pa.array(ny), pa.array(both)], ["x", "y", "nx", "ny", "both"])
 
-    return written(two.select("x", "y", "sx", "sy").mapInArrow(count, "x long, y long, nx long, ny long, both long"), "overlaps")
+    return written(_with_sets(docs, pairs, width).mapInArrow(count, "x long, y long, nx long, ny long, both long"), "overlaps")
+
+
+def _differences(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """``x, y, token``: the shingles of x that y lacks, for each pair."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tokens = [], []
+            for i, (p, q) in enumerate(zip(batch.column("sx"), batch.column("sy"), strict=True)):
+                t = np.setdiff1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), assume_unique=True)
+                rows.append(np.full(len(t), i))
+                tokens.append(t)
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch.column("x").take(at), batch.column("y").take(at), pa.array(np.concatenate(tokens).view(np.int64))], ["x", "y", "token"])
+
+    return written(_with_sets(docs, pairs, width).mapInArrow(run, "x long, y long, token long"), "differences")
+
+
+def _member_pairs(docs: DataFrame, open_pairs: DataFrame, members: DataFrame, sizes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs of members (mx, my) of ``open_pairs`` (x, y, d, both) of pivots that may link although their pivots do not.
+
+    Sets a and b of the stars of p and q share at most what p and q share, and
+    what one of them has beyond its pivot.  So a pair needs sizes so small that
+    |p & q| is enough, or a shingle beyond a pivot in common: one that both have
+    beyond their pivots, or one beyond a's pivot that q has and p lacks, or the
+    same the other way round.  Each kind is found by equality of shingles; pairs
+    with none of these are settled by their pivots' answer.
+    """
+    slack = 1 - num / den + 1e-9
+    asked = open_pairs.select(F.explode(F.array("x", "y")).alias("star")).distinct()
+    inner = written(members.join(asked, "star", "left_semi").select("star", "rep", F.col("d").alias("dm")), "inner-members")
+    within = inner.unionByName(asked.select("star", F.col("star").alias("rep"), F.lit(0.0).alias("dm"))).join(sizes, "rep")
+    pairs = inner.select(F.col("rep").alias("x"), F.col("star").alias("y")).unionByName(open_pairs.select("x", "y")).unionByName(open_pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    beyond = _differences(docs, pairs.distinct(), width)
+    own = beyond.join(inner.select(F.col("rep").alias("x"), F.col("star").alias("y")), ["x", "y"], "left_semi").select(F.col("y").alias("star"), F.col("x").alias("rep"), "token")
+    side = lambda s, *c: within.select(F.col("star").alias(s), F.col("rep").alias(f"m{s}"), *c)
+    ends = open_pairs.select("x", "y")
+
+    a = own.select(F.col("star").alias("x"), F.col("rep").alias("mx"), "token")
+    b = own.select(F.col("star").alias("y"), F.col("rep").alias("my"), "token")
+    both = a.join(b, "token").where("x < y").join(ends, ["x", "y"], "left_semi").select("x", "y", "mx", "my")
+    other = lambda s, o: beyond.join(ends.select(F.col(o).alias("x"), F.col(s).alias("y")), ["x", "y"], "left_semi").select(F.col("y").alias(s), F.col("x").alias(o), "token")
+    left = a.join(other("x", "y"), ["x", "token"]).select("x", "y", "mx").distinct().join(side("y"), "y").select("x", "y", "mx", "my")
+    right = b.join(other("y", "x"), ["y", "token"]).select("x", "y", "my").distinct().join(side("x"), "x").select("x", "y", "mx", "my")
+    least = within.groupBy("star").agg(F.min("n").alias("least"))
+    least_of = lambda s: least.select(F.col("star").alias(s), F.col("least").alias(f"n{s}"))
+    fits = lambda u, v: num * (F.col(u) + F.col(v)) <= (num + den) * F.col("both")
+    short = open_pairs.select("x", "y", "both").join(least_of("x"), "x").join(least_of("y"), "y").where(fits("nx", "ny")).select("x", "y", "both")
+    short = short.join(side("x", F.col("n").alias("nmx")), "x").join(side("y", F.col("n").alias("nmy")), "y").where(fits("nmx", "nmy")).select("x", "y", "mx", "my")
+
+    found = both.unionByName(left).unionByName(right).unionByName(short).distinct().where("mx <> my").join(open_pairs.select("x", "y", "d", "lx", "ly"), ["x", "y"])
+    depth = lambda s: within.select(F.col("star").alias(s), F.col("rep").alias(f"m{s}"), F.col("dm").alias(f"d{s}"))
+    found = found.join(depth("x"), ["x", "mx"]).join(depth("y"), ["y", "my"]).where((F.col("dx") + F.col("dy") > 0) & (F.col("d") <= F.col("dx") + F.col("dy") + slack))
+    return written(found.select(F.col("mx").alias("x"), F.col("my").alias("y"), "lx", "ly").distinct(), "member-pairs")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,8 +226,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     4. Pivots that meet in a list are compared.  For pivots that do not link,
        the Jaccard distance is a metric, so the pivot's answer settles a
        member's unless d(p, q) <= d(x, p) + 1 - num/den + d(y, q); only those
-       member pairs are compared themselves, and only where the two stars are
-       not in one component already.
+       member pairs are compared themselves, only where the two stars are not
+       in one component already, and only those that have a shingle in common
+       which their pivots have not.
 
     Words: ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Fewer words than
     ``width`` make one shingle; null or empty texts have none and link with
@@ -280,14 +341,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     slack = 1 - num / den + 1e-9
     open_pairs = apart.join(radius("x"), "x", "left").join(radius("y"), "y", "left").fillna(0.0, ["rx", "ry"])
     open_pairs = open_pairs.where((F.col("rx") + F.col("ry") > 0) & (F.col("d") <= F.col("rx") + F.col("ry") + slack))
-    open_pairs = open_pairs.join(named_as("x"), "x", "left").join(named_as("y"), "y", "left").select("x", "y", "d", F.coalesce("lx", "x").alias("lx"), F.coalesce("ly", "y").alias("ly"))
+    open_pairs = open_pairs.join(named_as("x"), "x", "left").join(named_as("y"), "y", "left").select("x", "y", "d", "both", F.coalesce("lx", "x").alias("lx"), F.coalesce("ly", "y").alias("ly"))
     open_pairs = written(open_pairs.where("lx <> ly"), "open-pairs")
     if not open_pairs.isEmpty():
-        asked = open_pairs.select(F.explode(F.array("x", "y")).alias("star")).distinct()
-        within = members.join(asked, "star", "left_semi").select("star", "rep", F.col("d").alias("dm")).unionByName(asked.select("star", F.col("star").alias("rep"), F.lit(0.0).alias("dm")))
-        side = lambda s: within.select(F.col("star").alias(s), F.col("rep").alias(f"m{s}"), F.col("dm").alias(f"d{s}"))
-        inner = open_pairs.join(side("x"), "x").join(side("y"), "y").where((F.col("dx") + F.col("dy") > 0) & (F.col("d") <= F.col("dx") + F.col("dy") + slack))
-        inner = written(inner.select(F.col("mx").alias("x"), F.col("my").alias("y"), "lx", "ly").where("x <> y"), "member-pairs")
+        sizes = classes.groupBy("rep").agg(F.min("n").alias("n"))
+        inner = _member_pairs(d, open_pairs, members, sizes, width, num, den)
         found = linked(_overlaps(d, inner.select("x", "y").distinct(), width)).select("x", "y").join(inner, ["x", "y"])
         merged = connected_components(found.select(F.col("lx").alias("u"), F.col("ly").alias("v"))).select(F.col("node").alias("l"), F.col("label").alias("m"))
         nodes = labels.unionByName(merged.select(F.col("l").alias("node"), F.col("l").alias("label"))).distinct()
