@@ -14,6 +14,8 @@ from opsframe.llm.stages import written
 from opsframe.llm.textkit import Words, chunks, text_buffers
 
 BLOCK = 64
+#: Blocks of a query that are added up before any is skipped.
+LEADING = 4
 NEIGHBOURS = 15
 #: A word's terms: its first bytes, which inflections share, and the word itself.
 PREFIXES = (4, 5, 6)
@@ -26,71 +28,105 @@ def word_terms(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield words.prefix(k)
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges one after the other, and the range that each is of."""
+    n = end - start
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (start - np.cumsum(n) + n)[of], of
+
+
 @dataclass
 class Neighbourhood:
-    """Labelled examples as unit TF-IDF vectors, in blocks with the largest weight of each term."""
+    """Labelled examples as unit TF-IDF vectors, in posting arrays by term, cut into blocks with their largest weight."""
 
     terms: np.ndarray  # sorted hashes of the vocabulary
     idf: np.ndarray
     ids: np.ndarray  # of the examples, in index order
     toxic: np.ndarray
-    weights: list[np.ndarray]  # for each block: vocabulary x examples
-    peaks: np.ndarray  # vocabulary x blocks
+    example: np.ndarray  # postings by term, then example
+    weight: np.ndarray
+    first: np.ndarray  # first posting of each block of a term, and the end of all
+    block: np.ndarray  # examples // BLOCK
+    peak: np.ndarray  # largest weight of each block of a term
+    blocks_of: np.ndarray  # first block of each term, and the end of all
     stands_for: np.ndarray  # labelled documents for each example, by label
     slope: float = 1.0
     shift: float = 0.0
 
     @classmethod
-    def build(cls, terms: np.ndarray, df: np.ndarray, sampled: dict[int, int], labelled: dict[int, int], rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Neighbourhood:
+    def build(cls, terms: np.ndarray, df: np.ndarray, n_docs: int, sampled: dict[int, int], labelled: dict[int, int], rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Neighbourhood:
         """``rows``: id, label, vocabulary places and term counts of each example that has a vocabulary term.
 
+        ``df`` and ``n_docs``: documents of the whole corpus with each term, and with any word.
         ``sampled`` and ``labelled``: examples and all labelled documents of each label.
         """
-        n = sum(sampled.values())
-        idf = np.log1p(n / df).astype(np.float32)
+        idf = np.log1p(n_docs / df).astype(np.float32)
         rows = sorted(rows, key=lambda r: (r[1], r[2][np.argmax(idf[r[2]])], r[0]))  # like examples share blocks, which keeps bounds tight
-        n_blocks = max(1, -(-len(rows) // BLOCK))
-        weights = [np.zeros((len(terms), BLOCK), np.float32) for _ in range(n_blocks)]
-        for i, (_, _, place, tf) in enumerate(rows):
-            v = (1 + np.log(tf)) * idf[place]
-            weights[i // BLOCK][place, i % BLOCK] = v / np.sqrt((v * v).sum())
+        place = np.concatenate([r[2] for r in rows])
+        example = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        v = (1 + np.log(np.concatenate([r[3] for r in rows]))) * idf[place]
+        v = (v / np.sqrt(np.bincount(example, v * v))[example]).astype(np.float32)
+        order = np.lexsort((example, place))
+        t, e, w = place[order], example[order], v[order]
+        key = t * (len(rows) // BLOCK + 1) + e // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         out = cls(
-            terms, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32), weights,
-            np.stack([w.max(1) for w in weights], 1),
+            terms, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32),
+            e.astype(np.int32), w, np.append(first, len(e)), (e[first] // BLOCK).astype(np.int32), np.maximum.reduceat(w, first),
+            np.searchsorted(t[first], np.arange(len(terms) + 1)),
             np.array([labelled[k] / sampled[k] for k in (0, 1)]),
         )
-        out.calibrate(sampled)
+        out.calibrate(sampled, (example, place, v))
         return out
 
-    def vectors(self, place: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-        """Unit TF-IDF vectors of documents, from (vocabulary place, document) of each term occurrence."""
-        tf = np.bincount(doc * len(self.terms) + place, minlength=n_docs * len(self.terms)).reshape(n_docs, -1)
-        q = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0).astype(np.float32) * self.idf
-        norm = np.sqrt((q * q).sum(1, keepdims=True))
-        return np.divide(q, norm, out=q, where=norm > 0)
+    @property
+    def weights(self) -> list[np.ndarray]:
+        """The index as dense blocks, vocabulary x examples; for small indexes only."""
+        n_blocks = max(1, -(-len(self.ids) // BLOCK))
+        dense = np.zeros((len(self.terms), n_blocks * BLOCK), np.float32)
+        dense[np.repeat(np.arange(len(self.terms)), np.diff(self.first[self.blocks_of])), self.example] = self.weight
+        return np.split(dense, n_blocks, axis=1)
+
+    def vectors(self, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit TF-IDF vectors of documents (document, vocabulary place, weight), from each term occurrence."""
+        key, tf = np.unique(doc * len(self.terms) + place, return_counts=True)
+        doc, place = np.divmod(key, len(self.terms))
+        v = (1 + np.log(tf)) * self.idf[place]
+        return doc, place, (v / np.sqrt(np.bincount(doc, v * v))[doc]).astype(np.float32)
 
     def nearest(self, q: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The exact k largest cosines of each vector and the places of those examples.
+        """``search`` for dense vectors."""
+        row, place = np.nonzero(q)
+        return self.search(row, place, q[row, place], len(q), k)
+
+    def search(self, row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The exact k largest cosines of each of ``n`` vectors and the places of those examples.
 
-        Blocks come in the order of their bounds (query times largest weights); a
-        vector is done when no bound that is left exceeds its k-th cosine.
+        ``row`` is in order.  The blocks with a row's largest bounds (query times
+        largest weights) are added up first, then all those whose bound exceeds
+        the k-th cosine found in them.
         """
-        n = len(q)
+        n_blocks = max(1, -(-len(self.ids) // BLOCK))
         best, who = np.zeros((n, k), np.float32), np.full((n, k), -1)
-        bound = q @ self.peaks
-        order = np.argsort(-bound, axis=1)
-        alive = np.arange(n)
-        for turn in range(bound.shape[1]):
-            alive = alive[bound[alive, order[alive, turn]] > best[alive, -1]]
-            if not len(alive):
-                break
-            block = order[alive, turn]
-            for b in np.unique(block):
-                rows = alive[block == b]
-                s = np.concatenate((best[rows], q[rows] @ self.weights[b]), axis=1)
-                w = np.concatenate((who[rows], np.broadcast_to(b * BLOCK + np.arange(BLOCK), (len(rows), BLOCK))), axis=1)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                best[rows], who[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
+        for lo in range(0, n, 128):
+            m = min(128, n - lo)
+            a, b = np.searchsorted(row, (lo, lo + m))
+            j, of = _ranges(self.blocks_of[place[a:b]], self.blocks_of[place[a:b] + 1])
+            at, cell, q = row[a:b][of] - lo, self.block[j], value[a:b][of]
+            bound = np.bincount(at * n_blocks + cell, q * self.peak[j], m * n_blocks).reshape(m, n_blocks) * (1 + 1e-5)  # rounding never hides a block
+            lead = np.zeros((m, n_blocks), bool)
+            np.put_along_axis(lead, np.argsort(-bound, axis=1)[:, :LEADING], True, 1)
+            s = np.zeros((m, n_blocks * BLOCK))
+            for turn in range(2):
+                if turn:
+                    lead = ~lead & (bound > -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else True)
+                use = np.flatnonzero(lead[at, cell])
+                p, u = _ranges(self.first[j[use]], self.first[j[use] + 1])
+                s += np.bincount(at[use][u] * s.shape[1] + self.example[p], q[use][u] * self.weight[p], s.size).reshape(s.shape)
+            some = min(k, s.shape[1])
+            top = np.argpartition(-s, some - 1, axis=1)[:, :some]
+            top = np.take_along_axis(top, np.lexsort((top, -np.take_along_axis(s, top, 1)), axis=1), 1)
+            best[lo : lo + m, :some], who[lo : lo + m, :some] = np.take_along_axis(s, top, 1), top
         who[best <= 0] = -1
         return best, who
 
@@ -99,11 +135,10 @@ class Neighbourhood:
         w = np.where(who >= 0, 1 / (1.05 - best), 0) * (self.stands_for / self.stands_for.min())[self.toxic[who].astype(int)]
         return (w * self.toxic[who]).sum(1) / (w.sum(1) + 0.1)
 
-    def calibrate(self, sampled: dict[int, int]) -> None:
+    def calibrate(self, sampled: dict[int, int], own_vectors: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         """Logistic calibration of left-one-out votes; an example stands for as many labelled documents as its label's sample does."""
-        q = np.concatenate(self.weights, 1).T[: len(self.ids)]
-        best, who = self.nearest(q, NEIGHBOURS + 1)
-        own = who == np.arange(len(q))[:, None]
+        best, who = self.search(*own_vectors, len(self.ids), NEIGHBOURS + 1)
+        own = who == np.arange(len(self.ids))[:, None]
         v = self.votes(np.where(own, 0, best), np.where(own, -1, who)).astype(np.float64)
         y = self.toxic.astype(np.float64)
         missing = [sampled[k] - (y == k).sum() for k in (0, 1)]  # examples without a vocabulary term get no vote
@@ -137,16 +172,40 @@ def _term_places(words: Words, terms: np.ndarray, sieve: np.ndarray) -> tuple[np
     return np.concatenate(places), np.concatenate(at)
 
 
+def _document_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents (``text``) each of the sorted terms stands, and how many have a word at all."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, n = shared.value, 0
+        sieve = np.zeros(1 << 16, bool)
+        sieve[terms & np.uint64(0xFFFF)] = True
+        df = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column("text"))
+            for lo, hi in chunks(raw, offsets):
+                words = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                place, at = _term_places(words, terms, sieve)
+                doc = np.searchsorted(words.bounds, at, side="right") - 1
+                df += np.bincount(np.unique(doc * len(terms) + place) % len(terms), minlength=len(terms))
+                n += int((words.counts > 0).sum())
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], n))], ["place", "n"])
+
+    found = dict(docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n")).collect())
+    return np.array([found.get(i, 0) for i in range(len(terms))]), found.get(-1, 0)
+
+
 def fit_neighbourhood(
-    docs: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int = 2048, clean_rows: int = 4096, vocabulary: int = 1024,
+    docs: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int = 2048, clean_rows: int = 4096,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Neighbourhood | None:
     """The index over a bounded sample of the labelled documents where ``learn`` holds; None without both labels.
 
     The sample is taken by a hash of the id, about ``toxic_rows`` and
-    ``clean_rows``.  The vocabulary is the ``vocabulary`` terms whose document
-    counts differ most between the labels (chi-squared of at least 40, in at
-    least 5 examples).  A document labelled more than once counts as toxic if
+    ``clean_rows``.  The vocabulary is all terms whose document counts differ
+    between the labels (chi-squared of at least 40, in at least 5 examples); how
+    many of the documents have a term is counted over all of ``docs``.  A document labelled more than once counts as toxic if
     any label says so.
     """
     y = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -182,16 +241,15 @@ def fit_neighbourhood(
     each = found.groupBy("term").agg(a.alias("a"), df.alias("df")).where("df >= 5")
     b, c, e = F.col("df") - F.col("a"), n1 - F.col("a"), n0 - (F.col("df") - F.col("a"))
     chi = (n1 + n0) * F.pow(F.col("a") * e - b * c, F.lit(2.0)) / (F.lit(n1 * n0) * F.col("df") * F.greatest(n1 + n0 - F.col("df"), F.lit(0.5)))
-    picked = each.withColumn("chi", chi).where("chi >= 40").orderBy(F.desc("chi"), "term").limit(vocabulary)
-    top = picked.select("term", "df").collect()
+    picked = each.withColumn("chi", chi).where("chi >= 40")
+    top = picked.select("term").collect()
     if not top:
         return None
-    terms = np.array([r.term for r in top], np.int64).view(np.uint64)
-    order = np.argsort(terms)
-    terms, df = terms[order], np.array([r.df for r in top])[order]
+    terms = np.sort(np.array([r.term for r in top], np.int64).view(np.uint64))
+    df, n_docs = _document_counts(docs.select(F.col(text_col).alias("text")), terms)
     rows = found.join(F.broadcast(picked.select("term")), "term").groupBy("id", "label").agg(F.collect_list("term").alias("t"), F.collect_list("tf").alias("n")).collect()
     rows = [(r.id, r.label, np.searchsorted(terms, np.array(r.t, np.int64).view(np.uint64)), np.array(r.n, np.float64)) for r in rows]
-    return Neighbourhood.build(terms, df, {0: int(n0), 1: int(n1)}, {k: sizes[k] for k in (0, 1)}, rows)
+    return Neighbourhood.build(terms, df, n_docs, {0: int(n0), 1: int(n1)}, {k: sizes[k] for k in (0, 1)}, rows)
 
 
 def score_toxicity(docs: DataFrame, model: Neighbourhood | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -222,8 +280,7 @@ def score_toxicity(docs: DataFrame, model: Neighbourhood | None, id_col: str = "
                 docs_with, doc = np.unique(doc, return_inverse=True)
                 for first in range(0, len(docs_with), 512):
                     some = (doc >= first) & (doc < first + 512)
-                    q = m.vectors(place[some], doc[some] - first, min(512, len(docs_with) - first))
-                    best, who = m.nearest(q)
+                    best, who = m.search(*m.vectors(place[some], doc[some] - first), min(512, len(docs_with) - first))
                     rows = lo + docs_with[first : first + 512]
                     score[rows], count[rows] = m.score(m.votes(best, who)), (who >= 0).sum(1)
                     for r, w in zip(rows, who[:, :3], strict=True):

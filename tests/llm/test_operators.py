@@ -116,6 +116,27 @@ def test_op3_neighbours_are_exact_and_separate(spark, odd):
     assert X.fit_neighbourhood(d, labels.limit(0), F.lit(True)) is None and X.score_toxicity(odd.limit(0), None).count() == 0
 
 
+def test_op3_terms_have_no_cap_and_count_all_documents(spark):
+    """1,500 telling words, far more unlabelled documents than labelled ones; cosines equal a dense product."""
+    rng = random.Random(8)
+    telling, plain = [f"{i}x" for i in range(1500)], [f"{i}y" for i in range(40)]
+    rows = [(i, " ".join([t for k, t in enumerate(telling) if k % 6 == i % 6 or rng.random() < 0.5] if i % 2 else rng.sample(plain, 20))) for i in range(400)]
+    rows += [(i, f"{i % 1500}x other") for i in range(400, 6400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    m = X.fit_neighbourhood(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True))
+    assert len(m.terms) >= 1500
+    hashes = Words(*text_buffers(pa.array([" ".join(telling)]))).hash
+    at = np.searchsorted(m.terms, hashes)
+    assert (m.terms[at] == hashes).all()
+    split = [set(t.split()) for _, t in rows]
+    df = np.array([sum(w in s for s in split) for w in telling[:50]])
+    assert np.allclose(m.idf[at[:50]], np.log1p(len(rows) / df), atol=1e-5)
+    dense = np.concatenate(m.weights, 1)
+    best, who = m.nearest(dense.T[: len(m.ids)])
+    full = -np.sort(-(dense.T[: len(m.ids)] @ dense), 1)[:, : best.shape[1]]
+    assert np.allclose(best, full, atol=1e-5) and np.allclose(np.linalg.norm(dense.T[: len(m.ids)], axis=1), 1, atol=1e-5)
+
+
 def test_op4_counts_equal_the_library(spark, texts, odd):
     tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
