@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -16,10 +17,14 @@ from opsframe.llm.stages import written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-#: Words on each side of an entity that count as its context.
-WINDOW = 8
-#: Disclosing pairs or candidate terms up to which a table is sent to all tasks; beyond it they are joined.
+#: Disclosing pairs, candidate terms or entities up to which a table is sent to all tasks; beyond it they are joined.
 SEND_ROWS = 500_000
+#: Terms whose document counts a task returns in one array.
+COUNTED = 4096
+#: Characters of text whose counts a task gathers before it passes them on.
+GATHER_CHARS = 8_000_000
+#: Pieces of a text's copies when flags are joined, so that no task gets all copies.
+SALTS = 16
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -80,18 +85,31 @@ def _entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{hashlib.blake2b(value.encode(), digest_size=8).hexdigest()}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(protected entity, term, start, end) for the words near each span; a span protects its value and its kind."""
-    inside = lambda a, b: any(s < b and a < e for s, _, e in spans)
-    out = []
-    for start, kind, end in spans:
-        before = [m.span() for m in _WORD.finditer(text, max(0, start - 40 * WINDOW), start)][-WINDOW:]
-        after = [m.span() for m in _WORD.finditer(text, end, end + 40 * WINDOW)][:WINDOW]
-        for a, b in before + after:
-            if b - a <= 40 and not inside(a, b):
-                for entity in (KINDS[kind], _entity(kind, text[start:end])):
-                    out.append((entity, text[a:b].lower(), a, b))
-    return out
+def terms_of(text: str) -> set[str]:
+    """All distinct words of a text in lower case; the only way in which terms are told, at every size."""
+    return set(map(str.lower, set(_WORD.findall(text))))
+
+
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """What the spans of a text protect: their values and their kinds."""
+    return {KINDS[k] for _, k, _ in spans} | {_entity(k, text[a:b]) for a, k, b in spans}
+
+
+def _outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Words of a text that touch no span."""
+    at, reach, k = [], 0, 0
+    for a, _, b in spans:  # in order of their starts; together they become ranges apart from each other
+        if at and a < reach:
+            at[-1][1] = reach = max(reach, b)
+        else:
+            at.append([a, b])
+            reach = b
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while k < len(at) and at[k][1] <= a:
+            k += 1
+        if k == len(at) or at[k][0] >= b:
+            yield a, b
 
 
 def _candidates(column: pa.Array) -> Iterator[tuple[int, str]]:
@@ -101,45 +119,118 @@ def _candidates(column: pa.Array) -> Iterator[tuple[int, str]]:
         yield i, column[i].as_py()
 
 
-def entity_contexts(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, entity, term``: distinct pairs in the context of each document's spans.  ``docs``: doc_id, text."""
+def protected_texts(docs: DataFrame) -> DataFrame:
+    """``text_key, text, n``: the distinct texts that hold a span, and how many rows have each.  ``docs``: text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, text in _candidates(batch.column("text")):
-                spans = base_spans(text)
-                if spans:
-                    key = hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
-                    found = {(e, t) for e, t, _, _ in contexts(text, spans)} | {(_entity(k, text[a:b]), "") for a, k, b in spans} | {(KINDS[k], "") for _, k, _ in spans}
-                    rows += [(i, key, e, t) for e, t in sorted(found)]
-            for lo in range(0, len(rows), 50_000):
-                i, key, e, t = zip(*rows[lo : lo + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(i)), pa.array(key), pa.array(e), pa.array(t)], ["doc_id", "text_key", "entity", "term"])
+            column = batch.column("text")
+            hit = [i for i, text in _candidates(column) if base_spans(text)]
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(hit, pa.int64()))], ["text"])
+
+    rows = docs.select("text").mapInArrow(run, "text string")
+    return rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")).select(F.sha2("text", 256).alias("text_key"), "text", "n")
+
+
+def protected_entities(texts: DataFrame) -> DataFrame:
+    """``entity, n_entity, texts``: rows and different texts that hold each protected entity."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names = [], []
+            for i, x in enumerate(batch.column("text")):
+                text = x.as_py()
+                found = sorted(entities_of(text, base_spans(text)))
+                at += [i] * len(found)
+                names += found
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column("n").take(pa.array(at, pa.int64()))], ["entity", "n"])
+
+    return texts.select("text", "n").mapInArrow(run, "entity string, n long").groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+
+
+def _pair_counts(texts: DataFrame, wanted: object) -> DataFrame:
+    """``entity, term, both, texts`` over all words of each text that lie outside its spans; ``wanted``: None for all entities."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single: defaultdict[str, Counter] = defaultdict(Counter)
+        copies: defaultdict[str, Counter] = defaultdict(Counter)
+        gathered = 0
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for entity, counts in single.items():
+                terms, n = list(counts), list(counts.values())
+                both = [c + copies[entity][t] for t, c in counts.items()] if entity in copies else n
+                for lo in range(0, len(terms), 50_000):
+                    some = slice(lo, lo + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([entity] * len(terms[some])), pa.array(terms[some], pa.string()), pa.array(both[some], pa.int64()), pa.array(n[some], pa.int64())], ["entity", "term", "both", "texts"])
+            single.clear()
+            copies.clear()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_key string, entity string, term string")
+        for batch in batches:
+            for x, n in zip(batch.column("text"), batch.column("n").to_pylist(), strict=True):
+                text = x.as_py()
+                spans = base_spans(text)
+                terms = {w.lower() for w in {text[a:b] for a, b in _outside(text, spans)}}
+                for entity in entities_of(text, spans):
+                    if wanted is None or entity in wanted.value:
+                        single[entity].update(terms)
+                        if n > 1:
+                            copies[entity].update(dict.fromkeys(terms, n - 1))
+                        gathered += len(text)
+                if gathered > GATHER_CHARS:
+                    yield from passed_on()
+                    gathered = 0
+        yield from passed_on()
+
+    rows = texts.select("text", "n").mapInArrow(run, "entity string, term string, both long, texts long")
+    return rows.groupBy("entity", "term").agg(F.sum("both").alias("both"), F.sum("texts").alias("texts"))
 
 
 def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, df``: in how many of all documents each of the terms stands."""
+    """``term, df``: in how many of all documents each of the terms stands.
+
+    Few terms are sent to the tasks, which return counts in arrays of ``COUNTED``
+    terms; many are joined to the counts of all terms.
+    """
     if terms.count() > SEND_ROWS:
-        words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("term"))
-        return words.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, df = shared.value, Counter()
+        def count_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            df, gathered = Counter(), 0
+            for batch in batches:
+                for x in batch.column("text"):
+                    if text := x.as_py():
+                        df.update(terms_of(text))
+                        gathered += len(text)
+                        if gathered > GATHER_CHARS:
+                            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "df"])
+                            df.clear()
+                            gathered = 0
+            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "df"])
+
+        return docs.select("text").mapInArrow(count_all, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).join(terms, "term")
+    shared = docs.sparkSession.sparkContext.broadcast(sorted(r.term for r in terms.collect()))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {t: i for i, t in enumerate(shared.value)}
+        wanted, df = frozenset(place), Counter()
         for batch in batches:
             for x in batch.column("text"):
                 if text := x.as_py():
-                    df.update(wanted.intersection(_WORD.findall(text.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], ["term", "df"])
+                    df.update(wanted.intersection(terms_of(text)))
+        n = np.zeros(len(place), np.int64)
+        n[np.array([place[t] for t in df], np.int64)] = np.array(list(df.values()), np.int64)
+        starts = [lo for lo in range(0, len(n), COUNTED) if n[lo : lo + COUNTED].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([n[lo : lo + COUNTED].tobytes() for lo in starts], pa.binary())], ["start", "counts"])
+
+    def add(part: pa.Table) -> pa.Table:
+        start = part.column("start")[0].as_py()
+        n = sum(np.frombuffer(x.as_py(), np.int64) for x in part.column("counts"))
+        return pa.table({"term": pa.array(shared.value[start : start + len(n)], pa.string()), "df": pa.array(n)})
 
-    return docs.select("text").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return docs.select("text").mapInArrow(count, "start long, counts binary").groupBy("start").applyInArrow(add, "term string, df long").where("df > 0")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = 1.25, support: int = 5) -> DataFrame:
+def disclosing_terms(docs: DataFrame, texts: DataFrame, alpha: float = 1.25, support: int = 5) -> DataFrame:
     """``entity, term, share``: terms that disclose a protected entity, and the part of its information that they give away.
 
     A term's disclosure of an entity is the pointwise mutual information of
@@ -147,10 +238,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = 1.25, sup
     ``share`` = PMI / IC.  Terms with a share of 1 / ``alpha`` or more disclose,
     if the two stand together in at least ``support`` different texts.
     """
-    # a third of the rows may be copies of one text: distinct first, then counts
-    joint = found.where("term <> ''").groupBy("entity", "term", "text_key").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    joint = written(joint, "joint")
-    entities = found.where("term = ''").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # an entity in fewer texts has no pair with support
+    entities = written(protected_entities(texts).where(F.col("texts") >= support).drop("texts"), "entities")
+    wanted = None
+    if entities.count() <= SEND_ROWS:
+        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r.entity for r in entities.collect()))
+    joint = written(_pair_counts(texts, wanted).where(F.col("texts") >= support), "joint")
     df = _document_counts(docs, joint.select("term").distinct())
     total = docs.where("text is not null").count()
     pmi = F.log2(F.col("both") * total / (F.col("n_entity") * F.col("df")))
@@ -159,46 +252,70 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = 1.25, sup
     return joint.join(entities, "entity").join(df, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= 1 / alpha)
 
 
-def _with_flags(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> tuple[DataFrame, object]:
-    """The disclosing pairs as one value for all tasks if they are few, else as a column of each document's own pairs."""
+def _own_flags(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``text_key, _flags``: the disclosing terms of each distinct text, where the pairs are too many to be sent."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, x in zip(batch.column("text_key"), batch.column("text"), strict=True):
+                text = x.as_py()
+                spans = base_spans(text)
+                terms = sorted({w.lower() for w in {text[a:b] for a, b in _outside(text, spans)}})
+                for entity in sorted(entities_of(text, spans)):
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(terms), pa.string()) for c in (key.as_py(), entity)] + [pa.array(terms, pa.string())], ["text_key", "entity", "term"])
+
+    rows = texts.select("text_key", "text").mapInArrow(run, "text_key string, entity string, term string").join(pairs, ["entity", "term"])
+    return rows.groupBy("text_key", "term").agg(F.max("share").alias("share")).groupBy("text_key").agg(F.collect_list(F.struct("term", "share")).alias("_flags"))
+
+
+def _with_flags(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, object]:
+    """The disclosing pairs as one value for all tasks if they are few, else as a column of each row's own terms.
+
+    Flags follow from a row's text alone, so rows are joined by its hash, whatever their ids.
+    """
     if pairs.count() <= SEND_ROWS:
-        few = {(r.entity, r.term): r.share for r in pairs.collect()}
-        return docs.withColumn("_flags", F.lit(None).cast("array<struct<entity:string,term:string,share:double>>")), docs.sparkSession.sparkContext.broadcast(few)
-    own = found.join(pairs, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set(F.struct("entity", "term", "share")).alias("_flags"))
-    return docs.join(own, "doc_id", "left"), None
+        few: dict[str, dict[str, float]] = {}
+        for r in pairs.collect():
+            few.setdefault(r.entity, {})[r.term] = r.share
+        return docs.withColumn("_flags", F.lit(None).cast("array<struct<term:string,share:double>>")), docs.sparkSession.sparkContext.broadcast(few)
+    own = _own_flags(texts, pairs).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("text_key", "_text_key")
+    keyed = docs.withColumn("_text_key", F.sha2(F.col(text_col), 256)).withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return keyed.join(own, ["_text_key", "_salt"], "left").drop("_text_key", "_salt"), None
 
 
-def _term_spans(text: str, spans: list, flags: dict) -> list[tuple[int, int, int, float]]:
-    best: dict[tuple[int, int], float] = {}
-    for entity, term, a, b in contexts(text, spans) if flags else ():
-        share = flags.get((entity, term))
+def _term_spans(text: str, spans: list, flags: list[dict]) -> list[tuple[int, int, int, float]]:
+    out = []
+    for a, b in _outside(text, spans) if flags else ():
+        term = text[a:b].lower()
+        share = max((f[term] for f in flags if term in f), default=None)
         if share is not None:
-            best[a, b] = max(share, best.get((a, b), 0.0))
-    return [(a, len(KINDS), b, share) for (a, b), share in sorted(best.items())]
+            out.append((a, len(KINDS), b, share))
+    return out
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(entity_contexts(d), "contexts")
-    return found, written(disclosing_terms(d, found, alpha, support), "disclosing")
+def _prepared(docs: DataFrame, text_col: str, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
+    d = docs.select(F.col(text_col).alias("text"))
+    texts = written(protected_texts(d), "protected")
+    return texts, written(disclosing_terms(d, texts, alpha, support), "disclosing")
 
 
-def _row_flags(batch: pa.RecordBatch, i: int, shared: object) -> dict:
+def _row_flags(batch: pa.RecordBatch, i: int, shared: object, text: str, spans: list) -> list[dict]:
     if shared is not None:
-        return shared.value
-    return {(f["entity"], f["term"]): f["share"] for f in batch.column("_flags")[i].as_py() or ()}
+        return [shared.value[e] for e in entities_of(text, spans) if e in shared.value]
+    own = {f["term"]: f["share"] for f in batch.column("_flags")[i].as_py() or ()}
+    return [own] if own else []
 
 
 def find_pii(docs: DataFrame, alpha: float = 1.25, support: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans of every whole text, and the terms near them that disclose a protected entity or its kind.
+    """Base spans of every whole text, and the terms anywhere in it that disclose a protected entity or its kind.
 
     Returns ``doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256,
     spans``, a row for each input row.  Null and empty texts have no spans.
     Counts behind the disclosure are taken over all documents; repeated rows
     count as documents, but copies of a text give no support of their own.
     """
-    found, pairs = _prepared(docs, id_col, text_col, alpha, support)
-    d, shared = _with_flags(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), found, pairs)
+    texts, pairs = _prepared(docs, text_col, alpha, support)
+    d, shared = _with_flags(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", texts, pairs)
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +326,7 @@ def find_pii(docs: DataFrame, alpha: float = 1.25, support: int = 5, id_col: str
                 base = base_spans(text)
                 if not base:
                     continue
-                terms = _term_spans(text, base, _row_flags(batch, i, shared))
+                terms = _term_spans(text, base, _row_flags(batch, i, shared, text, base))
                 for _, k, _ in base:
                     n[k][i] += 1
                 n[4][i] = len(terms)
@@ -242,13 +359,8 @@ def sanitise_text(text: str, base: list[tuple[int, int, int]], terms: list[tuple
 
 def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in the text; all rows and columns stay."""
-    found, pairs = _prepared(docs, id_col, text_col, alpha, support)
-    d, shared = docs.withColumn("_flags", F.lit(None).cast("array<struct<entity:string,term:string,share:double>>")), None
-    if pairs.count() <= SEND_ROWS:
-        shared = docs.sparkSession.sparkContext.broadcast({(r.entity, r.term): r.share for r in pairs.collect()})
-    else:
-        own = found.join(pairs, ["entity", "term"]).groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_set(F.struct("entity", "term", "share")).alias("_flags"))
-        d = docs.join(own, id_col, "left")
+    texts, pairs = _prepared(docs, text_col, alpha, support)
+    d, shared = _with_flags(docs, text_col, texts, pairs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +370,7 @@ def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 5, id_col: str
             for i, text in _candidates(column):
                 base = base_spans(text)
                 if base:
-                    changed[i] = sanitise_text(text, base, _term_spans(text, base, _row_flags(batch, i, shared)))
+                    changed[i] = sanitise_text(text, base, _term_spans(text, base, _row_flags(batch, i, shared, text, base)))
             if changed:
                 mask = [i in changed for i in range(batch.num_rows)]
                 column = pc.replace_with_mask(column, pa.array(mask), pa.array([changed[i] for i in sorted(changed)], column.type))

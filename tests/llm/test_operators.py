@@ -88,6 +88,21 @@ def test_op1_spans_terms_and_sanitised_text(spark, texts, odd):
     assert P.find_pii(odd).count() == len(ODD) and P.sanitise(odd).columns == odd.columns and P.find_pii(odd.limit(0)).count() == 0
 
 
+def test_op1_same_terms_at_every_size_and_anywhere_in_a_text(spark, monkeypatch):
+    """Terms far from the entity, with combining marks or long, count and go; joined flags equal sent ones, also without an id."""
+    far = ["किन्तु", "étude", "İzmir", "x²", "q" * 60]
+    rows = [(None if i % 3 == 0 else i, f"{' '.join(far)} {' '.join(f'fill{k}' for k in range(60))} mail x{i}@foo.com {i} end") for i in range(12)]
+    rows += [(100 + i, f"{' '.join(f'fill{k}' for k in range(60))} mail {i} end {i}") for i in range(300)] + [rows[0]] * 3 + [(None, None), (500, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    sent, clean = order(P.find_pii(d)), order(P.sanitise(d))
+    assert all(r[5] >= len(far) for r in sent if r[1]) and not any("zmir" in (r[1] or "") or "qqq" in (r[1] or "") for r in clean)
+    assert all("fill7" in r[1] for r in clean if r[1])
+    monkeypatch.setattr(P, "SEND_ROWS", 0)
+    monkeypatch.setattr(P, "GATHER_CHARS", 1000)
+    assert order(P.find_pii(d)) == sent and order(P.sanitise(d)) == clean and sum(r[0] is None and r[5] > 0 for r in sent) == 7
+
+
 def test_op2_held_out_languages(spark, odd):
     d = table(spark, "documents").withColumn("held_out", fold(4, 2))
     model = L.fit_language_model(d, ~F.col("held_out"), rows=300)
