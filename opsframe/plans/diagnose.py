@@ -12,21 +12,26 @@ from opsframe.operators.pods import attach_pod_context, component_health, first_
 from opsframe.plans.knowledge import attach_knowledge
 
 
+def _component_lines(lines: DataFrame, matches: DataFrame, max_pods: int | None = None) -> DataFrame:
+    """All lines of the components' pods with context, whole."""
+    return pair_previous_logs(attach_pod_context(lines, first_pods(matches, max_pods)))
+
+
 def component_logs(lines: DataFrame, matches: DataFrame, tail: int = 1000, max_pods: int | None = None, max_chars: int = 500) -> tuple[DataFrame, DataFrame]:
     """Redacted, then cut, lines of the components' pods with context, and their coverage."""
-    own = pair_previous_logs(attach_pod_context(lines, first_pods(matches, max_pods)))
-    own = tail_per_pod(own, tail, ("namespace", "pod", "log_source"))
+    own = tail_per_pod(_component_lines(lines, matches, max_pods), tail, ("namespace", "pod", "log_source"))
     return own.withColumn("line", cap_text(redact_secrets(F.col("line")), max_chars, "")), log_coverage(own, tail, ("namespace", "pod"))[0]
 
 
-def component_errors(lines: DataFrame, matches: DataFrame, tail: int = 1000) -> DataFrame:
-    """Findings by leaf component over all its pods' lines; line order is by pod, then line."""
-    own = component_logs(lines, matches, tail)[0]
+def component_errors(lines: DataFrame, matches: DataFrame, tail: int | None = None) -> DataFrame:
+    """Findings by leaf component over all its pods' whole lines; line order is by pod, then line.  ``tail``: last lines only of each pod and source."""
+    own = _component_lines(lines, matches)
+    own = tail_per_pod(own, tail, ("namespace", "pod", "log_source")) if tail is not None else own
     order = F.xxhash64("namespace", "pod", "log_source")
     return classify_logs(own.withColumn("line_no", F.struct(order.alias("source"), "line_no")), ("leaf",))
 
 
-def diagnose(components: DataFrame, matches: DataFrame, lines: DataFrame, events: DataFrame, knowledge: DataFrame, wanted: list[str] | None = None, tail: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def diagnose(components: DataFrame, matches: DataFrame, lines: DataFrame, events: DataFrame, knowledge: DataFrame, wanted: list[str] | None = None, tail: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: components (health, findings, confidence), classified warning events, guidance by category.
 
     Confidence is given for each component by itself.  Events do not add

@@ -109,6 +109,15 @@ def log_lines(spark):
     return spark.createDataFrame(rows, "namespace string, pod string, log_source string, line_no long, line string")
 
 
+def test_component_errors_take_all_whole_lines(spark):
+    from opsframe.plans.diagnose import component_errors
+
+    rows = [("nginx", "ng-1", "current", i, "OOMKilled" if i == 0 else "x" * 600 + " connection refused" if i == 1 else "ok") for i in range(1500)]
+    lines = spark.createDataFrame(rows, "namespace string, pod string, log_source string, line_no long, line string")
+    found = {r.category for r in component_errors(lines, pod_matches(spark)).collect()}
+    assert {"oom_killed", "connection_failure"} <= found
+
+
 def test_findings_and_diagnosis(spark):
     f = {r.category: r for r in findings.classify_logs(log_lines(spark), ("pod",)).where("pod = 'ts-1'").collect()}
     assert f["exception"].occurrences == 2 and f["exception"].distinct_messages == 1 and "abc" not in f["generic_error"].samples[0].sample
