@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.llm.components import connected_components
-from opsframe.llm.stages import written
+from opsframe.llm.stages import Scratch, written
 from opsframe.llm.textkit import Words, chunks, mix, shingle_sets, text_buffers
 
-#: Rows up to which a table is sent to all tasks; larger ones are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a table of ids is sent to all tasks; larger ones are joined by shuffling.
+BROADCAST_ROWS = 500_000
 #: Frequent shingles that are put last in the common order; a bound on what is sent, any order gives the same result.
 ORDERED_SHINGLES = 500_000
+#: Comparisons with one set that a task makes in a row; the set travels once for each such group.
+GROUP = 512
 STAR_KEYS = 4
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, 8, dtype=np.uint64)
 
@@ -26,58 +30,71 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    raw, offsets = text_buffers(batch.column("text"))
-    for lo, hi in chunks(raw, offsets):
-        words = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        for i, s in enumerate(shingle_sets(words, width)):
-            yield lo + i, s
+def _words64(x: pa.Scalar) -> np.ndarray:
+    """A set, or a part of one, from its bytes."""
+    buffer = x.as_buffer() if x.is_valid else None
+    return np.frombuffer(buffer, np.uint64) if buffer is not None and buffer.size else np.zeros(0, np.uint64)
 
 
-def _describe(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Of every document: set size, 128-bit signature and star keys; and shingles that are frequent in some stretch.
+def _describe(docs: DataFrame, width: int) -> DataFrame:
+    """A row for each document, and rows of shingles that are frequent in some stretch.
 
-    A star key is the smallest shingle under a permutation: highly similar sets
-    mostly share it.  Stretches of two million shingles report those found in at
-    least four of their different sets.
+    Of a document: a row number, set size, 128-bit signature, star keys and set.
+    The set (sorted 64-bit shingles) is only kept where its signature is new in
+    the stretch.  A star key is the smallest shingle under a permutation: highly
+    similar sets mostly share it.  A stretch is two million shingles of one
+    task; it reports the shingles of at least four of its different sets, in
+    rows without a number (``a`` the shingle, ``n`` its count).
     """
+    fields = ["doc_id", "row", "n", "a", "b", "keys", "set"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        at = TaskContext.get().partitionId() << 40
+        seen: set[tuple[int, int]] = set()
         stretch: list[np.ndarray] = []
-        held = 0
+        held, id_type = 0, None
 
         def frequent() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(stretch), return_counts=True) if stretch else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            k, n = np.unique(np.concatenate(stretch), return_counts=True)
             k, n = k[n >= 4], n[n >= 4]
-            none = pa.nulls(len(k), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), pa.array(k.view(np.int64)), none, pa.nulls(len(k), pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "keys"])
+            none = lambda t: pa.nulls(len(k), t)
+            return pa.RecordBatch.from_arrays([none(id_type), none(pa.int64()), pa.array(n, pa.int64()), pa.array(k.view(np.int64)), none(pa.int64()), none(pa.list_(pa.int64())), none(pa.binary())], fields)
 
         for batch in batches:
-            size, a, b, keys = (np.zeros(batch.num_rows, np.int64) for _ in range(4))
-            keys = np.zeros((batch.num_rows, STAR_KEYS), np.uint64)
-            a, b = a.view(np.uint64), b.view(np.uint64)
-            for i, s in _sets(batch, width):
-                size[i] = len(s)
-                if len(s):
-                    m = mix(s ^ _SEEDS[0])
-                    a[i], b[i] = m.sum(), mix(s ^ _SEEDS[1]).sum()
-                    keys[i] = [(m * _SEEDS[2 + k] ^ _SEEDS[3]).min() ^ np.uint64(k) for k in range(STAR_KEYS)]
-                    if int(a[i]) not in seen:
-                        seen.add(int(a[i]))
-                        stretch.append(s)
-                        held += len(s)
+            id_type = batch.column("doc_id").type
+            raw, offsets = text_buffers(batch.column("text"))
+            for lo, hi in chunks(raw, offsets):
+                words = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                size, sign = np.zeros(hi - lo, np.int64), np.zeros((2, hi - lo), np.uint64)
+                keys: list[np.ndarray | None] = [None] * (hi - lo)
+                sets: list[bytes | None] = [None] * (hi - lo)
+                for i, s in enumerate(shingle_sets(words, width)):
+                    size[i] = len(s)
+                    if len(s):
+                        m = mix(s ^ _SEEDS[0])
+                        sign[0, i], sign[1, i] = m.sum(), mix(s ^ _SEEDS[1]).sum()
+                        mark = (int(sign[0, i]), int(sign[1, i]))
+                        if mark not in seen:
+                            seen.add(mark)
+                            stretch.append(s)
+                            held += len(s)
+                            keys[i] = np.array([(m * _SEEDS[2 + k] ^ _SEEDS[3]).min() ^ np.uint64(k) for k in range(STAR_KEYS)]).view(np.int64)
+                            sets[i] = s.tobytes()
+                n = hi - lo
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id")[lo:hi], pa.array(np.arange(at, at + n)), pa.array(size), *(pa.array(x.view(np.int64)) for x in sign), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], fields
+                )
+                at += n
                 if held > 1 << 21:
                     yield frequent()
-                    stretch, held = [], 0
+                    stretch.clear()
                     seen.clear()
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * STAR_KEYS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), flat], ["doc_id", "n", "a", "b", "keys"])
-        yield frequent()
+                    held = 0
+        if stretch:
+            yield frequent()
 
-    both = written(docs.mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>"), "sets")
-    common = both.where("keys is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "token")
-    return both.where("keys is not null"), common
+    return docs.mapInArrow(run, f"doc_id {kind}, row long, n long, a long, b long, keys array<long>, set binary")
 
 
 class _Order:
@@ -87,126 +104,208 @@ class _Order:
         rank = np.argsort(tokens)
         self.tokens, self.counts = tokens[rank], counts[rank]
 
+    def known(self, s: np.ndarray) -> np.ndarray:
+        """Estimated frequency of each shingle, 0 for those that are not frequent."""
+        if not len(self.tokens):
+            return np.zeros(len(s), np.int64)
+        i = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+        return np.where(self.tokens[i] == s, self.counts[i], 0)
+
     def prefix(self, s: np.ndarray, length: int) -> np.ndarray:
-        if len(self.tokens):
-            i = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-            n = np.where(self.tokens[i] == s, self.counts[i], 0)
-            if n.any():
-                return s[np.argsort(n, kind="stable")[:length]]
-        return s[:length]
+        n = self.known(s)
+        return s[np.argsort(n, kind="stable")[:length]] if n.any() else s[:length]
 
 
-def _centrality(docs: DataFrame, order: object, width: int) -> DataFrame:
-    """``doc_id, central``: share of a set's shingles that are frequent."""
+def _central(sets: DataFrame, order: object) -> DataFrame:
+    """``row, central``: share of a set's shingles that are frequent; edited copies lack some of those of their original."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = order.value.tokens
         for batch in batches:
-            share = np.zeros(batch.num_rows)
-            for i, s in _sets(batch, width):
-                if len(s) and len(known):
-                    share[i] = (known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s).mean()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(share)], ["doc_id", "central"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, central double").groupBy("doc_id").agg(F.max("central").alias("central"))
-
-
-def _compatible(a: str, b: str, num: int, den: int) -> Column:
-    """Whether set sizes allow the similarity; ``lo`` and ``hi`` bound the sizes of a star's sets."""
-    c = lambda x: F.col(x)
-    return (den * c(f"{a}.hi") >= num * c(f"{b}.lo")) & (den * c(f"{b}.hi") >= num * c(f"{a}.lo"))
-
-
-def _with_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``pairs`` (x, y) with the sets of both, ``sx`` and ``sy``, as sorted 64-bit words.
-
-    Only texts of documents in a pair are read into sets.  The sets move to the
-    pairs in two joins on single ids, whose large groups Spark can split.
+            share = [float((order.value.known(_words64(x)) > 0).mean()) for x in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(share, pa.float64())], ["row", "central"])
+
+    return sets.select("row", "set").mapInArrow(run, "row long, central double")
+
+
+class _Sets:
+    """Comparisons of sets that are stored by row number."""
+
+    def __init__(self, table: DataFrame, work: Scratch):
+        self.table, self.work = table.select("row", "set"), work
+
+    def of(self, ids: DataFrame, name: str) -> DataFrame:
+        """``name, set`` for the given ids (one column)."""
+        ids = _small(self.work.written(ids.toDF("asked").distinct(), "ids"))
+        return self.table.join(ids, F.col("row") == F.col("asked"), "left_semi").select(F.col("row").alias(name), "set")
+
+    def compared(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
+        """``pairs`` (x, y) with both sizes ``nx``, ``ny`` and the intersection's, ``both``; also what x has more (``plus``) and less (``minus``), if asked for."""
+        mine = self.of(pairs.select("x"), "x").withColumnRenamed("set", "mine").withColumn("less", F.lit(None).cast("binary"))
+        return self._against(pairs.select("x", "y", F.lit(0).cast("long").alias("start")), mine, differences)
+
+    def derived(self, rows: DataFrame, beyond: DataFrame) -> DataFrame:
+        """``x, y, both``: |x & y|, derived from |p & y| (``start``) of a similar set p by what x has more (``mine``) and less (``less``) than p.
+
+        ``rows``: x, y, start; ``beyond``: x, mine, less.
+        """
+        return self._against(rows, beyond, False).select("x", "y", "both")
+
+    def _against(self, rows: DataFrame, mine: DataFrame, differences: bool) -> DataFrame:
+        """Rows (x, y, start) with what x has meet the set of their y, which is sent once for each ``GROUP`` of them."""
+        hot = self.work.written(rows.groupBy(F.col("y").alias("hot")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP), "hot")
+        part = F.coalesce(F.pmod(F.xxhash64("x"), F.ceil(F.col("k") / GROUP)), F.lit(0))
+        rows = rows.join(_small(hot), F.col("y") == F.col("hot"), "left").withColumn("part", part).drop("hot", "k")
+        ends = self.work.written(rows.select("y", "part").distinct(), "ends")
+        sets = ends.join(self.of(ends.select("y"), "y"), "y")
+        sets = sets.select(F.lit(None).cast("long").alias("x"), "y", F.col("set").alias("mine"), F.lit(None).cast("binary").alias("less"), F.lit(0).cast("long").alias("start"), "part")
+        placed = sets.unionByName(rows.join(mine, "x")).repartition("y", "part").sortWithinPartitions("y", "part", F.col("x").asc_nulls_first())
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current = np.zeros(0, np.uint64)
+            for batch in batches:
+                rows, nx, ny, both, plus, minus = [], [], [], [], [], []
+                named = np.asarray(batch.column("x").is_valid())
+                start = batch.column("start").to_pylist()
+                for i, m in enumerate(batch.column("mine")):
+                    s = _words64(m)
+                    if not named[i]:
+                        current = s.copy()  # the batch does not outlive its turn
+                        continue
+                    hit = np.isin(s, current, assume_unique=True)
+                    less = _words64(batch.column("less")[i])
+                    rows.append(i)
+                    nx.append(len(s))
+                    ny.append(len(current))
+                    both.append(start[i] + int(hit.sum()) - int(np.isin(less, current, assume_unique=True).sum()))
+                    if differences:
+                        plus.append(s[~hit].tobytes())
+                        minus.append(np.setdiff1d(current, s, assume_unique=True).tobytes())
+                at = pa.array(rows, pa.int64())
+                out = [batch.column("x").take(at), batch.column("y").take(at), *(pa.array(c, pa.int64()) for c in (nx, ny, both))]
+                yield pa.RecordBatch.from_arrays([*out, *((pa.array(c, pa.binary()) for c in (plus, minus)) if differences else ())], fields)
+
+        fields = ["x", "y", "nx", "ny", "both", *(("plus", "minus") if differences else ())]
+        return placed.mapInArrow(run, "x long, y long, nx long, ny long, both long" + (", plus binary, minus binary" if differences else ""))
+
+
+def _entries(sets: DataFrame, order: object, num: int, den: int) -> DataFrame:
+    """Entries of the inverted lists: the prefix shingles of every set, with size, place and block of sizes.
+
+    ``sets``: row, set, unit (of stars: the pivot).  Blocks hold sizes within a
+    factor of (den / num) ** 4; a set so near its block's upper end that the
+    next block holds similar sets is ``over``.
     """
-    ids = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "pair-ids")
-    wanted = docs.join(_small(ids), "doc_id", "left_semi")
+    reach = math.log(den / num) * (1 + 1e-9)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, s.tobytes()) for i, s in _sets(batch, width)]
-            for lo in range(0, len(found), 1000):
-                part = found[lo : lo + 1000]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i for i, _ in part])), pa.array([s for _, s in part], pa.binary())], ["doc_id", "set"])
-
-    sets = wanted.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
-    one = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("set").alias("sx")), "x")
-    two = one.join(sets.select(F.col("doc_id").alias("y"), F.col("set").alias("sy")), "y")
-    return two.select("x", "y", "sx", "sy")
-
-
-def _overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``pairs`` (x, y) with the set sizes ``nx``, ``ny`` and the exact size of the intersection, ``both``."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nx, ny, both = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            for i, (p, q) in enumerate(zip(batch.column("sx"), batch.column("sy"), strict=True)):
-                a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                u = np.sort(np.concatenate((a, b)))
-                nx[i], ny[i], both[i] = len(a), len(b), (u[1:] == u[:-1]).sum()
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(nx), pa.array(ny), pa.array(both)], ["x", "y", "nx", "ny", "both"])
+            tokens, n, rows = [], [], []
+            for i, x in enumerate(batch.column("set")):
+                s = _words64(x)
+                p = order.value.prefix(s, len(s) - (num * len(s) + den - 1) // den + 1)
+                tokens.append(p)
+                n.append(len(s))
+                rows.append(len(p))
+            if not tokens:
+                continue
+            size = np.log(np.maximum(np.array(n), 1))
+            block = np.floor(size / (4 * reach)).astype(np.int32)
+            over = np.floor((size + reach) / (4 * reach)).astype(np.int32) > block
+            each = np.repeat(np.arange(len(rows)), rows)
+            place = np.arange(len(each)) - np.repeat(np.cumsum(rows) - rows, rows)
+            t, n = np.concatenate(tokens).view(np.int64), np.array(n)
+            for lo in range(0, len(t), 1 << 16):
+                k = slice(lo, lo + (1 << 16))
+                at = pa.array(each[k])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t[k]), batch.column("unit").take(at), batch.column("starred").take(at), pa.array(n[each[k]].astype(np.int32)), pa.array(place[k].astype(np.int32)), pa.array(block[each[k]]), pa.array(over[each[k]])],
+                    ["token", "unit", "starred", "n", "place", "block", "over"],
+                )
 
-    return written(_with_sets(docs, pairs, width).mapInArrow(count, "x long, y long, nx long, ny long, both long"), "overlaps")
+    return sets.select("unit", "starred", "set").mapInArrow(run, "token long, unit long, starred boolean, n int, place int, block int, over boolean")
 
 
-def _differences(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``x, y, token``: the shingles of x that y lacks, for each pair."""
+def _meetings(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """``x, y``: units that may hold similar sets, from lists whose blocks are skipped by size and entries by place.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, tokens = [], []
-            for i, (p, q) in enumerate(zip(batch.column("sx"), batch.column("sy"), strict=True)):
-                t = np.setdiff1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), assume_unique=True)
-                rows.append(np.full(len(t), i))
-                tokens.append(t)
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column("x").take(at), batch.column("y").take(at), pa.array(np.concatenate(tokens).view(np.int64))], ["x", "y", "token"])
-
-    return written(_with_sets(docs, pairs, width).mapInArrow(run, "x long, y long, token long"), "differences")
-
-
-def _member_pairs(docs: DataFrame, open_pairs: DataFrame, members: DataFrame, sizes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs of members (mx, my) of ``open_pairs`` (x, y, d, both) of pivots that may link although their pivots do not.
-
-    Sets a and b of the stars of p and q share at most what p and q share, and
-    what one of them has beyond its pivot.  So a pair needs sizes so small that
-    |p & q| is enough, or a shingle beyond a pivot in common: one that both have
-    beyond their pivots, or one beyond a's pivot that q has and p lacks, or the
-    same the other way round.  Each kind is found by equality of shingles; pairs
-    with none of these are settled by their pivots' answer.
+    A list (shingle) is split into blocks of sizes: entries meet within their
+    block, and the ``over`` ones in the next; all other blocks are skipped.  The
+    sets of a star have one entry in a block, with the bounds of their sizes and
+    places.  At the first shingle that two similar sets share, what follows in
+    both is enough for the overlap; at later ones, what came before counts too.
+    Beyond the prefixes two sets share no more than the longer rest.
+    """
+    keys = ["token", "unit", "block"]
+    bounds = ["lo", "hi", "first", "last"]
+    single = entries.where("not starred").select(*keys, F.col("n").alias("lo"), F.col("n").alias("hi"), F.col("place").alias("first"), F.col("place").alias("last"), "over")
+    star = entries.where("starred").groupBy(*keys).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("place").alias("first"), F.max("place").alias("last"), F.bool_or("over").alias("over"))
+    both = single.unionByName(star)
+    cells = F.when(F.col("over"), F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))
+    both = both.select("token", "unit", "block", *bounds, F.explode(cells).alias("cell"))
+    p, q = both.alias("p"), both.alias("q")
+    c = F.col
+    home = (c("p.block") == c("p.cell")) | (c("q.block") == c("q.cell"))
+    sizes = (den * c("p.hi") >= num * c("q.lo")) & (den * c("q.hi") >= num * c("p.lo"))
+    rest = F.least(c("p.hi") - c("p.first"), c("q.hi") - c("q.first"))
+    enough = lambda before: (num + den) * (before + rest) >= num * (c("p.lo") + c("q.lo"))
+    meet = p.join(q, (c("p.token") == c("q.token")) & (c("p.cell") == c("q.cell")) & (c("p.unit") < c("q.unit")) & home & sizes & enough(F.least("p.last", "q.last")))
+    meet = meet.groupBy(c("p.unit").alias("x"), c("q.unit").alias("y")).agg(
+        F.count(F.lit(1)).alias("shared"), F.bool_or(enough(F.lit(0))).alias("first"),
+        F.min("p.lo").alias("plo"), F.max("p.hi").alias("phi"), F.min("q.lo").alias("qlo"), F.max("q.hi").alias("qhi"),
+    )
+    rest = lambda hi: F.ceil(num * c(hi) / den) - 1
+    return meet.where("first").where((num + den) * (c("shared") + F.greatest(rest("phi"), rest("qhi"))) >= num * (c("plo") + c("qlo"))).select("x", "y")
+
+
+def _linked(nx: str | Column, ny: str | Column, both: str | Column, num: int, den: int) -> Column:
+    nx, ny, both = (F.col(v) if isinstance(v, str) else v for v in (nx, ny, both))
+    return (num + den) * both >= num * (nx + ny)
+
+
+def _star_answers(sets: _Sets, work: Scratch, open_pairs: DataFrame, members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of labels (lx, ly) of stars whose members link though their pivots do not.
+
+    ``open_pairs``: x, y, both, lx, ly of pivots that are compared but neither
+    linked nor in one component.  A member's answer follows from its pivot's:
+    |m & y| is |x & y|, more what the member has beyond its pivot, less what it
+    lacks.  Members that could link with the other pivot by that bound are
+    settled first, by looking their few differing shingles up.  For stars that
+    are still apart, members of both meet where both bounds leave room.
     """
-    slack = 1 - num / den + 1e-9
-    asked = open_pairs.select(F.explode(F.array("x", "y")).alias("star")).distinct()
-    inner = written(members.join(asked, "star", "left_semi").select("star", "rep", F.col("d").alias("dm")), "inner-members")
-    within = inner.unionByName(asked.select("star", F.col("star").alias("rep"), F.lit(0.0).alias("dm"))).join(sizes, "rep")
-    pairs = inner.select(F.col("rep").alias("x"), F.col("star").alias("y")).unionByName(open_pairs.select("x", "y")).unionByName(open_pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    beyond = _differences(docs, pairs.distinct(), width)
-    own = beyond.join(inner.select(F.col("rep").alias("x"), F.col("star").alias("y")), ["x", "y"], "left_semi").select(F.col("y").alias("star"), F.col("x").alias("rep"), "token")
-    side = lambda s, *c: within.select(F.col("star").alias(s), F.col("rep").alias(f"m{s}"), *c)
-    ends = open_pairs.select("x", "y")
-
-    a = own.select(F.col("star").alias("x"), F.col("rep").alias("mx"), "token")
-    b = own.select(F.col("star").alias("y"), F.col("rep").alias("my"), "token")
-    both = a.join(b, "token").where("x < y").join(ends, ["x", "y"], "left_semi").select("x", "y", "mx", "my")
-    other = lambda s, o: beyond.join(ends.select(F.col(o).alias("x"), F.col(s).alias("y")), ["x", "y"], "left_semi").select(F.col("y").alias(s), F.col("x").alias(o), "token")
-    left = a.join(other("x", "y"), ["x", "token"]).select("x", "y", "mx").distinct().join(side("y"), "y").select("x", "y", "mx", "my")
-    right = b.join(other("y", "x"), ["y", "token"]).select("x", "y", "my").distinct().join(side("x"), "x").select("x", "y", "mx", "my")
-    least = within.groupBy("star").agg(F.min("n").alias("least"))
-    least_of = lambda s: least.select(F.col("star").alias(s), F.col("least").alias(f"n{s}"))
-    fits = lambda u, v: num * (F.col(u) + F.col(v)) <= (num + den) * F.col("both")
-    short = open_pairs.select("x", "y", "both").join(least_of("x"), "x").join(least_of("y"), "y").where(fits("nx", "ny")).select("x", "y", "both")
-    short = short.join(side("x", F.col("n").alias("nmx")), "x").join(side("y", F.col("n").alias("nmy")), "y").where(fits("nmx", "nmy")).select("x", "y", "mx", "my")
-
-    found = both.unionByName(left).unionByName(right).unionByName(short).distinct().where("mx <> my").join(open_pairs.select("x", "y", "d", "lx", "ly"), ["x", "y"])
-    depth = lambda s: within.select(F.col("star").alias(s), F.col("rep").alias(f"m{s}"), F.col("dm").alias(f"d{s}"))
-    found = found.join(depth("x"), ["x", "mx"]).join(depth("y"), ["y", "my"]).where((F.col("dx") + F.col("dy") > 0) & (F.col("d") <= F.col("dx") + F.col("dy") + slack))
-    return written(found.select(F.col("mx").alias("x"), F.col("my").alias("y"), "lx", "ly").distinct(), "member-pairs")
+    turned = open_pairs.select(F.col("x").alias("star"), F.col("y").alias("other"), "both", F.col("lx").alias("ls"), F.col("ly").alias("lo"))
+    turned = turned.unionByName(open_pairs.select(F.col("y").alias("star"), F.col("x").alias("other"), "both", F.col("ly").alias("ls"), F.col("lx").alias("lo")))
+    other = sizes.select(F.col("row").alias("other"), F.col("n").alias("n_other"))
+    near = members.select(F.col("x").alias("m"), "star", "n", "n_plus").join(turned, "star").join(other, "other")
+    near = near.where(_linked("n", "n_other", F.least(F.col("both") + F.col("n_plus"), F.col("n"), F.col("n_other")), num, den))
+    near = work.written(near.select("m", "star", "other", "n", "n_other", "both", "ls", "lo"), "near-members")
+    rows = near.select(F.col("m").alias("x"), F.col("other").alias("y"), F.col("both").alias("start"))
+    exact = work.written(sets.derived(rows, members.select("x", F.col("plus").alias("mine"), F.col("minus").alias("less"))), "derived").select(F.col("x").alias("m"), F.col("y").alias("other"), F.col("both").alias("found"))
+    near = work.written(near.join(exact, ["m", "other"]), "settled")
+    labels = lambda a, b: (F.least(a, b).alias("lx"), F.greatest(a, b).alias("ly"))
+    links = work.written(near.where(_linked("n", "n_other", "found", num, den)).select(*labels("ls", "lo")).distinct(), "label-links")
+
+    left = open_pairs.withColumns({"l1": F.least("lx", "ly"), "l2": F.greatest("lx", "ly")}).join(links.toDF("l1", "l2"), ["l1", "l2"], "left_anti")
+    left = left.select("x", "y", F.col("both").alias("pq"), "lx", "ly")
+    stats = work.written(members.groupBy(F.col("star").alias("s")).agg(F.max("n_plus").alias("most"), F.min("n").alias("least")), "star-bounds")
+    side = lambda s: stats.select(F.col("s").alias(s), F.col("most").alias(f"most_{s}"), F.col("least").alias(f"least_{s}"))
+    left = left.join(side("x"), "x").join(side("y"), "y")  # both have members, else all is settled
+    left = left.where(_linked("least_x", "least_y", F.col("pq") + F.col("most_x") + F.col("most_y"), num, den))
+    left = work.written(left, "open-stars")
+    if left.isEmpty():
+        return links
+    found = near.select(F.col("m").alias("v"), F.col("star").alias("w"), "other", "found")
+    sided = lambda s, o: (
+        members.select(F.col("x").alias("v"), F.col("star").alias("w"), "n", "n_plus").join(left.select(F.col(s).alias("w"), F.col(o).alias("other"), "pq", F.col(f"most_{o}").alias("most"), F.col(f"least_{o}").alias("least")), "w")
+        .join(found, ["v", "w", "other"], "left").withColumn("reach", F.least(F.coalesce("found", F.col("pq") + F.col("n_plus")), F.col("n")))
+        .where(_linked("n", "least", F.col("reach") + F.col("most"), num, den))
+        .select(F.col("v").alias(f"m{s}"), F.col("w").alias(s), F.col("other").alias(o), F.col("n").alias(f"n{s}"), F.col("n_plus").alias(f"plus_{s}"), F.col("reach").alias(f"reach_{s}"))
+    )
+    a, b = work.written(sided("x", "y"), "side-x"), work.written(sided("y", "x"), "side-y")
+    most = F.least(F.col("reach_x") + F.col("plus_y"), F.col("reach_y") + F.col("plus_x"))
+    pairs = a.join(b, ["x", "y"]).where(_linked("nx", "ny", most, num, den)).select(F.col("mx"), F.col("my"), "x", "y")
+    pairs = work.written(pairs.join(left.select("x", "y", "lx", "ly"), ["x", "y"]).select(F.col("mx").alias("x"), F.col("my").alias("y"), "lx", "ly"), "member-pairs")
+    same = work.written(sets.compared(pairs.select("x", "y").distinct()).where(_linked("nx", "ny", "both", num, den)).select("x", "y"), "member-links")
+    return links.unionByName(pairs.join(same, ["x", "y"]).select(*labels("lx", "ly")).distinct())
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,159 +313,113 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
 
     Exact, without expanding groups of copies into pairs:
 
-    1. Documents with equal sets form a class, represented by its smallest id.
-    2. Star links: representatives that share two star keys with the keys' pivot
-       are compared with it; those that link to it join its star, with their
-       distance.  Work is linear in the number of documents, whatever the groups.
+    1. Documents with equal sets form a class, known by the row that holds its set.
+    2. Star links: classes that share two star keys with the keys' pivot are
+       compared with it; those that link join its star, and keep what they have
+       more and less than their pivot.  Work is linear in the classes.
     3. Index: each set enters the inverted lists of its prefix (the shingles of
        which any similar set must share one, in a common order with frequent
-       shingles last).  List entries carry size and position, which skip entries
-       that cannot reach the overlap, and sets of a star enter as their pivot;
-       pairs that share too few prefix shingles are dropped.
-    4. Pivots that meet in a list are compared.  For pivots that do not link,
-       the Jaccard distance is a metric, so the pivot's answer settles a
-       member's unless d(p, q) <= d(x, p) + 1 - num/den + d(y, q); only those
-       member pairs are compared themselves, only where the two stars are not
-       in one component already, and only those that have a shingle in common
-       which their pivots have not.
+       shingles last); sets of a star enter as their pivot.  Blocks of a list
+       are skipped by size, entries by place.
+    4. Pivots that meet in a list are compared.  Members of pivots that do not
+       link derive their answers from the pivots' (``_star_answers``), only
+       where their two stars are not in one component already.
 
     Words: ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Fewer words than
     ``width`` make one shingle; null or empty texts have none and link with
     nothing.  Returns ``doc_id, n_shingles, component_id`` (the smallest id
-    reachable), a row for each input row.  Rows with a null id keep a null
-    component.  An id is taken to name one text: of rows that repeat an id with
-    other texts, each reports its own set, and links found through any of them
-    join the id's component.
+    reachable), a row for each input row, with ids of any orderable type.  Rows
+    with the same id are one document: where they have different texts, links
+    of any of these texts join them.  Rows with a null id link like others and
+    report the smallest id that they reach, or null.  Rows without a word
+    report their own id.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described, common = _describe(d, width)
-    named = described.where("doc_id is not null and n > 0")
-    classes = written(named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
-
-    order = common.where("n >= 16").orderBy(F.desc("n"), "token").limit(ORDERED_SHINGLES).toPandas()
-    shared = d.sparkSession.sparkContext.broadcast(_Order(order["token"].to_numpy(np.int64).view(np.uint64), order["n"].to_numpy(np.int64)))
-
-    # stars: the pivot of a key is its set with the largest share of frequent shingles, which edited copies lack
-    keyed = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    keyed = written(keyed.join(several, "key"), "keyed")
-    central = _centrality(d.join(_small(written(keyed.select(F.col("rep").alias("doc_id")).distinct(), "keyed-ids")), "doc_id", "left_semi"), shared, width)
-    keyed = keyed.join(central, keyed["rep"] == central["doc_id"]).drop("doc_id")
-    pivots = keyed.groupBy("key").agg(F.max(F.struct("central", -F.col("rep"), "n")).alias("pivot")).select("key", (-F.col("pivot.col2")).alias("pivot"), F.col("pivot.n").alias("pivot_n"))
-    near = keyed.join(pivots, "key").where((F.col("rep") != F.col("pivot")) & (den * F.least("pivot_n", "n") >= num * F.greatest("pivot_n", "n")))
-    near = near.groupBy(F.col("rep").alias("x"), F.col("pivot").alias("y")).agg(F.count(F.lit(1)).alias("keys")).where("keys >= 2").select("x", "y")
-    linked = lambda o: o.where(den * F.col("both") >= num * (F.col("nx") + F.col("ny") - F.col("both")))
-    distance = 1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))
-    star_links = linked(_overlaps(d, written(near, "star-pairs"), width)).withColumn("d", distance)
-    # a pivot that joins another star keeps its own members, so all distances are to a compared pivot
-    members = written(star_links.groupBy("x").agg(F.min(F.struct("d", "y")).alias("best")).select(F.col("x").alias("rep"), F.col("best.y").alias("star"), F.col("best.d").alias("d")), "stars")
-
-    # index
-    centres = members.groupBy("star").agg(F.max("d").alias("radius"))
-    copies = named.join(classes.select("a", "b", F.col("n").alias("n"), "rep"), ["a", "b", "n"]).where("doc_id <> rep").select("doc_id").distinct()
-    copies = copies.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
-    special = copies.select("doc_id", F.lit(None).cast("long").alias("star"), F.lit(True).alias("copy"))
-    special = special.unionByName(members.select(F.col("rep").alias("doc_id"), "star", F.lit(False).alias("copy")))
-    own = centres.select(F.col("star").alias("doc_id")).join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
-    special = written(special.unionByName(own.select("doc_id", F.col("doc_id").alias("star"), F.lit(False).alias("copy"))), "special")
-
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            star = batch.column("star")
-            in_star = np.asarray(star.is_valid())
-            ids = np.asarray(batch.column("doc_id"))
-            node = np.where(in_star, np.asarray(star.fill_null(0)), ids)
-            tokens, rows, places = [], [], []
-            for i, s in _sets(batch, width):
-                n = len(s)
-                if n:
-                    p = shared.value.prefix(s, n - (num * n + den - 1) // den + 1)
-                    tokens.append(p)
-                    rows.append(np.array([i, n, len(p)]))
-                    places.append(np.arange(len(p)))
-            if not tokens:
-                continue
-            rows_ = np.repeat(np.array(rows), [r[2] for r in rows], axis=0)
-            t, at, n, pos = np.concatenate(tokens), rows_[:, 0], rows_[:, 1], np.concatenate(places)
-            lo = hi = n
-            pos = np.where(in_star[at], -1, pos)  # unknown: a star's sets have it in various places
-            s = node[at]
-            dup = np.flatnonzero(in_star[at])
-            if len(dup):  # one entry for each star and shingle of this batch
-                o = dup[np.lexsort((s[dup], t[dup]))]
-                first = np.flatnonzero(np.concatenate(([True], (t[o][1:] != t[o][:-1]) | (s[o][1:] != s[o][:-1]))))
-                lo, hi = n.copy(), n.copy()
-                lo[o[first]], hi[o[first]] = np.minimum.reduceat(n[o], first), np.maximum.reduceat(n[o], first)
-                keep = np.ones(len(t), bool)
-                keep[np.setdiff1d(o, o[first])] = False
-                t, s, lo, hi, pos = t[keep], s[keep], lo[keep], hi[keep], pos[keep]
-            for k in range(0, len(t), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(t[part].view(np.int64)), pa.array(s[part]), *(pa.array(c[part].astype(np.int32)) for c in (lo, hi, pos))], ["token", "star", "lo", "hi", "pos"]
-                )
-
-    texts = d.where("doc_id is not null").join(_small(special), "doc_id", "left").where("copy is null or not copy").select("doc_id", "text", "star")
-    entries = texts.mapInArrow(index, "token long, star long, lo int, hi int, pos int")
-    # The first shared shingle of two sets leaves them the overlap of what follows it; a later one can have as many before it as its place.
-    room = lambda x: F.col(f"{x}.hi") - F.greatest(F.col(f"{x}.pos"), F.lit(0))
-    known = (F.col("p.pos") >= 0) & (F.col("q.pos") >= 0)
-    before = F.greatest(F.when(known, F.least("p.pos", "q.pos")).otherwise(F.greatest("p.pos", "q.pos")), F.lit(0))
-    needed = num * (F.col("p.lo") + F.col("q.lo"))
-    may_be = lambda ahead: (num + den) * (ahead + F.least(room("p"), room("q"))) >= needed
-    meet = entries.alias("p").join(entries.alias("q"), F.col("p.token") == F.col("q.token"))
-    meet = meet.where((F.col("p.star") < F.col("q.star")) & _compatible("p", "q", num, den))
-    meet = meet.where(may_be(before))
-    meet = meet.groupBy(F.col("p.star").alias("x"), F.col("q.star").alias("y")).agg(
-        F.count(F.lit(1)).alias("shared"), F.bool_or(may_be(F.lit(0))).alias("first"), *[f(f"{a}.{c}").alias(f"{a}{c}") for a in "pq" for f, c in ((F.min, "lo"), (F.max, "hi"))]
-    )
-    # beyond the prefixes two sets can share no more than the longer rest
-    rest = lambda x: F.ceil(num * F.col(f"{x}hi") / den) - 1
-    meet = meet.where("first").where((num + den) * (F.col("shared") + F.greatest(rest("p"), rest("q"))) >= num * (F.col("plo") + F.col("qlo")))
-    met = written(meet.select("x", "y"), "pivot-pairs")
-    compared = _overlaps(d, met, width).withColumn("d", distance)
-    pivot_links = linked(compared)
-
-    # what is linked so far
-    centre_of = members.select(F.col("rep").alias("x"), F.col("star").alias("sx"))
-    links = star_links.select("x", "y").join(centre_of, "x").select(F.col("sx").alias("u"), F.col("y").alias("v"))
-    links = links.unionByName(members.select(F.col("rep").alias("u"), F.col("star").alias("v")).join(centres.select(F.col("star").alias("u")), "u", "left_semi"))
-    links = links.unionByName(pivot_links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    labels = written(connected_components(links), "labels")
-
-    # members whose pivots are too close to settle their answers, and not linked yet
-    apart = compared.where(den * F.col("both") < num * (F.col("nx") + F.col("ny") - F.col("both")))
-    named_as = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-    radius = lambda side: centres.select(F.col("star").alias(side), F.col("radius").alias(f"r{side}"))
-    slack = 1 - num / den + 1e-9
-    open_pairs = apart.join(radius("x"), "x", "left").join(radius("y"), "y", "left").fillna(0.0, ["rx", "ry"])
-    open_pairs = open_pairs.where((F.col("rx") + F.col("ry") > 0) & (F.col("d") <= F.col("rx") + F.col("ry") + slack))
-    open_pairs = open_pairs.join(named_as("x"), "x", "left").join(named_as("y"), "y", "left").select("x", "y", "d", "both", F.coalesce("lx", "x").alias("lx"), F.coalesce("ly", "y").alias("ly"))
-    open_pairs = written(open_pairs.where("lx <> ly"), "open-pairs")
-    if not open_pairs.isEmpty():
-        sizes = classes.groupBy("rep").agg(F.min("n").alias("n"))
-        inner = _member_pairs(d, open_pairs, members, sizes, width, num, den)
-        found = linked(_overlaps(d, inner.select("x", "y").distinct(), width)).select("x", "y").join(inner, ["x", "y"])
-        merged = connected_components(found.select(F.col("lx").alias("u"), F.col("ly").alias("v"))).select(F.col("node").alias("l"), F.col("label").alias("m"))
-        nodes = labels.unionByName(merged.select(F.col("l").alias("node"), F.col("l").alias("label"))).distinct()
-        labels = written(nodes.join(merged, nodes["label"] == merged["l"], "left").select("node", F.coalesce("m", "label").alias("label")).distinct(), "labels")
-
-    # components of documents
-    classes = classes.join(members.select("rep", "star"), "rep", "left").withColumn("node", F.coalesce("star", "rep"))
-    classes = classes.join(labels, "node", "left").select("a", "b", "n", "rep", F.coalesce("label", "node").alias("label"))
-    least = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(least, "label").select("a", "b", "n", "component_id")
-    out = described.select("doc_id", "n", "a", "b").join(classes, ["a", "b", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    spark = d.sparkSession
+    with Scratch(spark, "jaccard") as work:
+        table = work.written(_describe(d, width), "sets")
+        described = table.where("row is not null").select("doc_id", "row", "n", "a", "b")
+        same = ["a", "b", "n"]
+        held = table.where("set is not null")
+        classes = described.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("least"))
+        holders = held.groupBy(*same).agg(F.min("row").alias("row"), F.min_by("keys", "row").alias("keys"))
+        classes = work.written(classes.join(holders, same), "classes")
+
+        common = table.where("row is null").groupBy("a").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "a").limit(ORDERED_SHINGLES).toPandas()
+        order = spark.sparkContext.broadcast(_Order(common["a"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(np.int64)))
+        sets = _Sets(held, work)
+
+        # stars
+        keyed = work.written(classes.select(F.explode("keys").alias("key"), "row", "n"), "keys")
+        several = work.written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "several")
+        keyed = work.written(keyed.join(several, "key"), "keyed")
+        central = work.written(_central(sets.of(keyed.select("row"), "row"), order), "central")
+        keyed = work.written(keyed.join(central, "row"), "central-keys")
+        pivots = work.written(keyed.groupBy("key").agg(F.max(F.struct("central", -F.col("row"), "n")).alias("pivot")).select("key", (-F.col("pivot.col2")).alias("pivot"), F.col("pivot.n").alias("pivot_n")), "pivots")
+        near = keyed.join(pivots, "key").where((F.col("row") != F.col("pivot")) & (den * F.least("pivot_n", "n") >= num * F.greatest("pivot_n", "n")))
+        near = near.groupBy(F.col("row").alias("x"), F.col("pivot").alias("y")).agg(F.count(F.lit(1)).alias("keys")).where("keys >= 2").select("x", "y")
+        star_links = sets.compared(work.written(near, "star-pairs"), differences=True).where(_linked("nx", "ny", "both", num, den))
+        star_links = work.written(star_links.select("x", "y", "nx", "both", "plus", "minus"), "star-links")
+        # a pivot that joins another star keeps its own members, so all differences are to a compared pivot
+        best = star_links.groupBy("x").agg(F.max(F.struct("both", -F.col("y"))).alias("best")).select("x", (-F.col("best.col2")).alias("y"))
+        members = star_links.join(best, ["x", "y"]).select("x", F.col("y").alias("star"), F.col("nx").alias("n"), "plus", "minus", (F.octet_length("plus") / 8).cast("long").alias("n_plus"))
+        members = work.written(members, "members")
+
+        # index
+        centres = members.select(F.col("star").alias("row")).distinct()
+        units = members.select(F.col("x").alias("row"), F.col("star").alias("unit"))
+        units = units.unionByName(centres.join(members.select(F.col("x").alias("row")), "row", "left_anti").select("row", F.col("row").alias("unit")))
+        again = held.select("row").join(classes.select("row"), "row", "left_anti")  # sets of classes that another row holds
+        special = work.written(units.unionByName(again.select("row", F.lit(None).cast("long").alias("unit"))).withColumnRenamed("row", "special"), "units")
+        entering = held.select("row", "set").join(_small(special), F.col("row") == F.col("special"), "left").where("special is null or unit is not null")
+        entering = entering.select(F.coalesce("unit", "row").alias("unit"), F.col("unit").isNotNull().alias("starred"), "set")
+        entries = _entries(entering, order, num, den)
+        met = work.written(_meetings(entries, num, den), "met")
+        compared = work.written(sets.compared(met), "compared")
+
+        # what is linked so far
+        links = members.select(F.col("x").alias("u"), F.col("star").alias("v")).unionByName(star_links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+        links = links.unionByName(compared.where(_linked("nx", "ny", "both", num, den)).select(F.col("x").alias("u"), F.col("y").alias("v")))
+        labels = work.written(connected_components(links.unionByName(_one_document(described, classes, same)), work.written), "labels")
+
+        # stars that are apart though their pivots are close
+        apart = compared.where(~_linked("nx", "ny", "both", num, den))
+        named = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}"))
+        starred = lambda s: centres.select(F.col("row").alias(s), F.lit(True).alias(f"s{s}"))
+        apart = apart.join(starred("x"), "x", "left").join(starred("y"), "y", "left").where("sx or sy")
+        apart = apart.join(named("x"), "x", "left").join(named("y"), "y", "left").select("x", "y", "both", F.coalesce("lx", "x").alias("lx"), F.coalesce("ly", "y").alias("ly"))
+        apart = work.written(apart.where("lx <> ly"), "apart")
+        if not apart.isEmpty():
+            found = _star_answers(sets, work, apart, members, classes.select("row", "n"), num, den)
+            merged = work.written(connected_components(found.toDF("u", "v"), work.written), "merged").toDF("l", "m")
+            nodes = labels.unionByName(merged.select(F.col("l").alias("node"), F.col("l").alias("label"))).distinct()
+            labels = work.written(nodes.join(merged, nodes["label"] == merged["l"], "left").select("node", F.coalesce("m", "label").alias("label")).distinct(), "all-labels")
+
+        # components of documents
+        classes = classes.join(labels, classes["row"] == labels["node"], "left").select(*same, "least", F.coalesce("label", "row").alias("label"))
+        classes = work.written(classes, "labelled")
+        least = work.written(classes.groupBy("label").agg(F.min("least").alias("component_id")), "components")
+        classes = work.written(classes.join(least, "label").select(*same, "component_id"), "named")
+        out = described.select("doc_id", *same).join(classes, same, "left")
+        component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+        return written(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "components")
+
+
+def _one_document(described: DataFrame, classes: DataFrame, same: list[str]) -> DataFrame:
+    """Links (u, v) between the classes of an id that has several texts."""
+    named = described.where("n > 0 and doc_id is not null")
+    ids = named.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("first"), F.max(F.struct(*same)).alias("last")).where("first <> last").select("doc_id")
+    texts = named.join(_small(ids), "doc_id", "left_semi").select("doc_id", *same).distinct().join(classes.select(*same, "row"), same)
+    return texts.select("doc_id", F.col("row").alias("u")).join(texts.groupBy("doc_id").agg(F.min("row").alias("v")), "doc_id").select("u", "v")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest id of each component and no other; of rows that repeat an id, one stays.
 
-    Rows with a null id all stay.  Texts are moved only for rows of repeated ids.
+    Rows with a null id cannot be told apart by id and all stay, as do texts
+    without a word.  Texts are moved only for rows of repeated ids.
     """
-    found = written(jaccard_components(docs, width, num, den, id_col, text_col), "components")
+    found = jaccard_components(docs, width, num, den, id_col, text_col)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     again = written(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col), "repeated")
     kept = docs.join(_small(written(gone, "gone")), id_col, "left_anti").select(*docs.columns)

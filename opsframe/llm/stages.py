@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,21 +10,59 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a session in a single JVM may leave it unset; it then gets a folder of
+    its own.  On a cluster a local folder would be unreadable elsewhere, so an
+    unset folder is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="opsframe-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Later jobs read the files, so a lost executor costs at most the tasks that
     were running there.  The files live as long as the shared folder does.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/opsframe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, f"{shared_dir(df.sparkSession).rstrip('/')}/opsframe-{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Intermediate tables that are deleted together when the ``with`` block ends; what outlives it must be ``written`` elsewhere.
+
+    Inside the block rows travel to Python in small Arrow batches, since rows
+    that hold texts or sets would otherwise fill tens of MB for each task, on
+    both sides.  The session's own setting returns at the end.
+    """
+
+    BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/opsframe-{name}-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def __enter__(self) -> Scratch:
+        self.batch = self.spark.conf.get(self.BATCH)
+        self.spark.conf.set(self.BATCH, str(self.ROWS))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self.BATCH, self.batch)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        return _write(df, f"{self.path}/{self.count:03d}-{name}")

@@ -218,6 +218,16 @@ def test_op5_awkward_rows(spark, odd):
     assert J.jaccard_components(odd.limit(0)).count() == 0
 
 
+def test_op5_ids_with_several_texts_text_ids_and_null_ids(spark):
+    """Links of any of an id's texts join it; ids of other types and texts without an id link as well."""
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(40))
+    one, two, three, four = text(), text(), text(), text()
+    rows = [("a", one), ("b", two), ("c", one), ("c", two), ("d", three), ("e", four), (None, three + " end"), ("f", three + " end x"), ("g", text()), ("g", None), (None, text())]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("a", 37, "a"), ("b", 37, "a"), ("c", 37, "a"), ("d", 37, "d"), ("e", 37, "e"), (None, 38, "d"), ("f", 39, "d"), ("g", 37, "g"), ("g", 0, "g"), (None, 37, None)}
+
+
 def test_op6_tiles_equal_brute_force():
     def brute(a, t, least):
         fa, ft, done = [True] * len(a), [True] * len(t), 0
