@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from opsframe.llm.spans import SPAN, joined, located
+from opsframe.llm.spans import joined, with_spans
 from opsframe.llm.stages import written
 
 # The base patterns (kind, pattern, group whose length counts, least length).
@@ -33,25 +34,35 @@ ENCODINGS = (
 )
 
 
-def _long_enough(least: int) -> Callable[[Column], Column]:
-    return lambda span: F.length(span["group"]) >= least
+def _long_enough(kind: str, least: int) -> Callable[[Column], Column]:
+    return lambda span: F.length(span["group" if kind == "assign" else "text"]) >= least
 
 
-def _normal_cdf(z: Column) -> Column:
-    """Distribution function of the normal law, by a logistic form that is right to 0.0002."""
-    z = F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+# Coefficients of the published rational fit to the complementary error function (relative error under 1.2e-7).
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def _log_upper(z: Column) -> Column:
+    """Natural logarithm of the normal law's upper tail at ``z``, right in relative terms as far out as doubles reach."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + x / 2)
+    fit = F.lit(0.0)
+    for c in reversed(ERFC):
+        fit = fit * t + c
+    tail = F.log(t) - x * x + fit - F.log(F.lit(2.0))
+    return F.when(z >= 0, tail).otherwise(F.log1p(-F.exp(tail)))
 
 
 def randomness(tokens: DataFrame) -> DataFrame:
     """The battery for each row's ``token``, of 20 or more characters; adds three columns.
 
-    ``p_text``: how likely a chi-squared statistic as small as this is for words
-    or numbers written in the inferred encoding.  ``p_random``: Bonferroni
-    combination of the p-values of the three tests (uniformity over the
-    alphabet, runs above and below its middle, lag-one serial correlation)
-    under the hypothesis that the characters are independent and uniform.
-    ``stratum``: the base-2 logarithm of the length.
+    ``text_log``: logarithm of the p-value of a chi-squared statistic as small as
+    this for words or numbers written in the inferred encoding.  ``random_log``:
+    logarithm of the Bonferroni combination of the p-values of the three tests
+    (uniformity over the alphabet, runs above and below its middle, lag-one
+    serial correlation) under the hypothesis that the characters are independent
+    and uniform.  ``stratum``: the base-2 logarithm of the length.  Logarithms
+    keep tails apart that a double would round to 0.
     """
     token = F.col("token")
     pick = lambda of: F.coalesce(*[F.when(token.rlike(p), F.lit(v)) for (_, p, *_), v in zip(ENCODINGS, of, strict=True)])
@@ -82,62 +93,70 @@ def randomness(tokens: DataFrame) -> DataFrame:
         "z_serial": F.when(F.col("spread") > 0, (F.try_divide("lagged", "spread") + 1 / n) * F.sqrt(n)).otherwise(F.lit(12.0)),
         "z_text": (chi - df - n * excess) / F.sqrt(2 * df + 4 * n * excess),
     })
-    tail = lambda z: 2 * _normal_cdf(-F.abs(z))
-    d = d.withColumns({
-        "p_random": F.least(F.lit(1.0), 3 * F.least(_normal_cdf(-F.col("z_chi")), tail(F.col("z_runs")), tail(F.col("z_serial")))),
-        "p_text": _normal_cdf(F.col("z_text")), "stratum": F.floor(F.log2(n)).cast("int"),
-    })
-    return d.select(*kept, "p_text", "p_random", "stratum")
+    tail = lambda z: F.log(F.lit(2.0)) + _log_upper(F.abs(z))
+    three = F.least(_log_upper(F.col("z_chi")), tail(F.col("z_runs")), tail(F.col("z_serial")))
+    d = d.withColumns({"random_log": F.least(F.lit(0.0), F.log(F.lit(3.0)) + three), "text_log": _log_upper(-F.col("z_text")), "stratum": F.floor(F.log2(n)).cast("int")})
+    return d.select(*kept, "text_log", "random_log", "stratum")
 
 
-def length_aware_levels(tokens: DataFrame, q: float, bins: int = 300) -> DataFrame:
-    """Benjamini-Hochberg level for each length stratum, from a histogram of p-values.
+def length_aware_levels(tokens: DataFrame, p_log: str, q: float, bins: int = 3000) -> DataFrame:
+    """``stratum, level``: natural logarithm of the Benjamini-Hochberg level of each length stratum, from a histogram of p-values.
 
-    ``tokens`` has ``stratum`` and ``p_text``.  P-values are rounded up to one of
-    ``bins`` steps of 0.1 in their logarithm, which can only lower a level.  The
-    ordered window sees at most ``bins`` rows for each of about 20 strata.
+    P-values are rounded up to one of ``bins`` steps of 0.1 in their base-10
+    logarithm, which can only lower a level.  The ordered window sees at most
+    ``bins`` rows for each of about 20 strata.  Strata without a discovery have
+    no row.
     """
-    step = F.least(F.lit(bins), F.greatest(F.lit(0), F.floor(-10 * F.log10("p_text")))).cast("int")
+    tenth = math.log(10.0) / 10
+    step = F.least(F.lit(bins), F.greatest(F.lit(0), F.floor(-F.col(p_log) / tenth))).cast("int")
     counts = tokens.groupBy("stratum", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("stratum").orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, W.currentRow)
     counts = counts.withColumn("upto", F.sum("n").over(w)).withColumn("m", F.sum("n").over(W.partitionBy("stratum")))
-    edge = F.pow(F.lit(10.0), -F.col("step") / 10)
-    return counts.where(edge * F.col("m") <= q * F.col("upto")).groupBy("stratum").agg(F.max(edge).alias("level"))
+    edge = -F.col("step") * tenth
+    return counts.where(edge + F.log("m") <= math.log(q) + F.log("upto")).groupBy("stratum").agg(F.max(edge).alias("level"))
 
 
-def scan_secrets(docs: DataFrame, q: float = 0.01, least_random: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _apart(passed: DataFrame, base: DataFrame) -> DataFrame:
+    """``passed`` tokens (row, start, end) that overlap no base span of their text, by one ordered pass over the spans of each text."""
+    spans = passed.select("row", "start", "end", F.lit(False).alias("is_base")).unionByName(base.select("row", "start", "end", F.lit(True).alias("is_base")))
+    order = W.partitionBy("row").orderBy("start", F.desc("is_base"))
+    before = F.max(F.when(F.col("is_base"), F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    after = F.min(F.when(F.col("is_base"), F.col("start"))).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    spans = spans.withColumns({"before": F.coalesce(before, F.col("start")), "after": F.coalesce(after, F.col("end"))})
+    return spans.where("not is_base and before <= start and after >= end").select("row", "start", "end")
+
+
+def scan_secrets(docs: DataFrame, q: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets of every text: the base kinds, and tokens that pass the randomness battery.
 
-    A token (20 or more of ``[A-Za-z0-9+/_-]``, a letter and a digit among them,
-    outside the base spans) is a ``random`` span if the battery does not reject
-    randomness (``p_random >= least_random``) and its ``p_text`` is a discovery
-    at false-discovery rate ``q`` among all candidate tokens of like length.
+    A token (20 or more of ``[A-Za-z0-9+/_-]``, outside the base spans) is a
+    ``random`` span if two rounds of Benjamini-Hochberg control at rate ``q``,
+    each among all candidate tokens of like length, agree: its battery p-value,
+    combined from the three tests, is no discovery of something that is not
+    random, and its p-value as written text is a discovery.
 
     Returns ``doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans``, a
     row for each input row; null and empty texts have no span.  Matches are taken
-    from whole texts of any length.  Other input columns are not looked at.
+    from whole texts of any length.  Repeated rows count as rows.  Other input
+    columns are not looked at.
     """
-    text = F.col("text")
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     for rank, (kind, pattern, group, least) in enumerate(BASE):
-        d = d.withColumn(kind, F.filter(located(text, pattern, kind, rank, group), _long_enough(least)))
-    tokens = F.when(text.rlike("[0-9]"), located(text, CANDIDATE, "random", len(BASE))).otherwise(F.array().cast(SPAN))
-    mixed = lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]")
+        d = with_spans(d, "text", pattern, kind, rank, group).withColumn(kind, F.filter(kind, _long_enough(kind, least)))
+    d = with_spans(d, "text", CANDIDATE, "random", len(BASE))
     slim = lambda c: F.transform(c, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
-    d = d.select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE],
-        slim(F.concat(*[k for k, *_ in BASE])).alias("base"), F.filter(tokens, mixed).alias("tokens"),
-    )
+    d = d.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE], slim(F.concat(*[k for k, *_ in BASE])).alias("base"), F.col("random").alias("tokens"))
     d = written(d.withColumn("row", F.monotonically_increasing_id()), "secret-spans")
 
-    one = d.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("span")).withColumn("token", F.col("span.text"))
-    one = written(randomness(one), "secret-tests")
-    levels = F.broadcast(length_aware_levels(one, q))  # a row for each binary order of length
-    passed = one.join(levels, "stratum").where((F.col("p_random") >= least_random) & (F.col("p_text") <= F.col("level")))
-    found = passed.groupBy("row").agg(F.collect_list(F.struct("span.start", "span.rank", "span.end", "span.kind")).alias("found"))
-    d = d.join(found, "row", "left")  # both sides are short rows; only rows with tokens have a partner
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    d = d.withColumn("random", F.coalesce(F.filter("found", apart), F.array()))
+    one = d.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("span")).select("row", F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.col("span.text").alias("token"))
+    one = written(randomness(one).drop("token"), "secret-tests")
+    levels = length_aware_levels(one, "text_log", q).join(length_aware_levels(one, "random_log", q).withColumnRenamed("level", "reject"), "stratum", "left")
+    levels = F.broadcast(levels)  # a row for each binary order of length
+    passed = one.join(levels, "stratum").where((F.col("text_log") <= F.col("level")) & (F.col("reject").isNull() | (F.col("random_log") > F.col("reject"))))
+    passed = written(passed.select("row", "start", "end"), "secret-tokens")
+    base = d.join(passed.select("row").distinct(), "row", "left_semi").select("row", F.explode("base").alias("span")).select("row", "span.start", "span.end")
+    found = _apart(passed, base).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("rank"), "end", F.lit("random").alias("kind"))).alias("found"))
+    d = d.join(found, "row", "left").withColumn("random", F.coalesce("found", F.array()))  # both sides are short rows; only rows with tokens have a partner
     return d.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.size("random").cast("long").alias("n_random"),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "random")).alias("spans"),

@@ -1,10 +1,13 @@
 """The ten operators against brute force, exact references and held-out accuracy, and on awkward rows."""
 
+import bisect
 import collections
 import hashlib
+import math
 import random
 import re
 import secrets
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -358,6 +361,55 @@ def test_op10_base_spans_and_random_tokens(spark, texts, odd):
     assert S.scan_secrets(odd).count() == len(ODD) and S.scan_secrets(odd.limit(0)).count() == 0
 
 
+def test_op10_many_matches_in_one_text(spark):
+    t = " ".join(("ab12cd34" * 4 if i % 3 else secrets.token_urlsafe(24)) + " é" for i in range(20_000))
+    began = time.time()
+    r = S.scan_secrets(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    assert r.base_sha256 == hashlib.sha256(secret_reference(t).encode()).hexdigest() and r.n_random > 3000 and time.time() - began < 60
+    spans = [(int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",")) if k == "random"]
+    base = [(int(a), int(b)) for k, a, b in (x.split(":") for x in secret_reference(t).split(","))]
+    starts = [a for a, _ in base]
+    for a, b in spans:
+        near = base[max(0, bisect.bisect(starts, a) - 1) : bisect.bisect(starts, b)]
+        assert all(y <= a or b <= x for x, y in near)
+
+
+def test_op10_battery_equals_direct_formulas(spark):
+    tokens = [secrets.token_hex(20), secrets.token_urlsafe(30), "a" * 24, "some_long_identifier_name", "0123456789" * 4, secrets.token_hex(400), "Donaudampfschifffahrtsgesellschaft", "x1" * 4000]
+    upper = lambda z: math.log(0.5 * math.erfc(z / math.sqrt(2))) if z < 35 else None
+    for r in S.randomness(spark.createDataFrame([(t,) for t in tokens], "token string")).collect():
+        name, pattern, alphabet, excess = next(e for e in S.ENCODINGS if re.search(e[1], r.token))
+        x = [alphabet.index(c) + 1 for c in r.token]
+        n, k = len(x), len(alphabet)
+        chi = k / n * sum(v * v for v in collections.Counter(x).values()) - n
+        df, high = k - 1, [v > k / 2 for v in x]
+        z = [((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))]
+        mu = 2 * sum(high) * (n - sum(high)) / n + 1
+        var = (mu - 1) * (mu - 2) / (n - 1)
+        z.append((1 + sum(a != b for a, b in zip(high, high[1:])) - mu) / math.sqrt(var) if var > 0 else 12.0)
+        mean = sum(x) / n
+        spread = sum((v - mean) ** 2 for v in x)
+        z.append((sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / spread + 1 / n) * math.sqrt(n) if spread else 12.0)
+        logs = [upper(z[0]), *(None if upper(abs(v)) is None else math.log(2) + upper(abs(v)) for v in z[1:])]
+        if None not in logs:
+            assert r.random_log == pytest.approx(min(0.0, math.log(3) + min(logs)), rel=1e-5, abs=1e-6), r.token
+        text = (chi - df - n * excess) / math.sqrt(2 * df + 4 * n * excess)
+        if upper(-text) is not None:
+            assert r.text_log == pytest.approx(upper(-text), rel=1e-5, abs=1e-6), r.token
+        assert r.stratum == int(math.log2(n))
+
+
+def test_op10_levels_equal_benjamini_hochberg(spark):
+    rng = random.Random(3)
+    rows = [(s, -abs(rng.gauss(0, 1)) * (40 if rng.random() < 0.3 else 1)) for s in (4, 5) for _ in range(400)]
+    got = {r.stratum: r.level for r in S.length_aware_levels(spark.createDataFrame(rows, "stratum int, p double"), "p", 0.01).collect()}
+    for s in (4, 5):
+        tenth = math.log(10) / 10
+        p = sorted(-tenth * math.floor(-v / tenth) for t, v in rows if t == s)
+        want = max(v for i, v in enumerate(p) if v <= math.log(0.01 * sum(w <= v for w in p) / len(p)))
+        assert got[s] == pytest.approx(want)
+
+
 def test_pipeline_stages(spark, odd):
     import corpus_pipeline as C
 
