@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.llm.stages import unused
 from opsframe.llm.textkit import text_buffers
 
 WINDOW = 256
@@ -106,26 +107,32 @@ class ByteConvNet:
         return q / q.sum(1, keepdims=True)
 
 
-def training_windows(labelled: DataFrame, text_col: str, lang_col: str, rows: int, languages: int = 64, seed: int = 11) -> list:
-    """Windows of about ``rows`` documents of each of the ``languages`` largest languages, taken by a hash of the text."""
-    langs = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()
+def training_windows(labelled: DataFrame, text_col: str, lang_col: str, rows: int, total: int, seed: int = 11) -> list:
+    """Windows of about ``rows`` documents of each language, fewer if all languages together would exceed ``total``; taken by a hash of the text."""
+    langs = labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row for each language
+    rows = min(rows, -(-total // max(len(langs), 1)))
     pick = F.xxhash64(F.col(text_col), F.lit(seed))
-    share = F.create_map(*[F.lit(v) for lang, n in langs for v in (lang, min(1.0, rows / n))]) if langs else F.create_map(F.lit(""), F.lit(0.0))
+    share = F.create_map(*[F.lit(v) for r in langs for v in (r.lang, min(1.0, rows / r["count"]))]) if langs else F.create_map(F.lit(""), F.lit(0.0))
     unit = F.shiftrightunsigned(pick, 11) / float(1 << 53)
     taken = labelled.where(unit < F.coalesce(F.try_element_at(share, F.col(lang_col)), F.lit(0.0)))
     room = F.greatest(F.length(text_col) - WINDOW, F.lit(1))
     starts = [F.lit(1), F.pmod(pick, room).cast("int") + 1, F.pmod(F.xxhash64(pick), room).cast("int") + 1]
     windows = F.array_distinct(F.array(*[F.substring(F.col(text_col), s, F.lit(WINDOW)) for s in starts]))
-    return taken.select(F.col(lang_col).alias("lang"), F.explode(windows).alias("window")).limit(4 * rows * len(langs) + 1).collect()
+    # copies of a text share its hash: a text taken has its copies taken too, so they count once
+    return taken.select(F.col(lang_col).alias("lang"), F.explode(windows).alias("window")).distinct().collect()
 
 
-def fit_language_model(docs: DataFrame, learn: Column, rows: int = 1500, text_col: str = "text", lang_col: str = "lang") -> ByteConvNet | None:
-    """Fit on a sample of about ``rows`` labelled documents of each language where ``learn`` holds; None without any.
+def fit_language_model(docs: DataFrame, learn: Column, rows: int = 1500, total: int = 30_000, text_col: str = "text", lang_col: str = "lang") -> ByteConvNet | None:
+    """Fit on a sample of the labelled documents where ``learn`` holds; None without any.
 
-    A fifth of the windows is also learned in capitals.
+    Every language that has a labelled text with a letter is learned.  The
+    sample holds about ``rows`` documents of each, or ``total`` shared out
+    evenly where there are more than total / rows languages (one at least), with
+    up to three windows of each text; copies of a text count once.  A fifth of
+    the windows is also learned in capitals.
     """
     labelled = docs.where(learn & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    found = sorted((r.lang, r.window) for r in training_windows(labelled, text_col, lang_col, rows))
+    found = sorted((r.lang, r.window) for r in training_windows(labelled, text_col, lang_col, rows, total))
     found += [(lang, w.upper()) for lang, w in found[::5]]
     return ByteConvNet.fit([w.encode() for _, w in found], [lang for lang, _ in found]) if found else None
 
@@ -177,14 +184,15 @@ def identify_language(docs: DataFrame, model: ByteConvNet | None, id_col: str =
         tables = net.tables() if net else None
         langs = [*(net.langs if net else []), "und"]
         for batch in batches:
-            pred, score = _predict(net, tables, batch.column("text"), batch.column("named"))
+            pred, score = _predict(net, tables, batch.column("text"), batch.column(named))
             names = pa.array(langs, pa.string()).take(pa.array(np.where(pred < 0, len(langs) - 1, pred)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), names, pa.array(score)], [*kept, "lang_pred", "score"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
     kept = ["doc_id", *keep]
     schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in kept)
-    return d.withColumn("named", _has_letter("text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    named = unused(d, "named")
+    return d.withColumn(named, _has_letter("text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: ByteConvNet | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -195,8 +203,8 @@ def keep_identified(docs: DataFrame, model: ByteConvNet | None, least: float = 0
         net = shared.value
         tables = net.tables() if net else None
         for batch in batches:
-            pred, score = _predict(net, tables, batch.column(text_col), batch.column("_named"))
+            pred, score = _predict(net, tables, batch.column(text_col), batch.column(named))
             yield batch.select(columns).filter(pa.array((pred >= 0) & (score >= least)))
 
-    columns = docs.columns
-    return docs.withColumn("_named", _has_letter(text_col)).mapInArrow(run, docs.schema)
+    columns, named = docs.columns, unused(docs, "named")
+    return docs.withColumn(named, _has_letter(text_col)).mapInArrow(run, docs.schema)

@@ -54,7 +54,7 @@ def fair_mix(
 ) -> DataFrame:
     """Words that a mix of the sources takes of each document.
 
-    Documents of a source are put in the order of a hash of their id.  The e-th
+    Documents of a source are put in the order of a hash of id and text (60 bits).  The e-th
     use of a document has the virtual finish time (e * source_size + words of
     the source up to and with it) / target; all uses are ordered by that time
     over all sources and the order is cut where the budget, the words of all
@@ -72,14 +72,15 @@ def fair_mix(
     are interchangeable.  No words at all: all targets 0.  Other columns of the
     input are not looked at.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    d = written(d.withColumn("place", F.xxhash64(F.col("doc_id"), F.lit(seed))), "mix-sizes")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(text_col).alias("text"))
+    place = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"#{seed}#"), F.md5(F.coalesce(F.col("text"), F.lit(""))))), 1, 15), 16, 10)
+    d = written(d.withColumn("place", place.cast("long")).drop("text"), "mix-sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
 
     n_rows, budget = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_buckets = 1 + math.isqrt(n_rows)  # as many buckets as rows in each: neither level gets large
-    d = d.withColumn("bucket", F.pmod(F.shiftrightunsigned("place", 32), F.lit(n_buckets)))
+    d = d.withColumn("bucket", F.shiftright(F.shiftright("place", 30) * F.lit(n_buckets), 30))  # in the order of places
     key = ["source", "bucket"]
     sums = d.groupBy(*key).agg(F.sum("size").alias("bucket_size"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

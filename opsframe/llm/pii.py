@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.stages import written
+from opsframe.llm.stages import unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -66,7 +66,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if _DIGITS.search(text):
         if "." in text:
             for m in _IP.finditer(text):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                     out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
@@ -268,19 +268,20 @@ def _own_flags(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.groupBy("text_key", "term").agg(F.max("share").alias("share")).groupBy("text_key").agg(F.collect_list(F.struct("term", "share")).alias("_flags"))
 
 
-def _with_flags(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, object]:
-    """The disclosing pairs as one value for all tasks if they are few, else as a column of each row's own terms.
+def _with_flags(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str, object]:
+    """The disclosing pairs as one value for all tasks if they are few, else as a column of each row's own terms, under a name that ``docs`` lacks.
 
     Flags follow from a row's text alone, so rows are joined by its hash, whatever their ids.
     """
+    flags, key, salt = unused(docs, "flags"), unused(docs, "text_key"), unused(docs, "salt")
     if pairs.count() <= SEND_ROWS:
         few: dict[str, dict[str, float]] = {}
         for r in pairs.collect():
             few.setdefault(r.entity, {})[r.term] = r.share
-        return docs.withColumn("_flags", F.lit(None).cast("array<struct<term:string,share:double>>")), docs.sparkSession.sparkContext.broadcast(few)
-    own = _own_flags(texts, pairs).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("text_key", "_text_key")
-    keyed = docs.withColumn("_text_key", F.sha2(F.col(text_col), 256)).withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-    return keyed.join(own, ["_text_key", "_salt"], "left").drop("_text_key", "_salt"), None
+        return docs.withColumn(flags, F.lit(None).cast("array<struct<term:string,share:double>>")), flags, docs.sparkSession.sparkContext.broadcast(few)
+    own = _own_flags(texts, pairs).select(F.col("text_key").alias(key), F.col("_flags").alias(flags), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    keyed = docs.withColumn(key, F.sha2(F.col(text_col), 256)).withColumn(salt, (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return keyed.join(own, [key, salt], "left").drop(key, salt), flags, None
 
 
 def _term_spans(text: str, spans: list, flags: list[dict]) -> list[tuple[int, int, int, float]]:
@@ -299,45 +300,46 @@ def _prepared(docs: DataFrame, text_col: str, alpha: float, support: int) -> tup
     return texts, written(disclosing_terms(d, texts, alpha, support), "disclosing")
 
 
-def _row_flags(batch: pa.RecordBatch, i: int, shared: object, text: str, spans: list) -> list[dict]:
+def _row_flags(batch: pa.RecordBatch, i: int, name: str, shared: object, text: str, spans: list) -> list[dict]:
     if shared is not None:
         return [shared.value[e] for e in entities_of(text, spans) if e in shared.value]
-    own = {f["term"]: f["share"] for f in batch.column("_flags")[i].as_py() or ()}
+    own = {f["term"]: f["share"] for f in batch.column(name)[i].as_py() or ()}
     return [own] if own else []
 
 
 def find_pii(docs: DataFrame, alpha: float = 1.25, support: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans of every whole text, and the terms anywhere in it that disclose a protected entity or its kind.
 
-    Returns ``doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256,
-    spans``, a row for each input row.  Null and empty texts have no spans.
+    Returns ``doc_id, n_email, n_ip, n_card, n_phone, n_term, n_spans,
+    base_sha256, spans``, a row for each input row.  Null and empty texts have no spans.
     Counts behind the disclosure are taken over all documents; repeated rows
     count as documents, but copies of a text give no support of their own.
     """
     texts, pairs = _prepared(docs, text_col, alpha, support)
-    d, shared = _with_flags(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", texts, pairs)
+    d, flags, shared = _with_flags(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", texts, pairs)
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [[0] * batch.num_rows for _ in range(5)]
+            n = [[0] * batch.num_rows for _ in range(6)]
             sha, spans = [none] * batch.num_rows, [""] * batch.num_rows
             for i, text in _candidates(batch.column("text")):
                 base = base_spans(text)
                 if not base:
                     continue
-                terms = _term_spans(text, base, _row_flags(batch, i, shared, text, base))
+                terms = _term_spans(text, base, _row_flags(batch, i, flags, shared, text, base))
                 for _, k, _ in base:
                     n[k][i] += 1
                 n[4][i] = len(terms)
+                n[5][i] = len(base) + len(terms)
                 text_of = lambda xs: ",".join(f"{(*KINDS, 'term')[k]}:{a}:{b}" for a, k, b in xs)
                 sha[i] = hashlib.sha256(text_of(base).encode()).hexdigest()
                 spans[i] = text_of(sorted(base + [t[:3] for t in terms]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in n), pa.array(sha), pa.array(spans)], names)
 
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "n_term", "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in (*KINDS, "term", "spans")), "base_sha256", "spans"]
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in (*KINDS, "term")) + ", base_sha256 string, spans string")
+    return d.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in (*KINDS, "term", "spans")) + ", base_sha256 string, spans string")
 
 
 def sanitise_text(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int, int, int, float]]) -> str:
@@ -360,7 +362,7 @@ def sanitise_text(text: str, base: list[tuple[int, int, int]], terms: list[tuple
 def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in the text; all rows and columns stay."""
     texts, pairs = _prepared(docs, text_col, alpha, support)
-    d, shared = _with_flags(docs, text_col, texts, pairs)
+    d, flags, shared = _with_flags(docs, text_col, texts, pairs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,7 +372,7 @@ def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 5, id_col: str
             for i, text in _candidates(column):
                 base = base_spans(text)
                 if base:
-                    changed[i] = sanitise_text(text, base, _term_spans(text, base, _row_flags(batch, i, shared, text, base)))
+                    changed[i] = sanitise_text(text, base, _term_spans(text, base, _row_flags(batch, i, flags, shared, text, base)))
             if changed:
                 mask = [i in changed for i in range(batch.num_rows)]
                 column = pc.replace_with_mask(column, pa.array(mask), pa.array([changed[i] for i in sorted(changed)], column.type))

@@ -66,3 +66,11 @@ class Scratch:
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         return _write(df, f"{self.path}/{self.count:03d}-{name}")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -423,3 +423,47 @@ def test_pipeline_stages(spark, odd):
     for _, stage in C.STAGES:
         few = stage(spark, few, SF)
     assert few.columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+@pytest.mark.parametrize("name", ["op5_jaccard", "op7_fair_mix"])
+def test_query_equals_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from opsframe.llm.queries import ORACLE_SQL, QUERIES
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = c.sql(ORACLE_SQL[name])
+    df = QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(x) for x in columns]
+    assert sorted(tuple(r[x] for x in columns) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_op1_awkward_numbers_and_clashing_columns(spark):
+    """Octets of thousands of digits, and columns with the names that the operators use inside."""
+    t = "0" * 5000 + "7.1.1.1 and " + "9" * 5000 + ".1.1.1"
+    assert P.base_spans(t) == [(0, 1, 5007)]
+    d = spark.createDataFrame([(i, f"mail x{i}@foo.com smithers", "x", "y", "z") for i in range(8)], "doc_id long, text string, flags string, text_key string, salt string")
+    for send in (500_000, 0):
+        P.SEND_ROWS, kept = send, P.SEND_ROWS
+        got = P.sanitise(d).collect()
+        P.SEND_ROWS = kept
+        assert all((r.flags, r.text_key, r.salt) == ("x", "y", "z") and "foo.com" not in r.text for r in got)
+    model = L.fit_language_model(spark.createDataFrame([(i, "the cat sat" if i % 2 else "le chat noir", "en" if i % 2 else "fr") for i in range(20)], "doc_id long, text string, lang string"), F.lit(True))
+    named = d.withColumn("named", F.lit("n")).withColumn("_named", F.lit("m"))
+    assert L.keep_identified(named, model, 0.0).columns == named.columns and L.identify_language(named, model, keep=("named",)).count() == 8
+
+
+def test_op2_every_language_is_learned_and_tables_equal_the_convolution(spark):
+    rng = random.Random(1)
+    rows = [(k * 10 + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.choice('xyz')}" for _ in range(30)), f"l{k:02d}") for k in range(70) for i in range(4)]
+    m = L.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(m.langs) == 70
+    x = np.random.default_rng(0).integers(0, 256, (20, L.WINDOW), dtype=np.uint8)
+    e = m.embed[x]
+    n = L.WINDOW - 3
+    z = sum(np.einsum("bne,ef->bnf", e[:, k : k + n], m.filters[k]) for k in range(4)) + m.bias
+    logits = np.maximum(z.max(1), 0) @ m.dense + m.dense_bias
+    q = np.exp(logits - logits.max(1, keepdims=True))
+    assert np.allclose(m.probabilities(x, m.tables()), q / q.sum(1, keepdims=True), atol=1e-4)
