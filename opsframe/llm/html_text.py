@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,9 +18,9 @@ from pyspark.sql import functions as F
 
 from opsframe.llm.textkit import Words, text_buffers
 
-PATH_DIM, WORD_DIM, HIDDEN = 128, 48, 16
+PATH_DIM, LEAF_DIM, WORD_DIM, HIDDEN = 192, 64, 48, 16
 _NUMBERS = 7
-INPUT = PATH_DIM + WORD_DIM + _NUMBERS
+INPUT = PATH_DIM + LEAF_DIM + WORD_DIM + _NUMBERS
 
 # Element names by their part in a page.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe")
@@ -27,27 +29,60 @@ INLINE = ("a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "
 CONTENT = ("article", "main")
 APART = ("nav", "footer", "header", "aside", "form", "head", "button", "select", "option", "dialog", "menu", "title", "noscript")
 NOISE_WORDS = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "consent", "footer", "header", "menu", "modal", "nav", "navbar", "newsletter", "notice", "popup", "promo", "related", "reply", "respond", "share", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget")
+CONTENT_WORDS = ("article", "content", "post", "entry", "story")
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: A quote opens a value only after an equals sign; elsewhere in a tag it is an ordinary character.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
+def _bits(words: tuple[str, ...], salt: str, dim: int) -> int:
+    mask = 0
+    for w in words:
+        mask |= 1 << zlib.crc32(f"{salt}{w}".encode()) % dim
+    return mask
+
+
+class Element:
+    """An open element: its words, and what it and all elements above it say together, so that depth costs nothing."""
+
+    __slots__ = ("above", "apart", "inside", "leaf", "name", "path", "words")
+
+    def __init__(self, above: Element | None, name: str, words: tuple[str, ...]):
+        self.above, self.name, self.words = above, name, words
+        own = (name, *words)
+        self.path = (above.path if above else 0) | _bits(own, "", PATH_DIM)
+        self.leaf = _bits(own, "leaf ", LEAF_DIM)
+        told = words if name not in ("html", "body") else ()  # what the whole page is called says nothing of a part
+        self.inside = bool(above and above.inside) or name in CONTENT or any(w in CONTENT_WORDS for w in told)
+        self.apart = bool(above and above.apart) or name in APART or any(w in NOISE_WORDS for w in told)
+
+    @property
+    def label(self) -> bool | None:
+        """What the markup itself says: main text, apart from it, or (None) nothing.  Only training pages are labelled by it."""
+        return False if self.apart else True if self.inside else None
+
+
+_ROOT = Element(None, "", ())
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    at: Element
     text: str
     linked: int  # characters inside links
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's texts between block-level tags, in order, with the open elements above each.
+    """The page's texts between block-level tags, in order, with the open element around each.
 
-    An element's name carries its class and id words.  Scripts and styles are
-    skipped to their end tag; inline tags and line breaks stay inside a block.
+    An element's words are those of its class, id and role.  Scripts and styles
+    are skipped to their end tag; inline tags and line breaks stay inside a block.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Element] = [_ROOT]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -57,10 +92,15 @@ def leaf_blocks(page: str) -> list[Block]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Block(tuple(s for _, s in stack), text, linked))
+                out.append(Block(stack[-1], text, linked))
             parts.clear()
         linked = 0
 
+    def close() -> str:
+        name = stack.pop().name
+        opened[name] -= 1
+        return name
+
     while at < len(page):
         m = _MARKUP.search(page, at)
         end = m.start() if m else len(page)
@@ -81,58 +121,43 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         flush()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            while opened[name] and close() != name:
+                pass
             continue
         if name in RAW:
-            close = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            ending = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
+            at = ending.end() if ending else len(page)
             continue
-        if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
-            stack.pop()
+        if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack[-1].name == name:
+            close()
         if name not in VOID and not m[3].rstrip().endswith("/"):
-            words = " ".join(w for g in _NAMES.findall(m[3]) for w in _PART.findall(" ".join(g).lower())) if "=" in m[3] else ""
-            stack.append((name, f"{name} {words}".strip()))
+            words = tuple(w for g in _NAMES.findall(m[3]) for w in _PART.findall(" ".join(g).lower())) if "=" in m[3] else ()
+            stack.append(Element(stack[-1], name, words))
+            opened[name] += 1
     flush()
     return out
 
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = _paths.get(path)
-    if v is None:
-        v = np.zeros(PATH_DIM, np.float32)
-        said = structural_label(path)
-        v[0 if said is None else 1 if said else 2] = 2.0  # names with a fixed meaning have places of their own
-        for depth, element in enumerate(path[-8:]):
-            for word in element.split():
-                v[3 + zlib.crc32(word.encode()) % (PATH_DIM - 3)] = 1.0
-                if depth == len(path[-8:]) - 1:
-                    v[3 + zlib.crc32(b"leaf " + word.encode()) % (PATH_DIM - 3)] += 0.5
-        if len(_paths) < 100_000:
-            _paths[path] = v
-    return v
+def _unpacked(masks: list[int], dim: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(m.to_bytes(dim // 8, "little") for m in masks), np.uint8).reshape(len(masks), dim // 8), axis=1)
 
 
 def features(pages: list[list[Block]]) -> np.ndarray:
-    """Vectors of all blocks: tag path, hashed words, and shape of the text."""
+    """Vectors of all blocks: hashed words of the whole tag path and of its last element, hashed words and shape of the text."""
     blocks = [b for p in pages for b in p]
     x = np.zeros((len(blocks), INPUT), np.float32)
     if not blocks:
         return x
-    x[:, :PATH_DIM] = [_path_vector(b.path) for b in blocks]
+    x[:, :PATH_DIM] = _unpacked([b.at.path for b in blocks], PATH_DIM)
+    x[:, PATH_DIM : PATH_DIM + LEAF_DIM] = _unpacked([b.at.leaf for b in blocks], LEAF_DIM)
     words = Words(*text_buffers(pa.array([b.text for b in blocks], pa.large_string())))
     block = np.repeat(np.arange(len(blocks)), words.counts)
     bag = np.bincount(block * WORD_DIM + (words.hash % np.uint64(WORD_DIM)).astype(np.int64), minlength=len(blocks) * WORD_DIM)
     n = np.maximum(words.counts, 1)
-    x[:, PATH_DIM : PATH_DIM + WORD_DIM] = np.minimum(bag.reshape(-1, WORD_DIM) / np.sqrt(n)[:, None], 2)
+    x[:, PATH_DIM + LEAF_DIM : -_NUMBERS] = np.minimum(bag.reshape(-1, WORD_DIM) / np.sqrt(n)[:, None], 2)
     size = np.array([len(b.text) for b in blocks], np.float32)
     place = np.concatenate([np.arange(len(p)) / max(len(p), 1) for p in pages])
-    x[:, PATH_DIM + WORD_DIM :] = np.stack([
+    x[:, -_NUMBERS:] = np.stack([
         np.log1p(size) / 5, np.minimum(n, 50) / 25, np.array([min(1.0, b.linked / len(b.text)) for b in blocks]), place,
         np.array([b.text[-1] in ".!?\"'" for b in blocks]), np.array([any(c in b.text for c in "©|»›·") for b in blocks]), np.ones(len(blocks)),
     ], 1)
@@ -241,63 +266,78 @@ class BlockLabeller:
         return out
 
 
-def structural_label(path: tuple[str, ...]) -> bool | None:
-    """What the markup itself says: main text, apart from it, or (None) nothing."""
-    inside = None
-    for element in path:
-        name, *words = element.split()
-        if name in APART or any(w in NOISE_WORDS for w in words):
-            return False
-        if name in CONTENT or any(w in ("article", "content", "post", "entry", "story") for w in words):
-            inside = True
-    return inside
+_CONTAINERS = ("article", "main", "div content", "div post body", "div entry content", "div story", "section article text", "div main", "div", "div text", "section", "td", "div page body", "section share story", "div header content", "article post comment", "main content sidebar")
+_NOISE = (APART, ("div ad", "div sidebar", "div cookie notice", "section comments", "div comment", "ul menu", "div footer", "div header", "div related links", "div newsletter", "div share", "div banner", "div notice", "div promo"), tuple(f"{e} {w}" for w in NOISE_WORDS for e in ("div", "section", "ul")))
+_TEXT_ELEMENTS = ("p", "h1", "h2", "h3", "li", "ul", "blockquote", "td")
+
+
+def _path(*elements: str) -> Element:
+    at = _ROOT
+    for e in elements:
+        if e:
+            name, *words = e.split()
+            at = Element(at, name, tuple(words))
+    return at
+
 
+def _around(rng: random.Random) -> str:
+    """An element that holds parts of all kinds, often named like one of them."""
+    noise = f"{rng.choice(NOISE_WORDS)} " if rng.random() < 0.75 else ""
+    return f"{rng.choice(('div', 'div', 'section'))} {noise}{rng.choice(('', 'content', 'main', 'and content', 'story', 'page', 'wrapper', 'has', 'layout'))}"
 
-_CONTAINERS = (("article", ""), ("main", ""), ("div", "content"), ("div", "post body"), ("div", "entry content"), ("div", "story"), ("section", "article text"), ("div", "main"), ("div", ""))
-_NOISE = (("nav", ""), ("footer", ""), ("header", ""), ("aside", ""), ("div", "ad"), ("div", "sidebar"), ("div", "cookie notice"), ("section", "comments"), ("div", "comment"), ("ul", "menu"), ("form", ""), ("div", "footer"), ("div", "header"), ("div", "related links"), ("div", "newsletter"), ("div", "share"), ("div", "banner"), ("div", "notice"), ("div", "promo"))
+
+def _variant(rows: list[tuple[Block, bool]], texts: list[str], rng: random.Random, bare: float) -> list[tuple[Block, bool]]:
+    """The blocks of a page under other names: the main part and those around it are called something else, or nothing.
+
+    Names may contradict: an element around the whole page is at times called
+    like a part of it.  Blocks of other kinds, with texts from other pages, are
+    put around and inside the main part.  ``bare``: how often a part around the
+    main one gets no telling name, so that only its text and place tell it.
+    """
+    main, around = (rng.choice(_CONTAINERS),), _around(rng) if rng.random() < 0.4 else ""
+    if rng.random() < 0.4:
+        main = (_around(rng), *main)
+    body = ("html", rng.choice(("body", "body", f"body single has {rng.choice(NOISE_WORDS)}", "body home post")), around)
+    shells: dict[int, str] = {}
+    put = functools.cache(_path)
+    out = []
+    for b, y in rows:
+        own = b.at.name if b.at.name in (*_TEXT_ELEMENTS, "div") else "div"
+        if y:
+            at = put(*body, *main, own)
+        elif b.at.apart:
+            shell = shells.setdefault(id(b.at.above), "div" if rng.random() < bare else rng.choice(rng.choice(_NOISE)))
+            at = put(*body, shell, own)
+        else:
+            at = b.at
+        out.append((Block(at, b.text, b.linked), y))
+    for _ in range(rng.randint(0, 6)):
+        at = rng.randrange(len(out) + 1)
+        within = 0 < at < len(out) and out[at - 1][1] and out[at][1]
+        where = put(*body, *(main if within else ()), rng.choice(rng.choice(_NOISE)), *rng.choice(((), ("p",), ("p",), ("ul", "li"), ("div",), ("div", "p"), ("h1",), ("h2",), ("h3",))))
+        for _ in range(rng.randint(1, 3)):
+            text = rng.choice(texts)
+            out.insert(at, (Block(where, text, len(text) if where.name == "li" or rng.random() < 0.2 else 0), False))
+    return out
 
 
-def training_pages(pages: list[str], seed: int = 21) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Labelled block sequences: pages whose markup marks their main text, and variants with other markup.
+def training_pages(pages: list[str], variants: int = 6, blocks: int = 400, seed: int = 21) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of block sequences: pages whose markup marks their main text, and ``variants`` of each with other markup.
 
-    In a variant the main part and the parts around it get other element and
-    class names, and blocks of kinds that the page lacks are put around and
-    inside it, with texts from other pages, so that a label does not hang on one
-    name alone.
+    The markup gives the labels of the training pages and nothing else; the
+    network sees hashed names, texts and places.  Sequences are cut to the
+    first ``blocks`` blocks: a bound on the sample, extraction reads all.
     """
     rng = random.Random(seed)
     parsed = [leaf_blocks(p) for p in pages]
     texts = [b.text for p in parsed for b in p if len(b.text) < 400] or ["text"]
     out = []
-    for blocks in parsed:
-        labels = [structural_label(b.path) for b in blocks]
-        if True not in labels:
+    for found in parsed:
+        if True not in [b.at.label for b in found]:
             continue
-        rows = [(b, bool(y)) for b, y in zip(blocks, labels, strict=True)][:160]
+        rows = [(b, bool(b.at.label)) for b in found][:blocks]
         out.append(rows)
-        for _ in range(2):
-            name, words = rng.choice(_CONTAINERS)
-            main = f"{name} {words}".strip()
-            shells = {}
-            new = []
-            for b, y in rows:
-                top = b.path[: len(b.path) - 1] if y else b.path
-                if y:
-                    path = ("html", "body", main, *[p for p in b.path if p.split()[0] in ("p", "h1", "h2", "h3", "li", "ul", "blockquote", "td")][-2:])
-                elif structural_label(b.path) is False:
-                    path = ("html", "body", shells.setdefault(top, " ".join(rng.choice(_NOISE)).strip()), *b.path[-1:])
-                else:
-                    path = b.path
-                new.append((Block(path, b.text, b.linked), y))
-            for _ in range(rng.randint(0, 6)):
-                name, words = rng.choice(_NOISE)
-                at = rng.randrange(len(new) + 1)
-                within = 0 < at < len(new) and new[at - 1][1] and new[at][1]
-                path = ("html", "body", *((main,) if within else ()), f"{name} {words}".strip(), *rng.choice(((), ("p",), ("ul", "li"), ("div",), ("div", "p"))))
-                for _ in range(rng.randint(1, 3)):
-                    text = rng.choice(texts)
-                    new.insert(at, (Block(path, text, len(text) if "li" in path or rng.random() < 0.2 else 0), False))
-            out.append(new)
+        out += [_variant(rows, texts, rng, bare=0.2) for _ in range(variants)]
     if not out:
         return []
     vectors = features([[b for b, _ in rows] for rows in out])
@@ -305,11 +345,12 @@ def training_pages(pages: list[str], seed: int = 21) -> list[tuple[np.ndarray, n
     return [(x, np.array([y for _, y in rows])) for x, rows in zip(np.split(vectors, ends), out, strict=True) if rows]
 
 
-def fit_labeller(pages: DataFrame, rows: int = 400, html_col: str = "html") -> BlockLabeller | None:
-    """Trained on about ``rows`` pages, taken by a hash of the page; None if no markup marks a main text."""
-    total = pages.where(F.col(html_col).isNotNull()).count()
+def fit_labeller(pages: DataFrame, rows: int = 400, chars: int = 200_000, html_col: str = "html") -> BlockLabeller | None:
+    """Trained on about ``rows`` pages of at most ``chars`` characters, taken by a hash of the page; None if no markup marks a main text."""
+    fit = pages.where(F.length(html_col) <= chars)
+    total = fit.count()
     unit = F.shiftrightunsigned(F.xxhash64(html_col, F.lit(13)), 11) / float(1 << 53)
-    some = pages.where(unit < rows / max(total, 1)).where(F.length(html_col) < 200_000).select(html_col).limit(2 * rows).collect()
+    some = fit.where(unit < rows / max(total, 1)).select(html_col).distinct().collect()
     data = training_pages(sorted(r[0] for r in some))
     return BlockLabeller().fit(data) if data else None
 
@@ -319,7 +360,8 @@ def extract_text(pages: DataFrame, model: BlockLabeller | None, id_col: str = "p
 
     Returns ``page_id, url, text, n_chars`` (code points), a row for each input
     row.  Null and empty pages, and pages without a main block, give an empty
-    text.  Without a model the markup alone decides.
+    text.  Without a model (no page marks its main text) the markup alone
+    decides.  Pages may be of any length and depth; other columns are not looked at.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -329,7 +371,7 @@ def extract_text(pages: DataFrame, model: BlockLabeller | None, id_col: str = "p
             texts: list[str] = []
             for lo in range(0, batch.num_rows, 256):
                 parsed = [leaf_blocks(x.as_py() or "") for x in batch.column("html")[lo : lo + 256]]
-                keep = net.label(parsed) if net else [np.array([structural_label(b.path) is True for b in p], bool) for p in parsed]
+                keep = net.label(parsed) if net else [np.array([b.at.label is True for b in p], bool) for p in parsed]
                 texts += ["\n\n".join(b.text for b, y in zip(p, k, strict=True) if y) for p, k in zip(parsed, keep, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

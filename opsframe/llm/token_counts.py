@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 #: A text with a space put before it falls into these pieces; no vocabulary piece crosses their borders:
 #: in the vocabulary the mark U+2581, which stands for a space, only begins pieces, and no piece holds a line end.
 PRE_TOKEN = re.compile("\n|[ ▁]*[^ ▁\n]+|[ ▁]+")
-TASK_CANDIDATES = 2_048
 TABLE_SIZE = 65_536
-CACHE_SIZE = 500_000
+#: Characters of pre-tokens that a worker's cache holds, and of the longest pre-token that it takes.
+CACHE_CHARS, CACHED = 8_000_000, 256
 
 
 def _processor(model: bytes):
@@ -42,19 +42,24 @@ def check_vocabulary(model: bytes) -> None:
 
 
 class Lengths:
-    """Both tiers in one worker: the shared table, and a cache of what it lacks, emptied when it is full."""
+    """Both tiers in one worker: the shared table, and a cache of what it lacks, emptied when its characters are used up."""
 
     def __init__(self, model: bytes, table: dict[str, int]):
-        self.processor, self.table, self.known = _processor(model), table, dict(table)
+        self.processor, self.table, self.cache, self.held = _processor(model), table, {}, 0
 
     def count(self, texts: list[str]) -> list[int]:
         pieces = [PRE_TOKEN.findall(" " + t) if t else () for t in texts]
-        misses = list(set().union(*pieces) - self.known.keys())
-        if len(self.known) + len(misses) > len(self.table) + CACHE_SIZE:
-            self.known = dict(self.table)
-            misses = list(set().union(*pieces) - self.known.keys())
-        self.known.update(zip(misses, _lengths(self.processor, misses), strict=True))
-        get = self.known.__getitem__
+        wanted = set().union(*pieces) - self.table.keys()
+        misses = list(wanted - self.cache.keys())
+        now = dict(zip(misses, _lengths(self.processor, misses), strict=True))
+        known = self.table | {p: self.cache[p] for p in wanted if p in self.cache} | now
+        kept = {p: n for p, n in now.items() if len(p) <= CACHED}
+        size = sum(map(len, kept))
+        if self.held + size > CACHE_CHARS:
+            self.cache, self.held = {}, 0
+        self.cache |= kept
+        self.held += size
+        get = known.__getitem__
         return [sum(map(get, p)) for p in pieces]
 
 
@@ -71,43 +76,34 @@ def _groups(column: pa.Array, limit: int = 1 << 20) -> Iterator[list[str]]:
         yield group
 
 
-def frequent_pre_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Pre-tokens that are frequent in some task, with their counts.
+def frequent_pre_tokens(docs: DataFrame, text_col: str = "text", rows: int = 4_000, size: int = 16_384) -> list[str]:
+    """The ``TABLE_SIZE`` most frequent pre-tokens of a sample of about ``rows`` texts of at most ``size`` bytes, taken by a hash of the text.
 
-    Each task counts all its texts and drops the rarest entries whenever its
-    table is full; the frequent ones that are left, at most ``TASK_CANDIDATES``,
-    are added up over tasks.  Pre-tokens themselves are never shuffled.
+    What is in the table only saves time, so a bounded sample will do, and no
+    pre-token is ever shuffled: the sampled texts go to the driver as they are.
     """
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(x for x in PRE_TOKEN.findall(" " + (text.as_py() or "")) if len(x) <= 64)
-                if len(seen) > 16 * TASK_CANDIDATES:
-                    seen = Counter(dict(seen.most_common(4 * TASK_CANDIDATES)))
-        top = [(k, v) for k, v in seen.most_common(TASK_CANDIDATES) if v > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], ["piece", "n"])
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "piece string, n long")
-    return rows.groupBy("piece").agg(F.sum("n").alias("n"))
+    short = docs.where(F.octet_length(text_col) <= size).select(F.col(text_col).alias("text"))
+    unit = F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 11) / float(1 << 53)
+    seen: Counter[str] = Counter()
+    for r in short.where(unit < rows / max(short.count(), 1)).limit(2 * rows).collect():
+        seen.update(x for x in PRE_TOKEN.findall(" " + r.text) if len(x) <= 64)
+    return [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TABLE_SIZE]]
 
 
 def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text as the sentencepiece library counts them, without begin or end tokens.
 
-    First tier: a table of the lengths of the ``TABLE_SIZE`` most frequent
-    pre-tokens, sent to all tasks (at most a few MB whatever the input).  Second
-    tier: what the table lacks is encoded once and kept in the worker's own
-    cache, whose size is bounded too.  Both tiers only save time: every length
-    comes from the library.
+    First tier: a table of the lengths of the most frequent pre-tokens of a
+    bounded sample, sent to all tasks (at most a few MB whatever the input).
+    Second tier: what the table lacks is encoded once and kept in the worker's
+    own cache, whose characters are bounded too.  Both tiers only save time:
+    every length comes from the library.
 
     Returns ``doc_id, n_bytes, n_tokens, over_limit``, a row for each input row;
     a null text counts as empty: 0 bytes, 0 tokens.
     """
     check_vocabulary(model)
-    top = frequent_pre_tokens(docs, text_col).orderBy(F.desc("n"), "piece").limit(TABLE_SIZE).collect()
-    pieces = [r.piece for r in top]
+    pieces = frequent_pre_tokens(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model, dict(zip(pieces, _lengths(_processor(model), pieces), strict=True))))
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -205,8 +205,8 @@ def fit_neighbourhood(
     The sample is taken by a hash of the id, about ``toxic_rows`` and
     ``clean_rows``.  The vocabulary is all terms whose document counts differ
     between the labels (chi-squared of at least 40, in at least 5 examples); how
-    many of the documents have a term is counted over all of ``docs``.  A document labelled more than once counts as toxic if
-    any label says so.
+    many of the documents have a term is counted over all of ``docs``.  A document
+    labelled more than once counts as toxic if any label says so; rows that repeat an id make one example, of all their terms.
     """
     y = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     sizes = {r.label: r["count"] for r in y.where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
@@ -232,7 +232,8 @@ def fit_neighbourhood(
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y), "id").select("id", "label", "text")
     kind = d.schema["id"].dataType.simpleString()
-    found = written(d.mapInArrow(terms_of, f"id {kind}, label int, term long, tf int"), "toxic-terms")
+    found = d.mapInArrow(terms_of, f"id {kind}, label int, term long, tf int")
+    found = written(found.groupBy("id", "label", "term").agg(F.max("tf").alias("tf")), "toxic-terms")  # rows that repeat an id are one example
     n = dict(found.groupBy("label").agg(F.countDistinct("id")).collect())
     n1, n0 = float(n.get(1, 0)), float(n.get(0, 0))
     if not (n1 and n0):

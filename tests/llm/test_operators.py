@@ -155,7 +155,16 @@ def test_op3_terms_have_no_cap_and_count_all_documents(spark):
     assert np.allclose(best, full, atol=1e-5) and np.allclose(np.linalg.norm(dense.T[: len(m.ids)], axis=1), 1, atol=1e-5)
 
 
-def test_op4_counts_equal_the_library(spark, texts, odd):
+def test_op3_repeated_rows_are_one_example(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join([rng.choice(["one", "two", "three", "four"]) for _ in range(20)] + (["vilest", "grub"] if i % 2 else ["kindly"]))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    m = X.fit_neighbourhood(spark.createDataFrame(rows + rows[:50] * 3, "doc_id long, text string"), labels, F.lit(True))
+    dense = np.concatenate(m.weights, 1)[:, : len(m.ids)]
+    assert len(m.ids) == 200 and np.allclose(np.linalg.norm(dense, axis=0), 1, atol=1e-5)
+
+
+def test_op4_counts_equal_the_library(spark, texts, odd, monkeypatch):
     tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
 
@@ -167,6 +176,10 @@ def test_op4_counts_equal_the_library(spark, texts, odd):
             assert (r.n_tokens, r.n_bytes, r.over_limit) == (len(sp.encode(t)) if t else 0, len(t.encode()), r.n_tokens > 4096)
     rng = random.Random(1)
     rows = ["".join(rng.choice([*" \n\t▁ab<>s/é😀\r \0the1　", "<s>", "  ", "▁▁", "<0x0A>"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    monkeypatch.setattr(T, "CACHE_CHARS", 300)
+    lengths = T.Lengths(model, {" a": 1})
+    assert [n for t in rows for n in lengths.count([t])] == [len(sp.encode(t)) if t else 0 for t in rows] and lengths.held <= 600
+    monkeypatch.undo()
     assert T.Lengths(model, {}).count(rows) == [len(sp.encode(t)) if t else 0 for t in rows]
     assert T.count_tokens(odd.limit(0), model).count() == 0
 
@@ -313,6 +326,33 @@ def test_op8_pages(spark):
     assert H.fit_labeller(odd.limit(0)) is None and H.extract_text(odd.limit(0), None).count() == 0
 
 
+def test_op8_names_decide_nothing_alone(spark):
+    """Renamed, unnamed and contradicting markup give the same texts; quotes and depth are read as browsers do."""
+    d = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = H.fit_labeller(d)
+    pages = [r.html for r in d.select("html").collect()]
+
+    def texts(change):
+        out = []
+        for p in pages:
+            blocks = H.leaf_blocks(change(p))
+            out.append([b.text for b, y in zip(blocks, model.label([blocks])[0], strict=True) if y])
+        return out
+
+    want = texts(lambda p: p)
+    strip = lambda p: re.sub(r' class="ad"', "", re.sub(r"(</?)(?:article|nav|footer)>", r"\1div>", p))
+    around = lambda p: p.replace("<body>", '<body class="single has-sidebar"><div id="header-and-content">')
+    for change in (lambda p: p.replace("<article>", '<div class="x">').replace("</article>", "</div>"), strip, around, lambda p: p.replace("<article>", '<section class="share story"><article>')):
+        assert sum(a == b for a, b in zip(texts(change), want, strict=True)) > 0.95 * len(pages)
+    quoted = "<main><p title=it's>first kept</p><p>second isn't lost?</p><p>third</p></main>"
+    assert [b.text for b in H.leaf_blocks(quoted)] == ["first kept", "second isn't lost?", "third"]
+    assert [b.text for b in H.leaf_blocks('<p class="a>b">x</p><p class="open>y</p>')] == ["x", "y"]
+    began = time.time()
+    deep = H.leaf_blocks("<div class='a b'>x" * 50_000 + "</section>" * 50_000)
+    model.label([deep])
+    assert len(deep) == 50_000 and time.time() - began < 60
+
+
 def quality_reference(t):
     w = WORD.findall(t)
     n = len(w)
