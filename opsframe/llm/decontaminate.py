@@ -2,123 +2,198 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.textkit import _BASE, Words, chunks, mix, roll, text_buffers  # noqa: PLC2701
+from opsframe.llm.stages import unused, written
+from opsframe.llm.textkit import Words, chunks, mix, roll, running_windows, text_buffers
 
-#: Text of benchmark items that one pass takes along to the tasks; a larger benchmark takes several passes.
-BLOCK_BYTES = 8 << 20
+#: Rows of seeds, items or keys up to which a table is sent to all tasks; larger ones are joined by shuffling.
+SEND_ROWS = 500_000
+#: Bits of the sieve for each seed of the benchmark, most bits of the sieve (16 MB), and bits that a seed sets.
+SIEVE_BITS, SIEVE_MOST, SIEVE_MARKS = 32, 1 << 27, 4
 
 
-def _running(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums for Karp-Rabin window hashes of any length, and the factors that shift windows to the origin."""
-    power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(h), _BASE))))
-    inverse = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(h), np.uint64(pow(int(_BASE), -1, 1 << 64))))))
-    return np.concatenate(([np.uint64(0)], np.cumsum(h * power[:-1]))), inverse
-
-
-def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int, longest: int | None = None) -> list[tuple[int, int, int]]:
+def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of word hashes: (place in item, place in text, length).
 
     The longest match of unmarked words comes first and is marked in both; then
     the next, down to ``least`` words.  Matches of a length are found by running
     Karp-Rabin hashes of all unmarked windows; of equally long ones the first in
-    the item wins, then the first in the text.  No match is longer than ``longest``.
+    the item wins, then the first in the text.  The next length is searched by
+    halving, since a match holds matches of all smaller lengths.
     """
     tiles: list[tuple[int, int, int]] = []
     free = [np.ones(len(item), bool), np.ones(len(text), bool)]
-    sums = [_running(item), _running(text)]
-    size = min(len(item), len(text), longest or len(item))
-    while size >= least:
-        places, hashes = [], []
+    sums = [running_windows(item), running_windows(text)]
+
+    def windows(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
         for mask, (total, inverse) in zip(free, sums, strict=True):
             taken = np.concatenate(([0], np.cumsum(~mask)))
-            at = np.flatnonzero(taken[size:] == taken[: len(mask) - size + 1])
-            places.append(at)
-            hashes.append(mix((total[at + size] - total[at]) * inverse[at]))
-        order = np.argsort(hashes[1], kind="stable")
-        known = hashes[1][order]
-        for p, h in zip(places[0], hashes[0], strict=True):
-            if not free[0][p : p + size].all():
+            at = np.flatnonzero(taken[size:] == taken[: len(mask) - size + 1]) if size <= len(mask) else np.zeros(0, np.int64)
+            out.append((at, mix((total[at + size] - total[at]) * inverse[at])))
+        return out
+
+    def met(size: int) -> bool:
+        (_, a), (_, b) = windows(size)
+        return bool(np.isin(a, b).any())
+
+    most = min(len(item), len(text))
+    while most >= least and met(least):
+        lo, hi = least, most
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if met(mid) else (lo, mid - 1)
+        (places, a), (spots, b) = windows(lo)
+        order = np.argsort(b, kind="stable")
+        known = b[order]
+        starts: dict[int, int] = {}
+        for k in np.flatnonzero(np.isin(a, b)):
+            p, h = places[k], int(a[k])
+            if not free[0][p : p + lo].all():
                 continue
-            for t in places[1][order[np.searchsorted(known, h) : np.searchsorted(known, h, side="right")]]:
-                if free[1][t : t + size].all():
-                    free[0][p : p + size] = free[1][t : t + size] = False
-                    tiles.append((int(p), int(t), size))
-                    break
-        size -= 1
+            # places in the text that are taken stay so: each is passed once
+            i = starts.get(h, int(np.searchsorted(known, a[k])))
+            while i < len(known) and known[i] == a[k] and not free[1][spots[order[i]] : spots[order[i]] + lo].all():
+                i += 1
+            starts[h] = i
+            if i < len(known) and known[i] == a[k]:
+                t = spots[order[i]]
+                free[0][p : p + lo] = free[1][t : t + lo] = False
+                tiles.append((int(p), int(t), lo))
+        most = lo - 1
     return tiles
 
 
-class Benchmark:
-    """Word hashes of benchmark items and an index of their ``least``-word seeds."""
-
-    def __init__(self, ids: list, texts: list[str | None], least: int):
-        raw, offsets = text_buffers(pa.array(texts, pa.large_string()))
-        w = Words(raw, offsets)
-        keep = np.flatnonzero(w.counts >= least)
-        self.least, self.ids = least, [ids[i] for i in keep]
-        self.items = [w.hash[w.bounds[i] : w.bounds[i + 1]] for i in keep]
-        seeds = [roll(x, least) for x in self.items]
-        h = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.seeds = h[order]
-        self.item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])[order]
-        self.place = np.concatenate([np.arange(len(s)) for s in seeds])[order] if seeds else np.zeros(0, np.int64)
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.seeds & np.uint64((1 << 20) - 1)] = True
-
-    def matches(self, words: Words, coverage: float) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, tiled words, tiles) of all pairs whose tiles cover enough of the item."""
-        if not len(self.seeds):
-            return
-        rolled = roll(words.hash, self.least)
-        at = np.flatnonzero(self.sieve[rolled & np.uint64((1 << 20) - 1)])
-        text = np.searchsorted(words.bounds, at, side="right") - 1
-        inside = at + self.least <= words.bounds[text + 1]
-        at, text = at[inside], text[inside]
-        lo, hi = np.searchsorted(self.seeds, rolled[at]), np.searchsorted(self.seeds, rolled[at], side="right")
-        n = hi - lo
-        if not n.sum():
-            return
-        # all pairs of equal seeds, as (text, item, place in item, place in text)
-        entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        text, at, item, place = np.repeat(text, n), np.repeat(at, n), self.item[entry], self.place[entry]
-        order = np.lexsort((at, at - place, item, text))
-        text, at, item, place = text[order], at[order], item[order], place[order]
-        border = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]), [True])))
-        for a, b in zip(border[:-1], border[1:], strict=True):
-            t, i = int(text[a]), int(item[a])
-            size = len(self.items[i])
-            covered = np.zeros(size, bool)
-            for k in range(self.least):
-                covered[place[a:b] + k] = True
-            if covered.sum() < coverage * size:
-                continue  # tiles cannot cover more than all seeds do
-            line = np.flatnonzero(np.concatenate(([True], (np.diff(at[a:b]) != 1) | (np.diff(place[a:b]) != 1), [True])))
-            longest = int(np.diff(line).max()) + self.least - 1
-            # only words inside some seed can be tiled; the gaps between them become one word that the item lacks
-            seen = np.unique((at[a:b, None] + np.arange(self.least)).ravel())
-            h = words.hash[seen]
-            gap = np.flatnonzero(np.diff(seen) > 1) + 1
-            tiles = greedy_tiles(self.items[i], np.insert(h, gap, np.uint64(0)), self.least, longest)
-            done = sum(n for _, _, n in tiles)
-            if done >= coverage * size:
-                yield t, i, done, len(tiles)
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least: int) -> Iterator[Benchmark]:
-    b = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-size // BLOCK_BYTES))
-    for k in range(n):
-        rows = b.where(F.pmod(F.xxhash64("text", "id"), F.lit(n)) == k).orderBy("id", "text").collect()
-        yield Benchmark([r.id for r in rows], [r.text for r in rows], least)
+def _items(benchmark: DataFrame, least: int) -> DataFrame:
+    """``item, item_id, n, words, seeds``: each item with its word hashes and the distinct hashes of its ``least``-word windows (of all its words, if it has fewer)."""
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column("text"))
+            w = Words(raw, offsets)
+            each = [w.hash[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
+            seeds = [np.unique(roll(h, min(least, len(h)))).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in each]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(at, at + len(each))), batch.column("item_id"), pa.array([len(h) for h in each], pa.int64()), pa.array([h.tobytes() for h in each], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
+                ["item", "item_id", "n", "words", "seeds"],
+            )
+            at += len(each)
+
+    return benchmark.mapInArrow(run, f"item long, item_id {kind}, n long, words binary, seeds array<long>").where("n > 0")
+
+
+def _marks(seeds: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The places of the sieve that the seeds set."""
+    for k in range(SIEVE_MARKS):
+        yield (mix(seeds + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _sieve(seeds: DataFrame) -> np.ndarray:
+    """A bit map of fixed size that all seeds (``seed``) pass; what else passes it is sorted out by a join."""
+    n = seeds.count()
+    bits = min(SIEVE_MOST, 1 << max(10, math.ceil(math.log2(max(1, n * SIEVE_BITS)))))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.asarray(batch.column("seed")).view(np.uint64)
+            for m in _marks(s, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(m >> 6), pa.array((np.uint64(1) << (m & 63).astype(np.uint64)).view(np.int64))], ["cell", "mark"])
+
+    cells = seeds.mapInArrow(run, "cell long, mark long").groupBy("cell").agg(F.bit_or("mark").alias("mark")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[cells.column("cell").to_numpy()] = cells.column("mark").to_numpy()
+    return out.view(np.uint8)
+
+
+def _hits(docs: DataFrame, sieve: np.ndarray, widths: list[int]) -> DataFrame:
+    """``doc_id, text_key, words, hits``: texts with windows that pass the sieve; those windows' words, and hashes.
+
+    Words outside such windows are left out; each gap becomes one word that no item has.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column("text"))
+            for lo, hi in chunks(raw, offsets):
+                w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                found = []
+                for width in widths:
+                    rolled = roll(w.hash, width)
+                    at = np.arange(len(rolled))
+                    for m in _marks(rolled, 8 * len(known)) if len(rolled) else ():
+                        at = at[(known[m[at] >> 3] >> (m[at] & 7) & 1).astype(bool)]
+                    text = np.searchsorted(w.bounds, at, side="right") - 1
+                    inside = at + width <= w.bounds[text + 1]
+                    found.append((at[inside], text[inside], rolled[at[inside]], np.full(int(inside.sum()), width)))
+                at, text, seed, width = (np.concatenate(c) for c in zip(*found, strict=True))
+                rows, words, hits = [], [], []
+                for t in np.unique(text):
+                    mine = text == t
+                    seen = np.unique(np.concatenate([at[mine & (width == k)][:, None] + np.arange(k) for k in widths], axis=None))
+                    gap = np.flatnonzero(np.diff(seen) > 1) + 1
+                    rows.append(lo + t)
+                    words.append(np.insert(w.hash[seen], gap, np.uint64(0)).tobytes())
+                    hits.append(np.unique(seed[mine]).view(np.int64))
+                if rows:
+                    k = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(k), batch.column("text_key").take(k), pa.array(words, pa.binary()), pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "text_key", "words", "hits"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key string, words binary, hits array<long>")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= SEND_ROWS else table
+
+
+def _tiled(docs: DataFrame, benchmark: DataFrame, least: int, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with a seed (``doc_id, text_key``), and ``text_key, item_id, coverage, n_tiles`` of each different text and item that match.
+
+    ``docs``: doc_id, text_key, text; ``benchmark``: item_id, text.
+    """
+    items = written(_items(benchmark, least), "items")
+    seeds = written(items.select("item", F.explode("seeds").alias("seed")), "seeds")
+    widths = [r.width for r in items.select(F.least("n", F.lit(least)).cast("int").alias("width")).distinct().collect()] or [least]
+    rows = written(_hits(docs, _sieve(seeds.select("seed").distinct()), sorted(widths)), "hits")
+    texts = written(rows.groupBy("text_key").agg(F.first("words").alias("text_words"), F.first("hits").alias("hits")), "hit-texts")
+    met = texts.select("text_key", F.explode("hits").alias("seed")).join(_small(seeds), "seed").groupBy("text_key", "item").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = written(met.select("text_key", "item"), "pairs")
+    pairs = pairs.join(_small(items.select("item", "item_id", "words")), "item").join(texts.select("text_key", "text_words"), "text_key")
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, part, n = [], [], []
+            for i, (a, b) in enumerate(zip(batch.column("words"), batch.column("text_words"), strict=True)):
+                item, text = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                short = len(item) < least
+                window = np.isin(roll(item, min(least, len(item))), roll(text, min(least, len(item))))
+                covered = np.convolve(window, np.ones(min(least, len(item)))) > 0
+                if covered.sum() < (1.0 if short else coverage) * len(item):
+                    continue  # tiles cannot cover more than all shared windows do
+                tiles = greedy_tiles(item, text, min(least, len(item)))
+                done = sum(size for *_, size in tiles) / len(item)
+                if done >= (1.0 if short else coverage):
+                    at.append(i)
+                    part.append(done)
+                    n.append(len(tiles))
+            k = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("text_key").take(k), batch.column("item_id").take(k), pa.array(part, pa.float64()), pa.array(n, pa.int32())], ["text_key", "item_id", "coverage", "n_tiles"])
+
+    found = pairs.select("text_key", "item_id", "words", "text_words").mapInArrow(run, f"text_key string, item_id {kind}, coverage double, n_tiles int")
+    return rows.select("doc_id", "text_key"), written(found, "tiled")
 
 
 def find_contamination(
@@ -128,51 +203,28 @@ def find_contamination(
     """Documents that hold a benchmark item, in one piece or in several in any order.
 
     Words are lower-cased (A-Z).  Tiles have ``least`` or more words; a pair is
-    reported if the tiles cover ``coverage`` of the item's words.  Items with
-    fewer than ``least`` words are never matched.  Items travel to the documents
-    in blocks of at most about ``BLOCK_BYTES``, so documents are never shuffled.
+    reported if the tiles cover ``coverage`` of the item's words.  An item with
+    fewer than ``least`` words must occur whole.  One pass over the documents
+    keeps windows that pass a sieve of the benchmark's seeds, at most 16 MB
+    whatever the benchmark; a join on the seeds finds the pairs, and each pair
+    of a different text and an item is tiled in a task of its own batch.
 
     Returns ``doc_id, item_id, coverage, n_tiles``, one row for each pair found
-    (rows of repeated documents repeat).  Null and empty texts match nothing.
+    (rows of repeated documents and of repeated items repeat).  Null and empty
+    texts, and items without a word, match nothing.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kinds = [d.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, coverage double, n_tiles int"
-    out = None
-    for block in _blocks(benchmark, item_col, item_text_col, least):
-        shared = d.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b = shared.value
-            names = pa.array(b.ids)
-            for batch in batches:
-                raw, offsets = text_buffers(batch.column("text"))
-                found = []
-                for lo, hi in chunks(raw, offsets):
-                    words = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    found += [(lo + t, i, done / len(b.items[i]), n) for t, i, done, n in b.matches(words, coverage)]
-                if found:
-                    t, i, c, n = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(t)), names.take(pa.array(i)), pa.array(c), pa.array(n, pa.int32())], ["doc_id", "item_id", "coverage", "n_tiles"])
-
-        part = d.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    d = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    rows, found = _tiled(d, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), least, coverage)
+    return rows.join(_small(found), "text_key").select("doc_id", "item_id", "coverage", "n_tiles")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``find_contamination`` would report; all columns and all other rows stay."""
-    for block in _blocks(benchmark, item_col, item_text_col, least):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                raw, offsets = text_buffers(batch.column(text_col))
-                keep = np.ones(batch.num_rows, bool)
-                for lo, hi in chunks(raw, offsets):
-                    words = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    keep[[lo + t for t, *_ in shared.value.matches(words, coverage)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """``docs`` without the rows that ``find_contamination`` would report; all columns and all other rows stay.
+
+    Rows are told by their text, so ids may be null or repeated.
+    """
+    key = unused(docs, "text_key")
+    d = docs.select(F.lit(None).cast("int").alias("doc_id"), F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    _, found = _tiled(d, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), least, coverage)
+    gone = written(found.select(F.col("text_key").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, F.md5(F.col(text_col))).join(_small(gone), key, "left_anti").select(*docs.columns)

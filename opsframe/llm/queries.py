@@ -13,11 +13,13 @@ from opsframe.llm.mixing import fair_mix
 from opsframe.llm.pii import find_pii
 from opsframe.llm.quality import quality_rules
 from opsframe.llm.secret_scan import scan_secrets
+from opsframe.llm.stages import small_batches
 from opsframe.llm.token_counts import count_tokens
 from opsframe.llm.toxicity import fit_neighbourhood, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -39,27 +39,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _write(df, f"{shared_dir(df.sparkSession).rstrip('/')}/opsframe-{name}-{uuid.uuid4().hex}")
 
 
+#: Rows of an Arrow batch; Spark's default of 10,000 rows that hold texts or sets fills tens of MB for each task, on both sides.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For sessions that run text operators: rows travel to Python in batches of ``BATCH_ROWS``, unless the session asks for fewer."""
+    spark.conf.set(BATCH, str(min(BATCH_ROWS, int(spark.conf.get(BATCH)))))
+
+
 class Scratch:
     """Intermediate tables that are deleted together when the ``with`` block ends; what outlives it must be ``written`` elsewhere.
 
-    Inside the block rows travel to Python in small Arrow batches, since rows
-    that hold texts or sets would otherwise fill tens of MB for each task, on
-    both sides.  The session's own setting returns at the end.
+    Inside the block rows travel to Python in small batches; the session's own
+    setting returns at the end.
     """
 
-    BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/opsframe-{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def __enter__(self) -> Scratch:
-        self.batch = self.spark.conf.get(self.BATCH)
-        self.spark.conf.set(self.BATCH, str(self.ROWS))
+        self.batch = self.spark.conf.get(BATCH)
+        small_batches(self.spark)
         return self
 
     def __exit__(self, *_: object) -> None:
-        self.spark.conf.set(self.BATCH, self.batch)
+        self.spark.conf.set(BATCH, self.batch)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

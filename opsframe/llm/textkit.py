@@ -149,3 +149,10 @@ def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
             yield mix((h[lo:hi] * _LANES[: hi - lo]).sum(keepdims=True) + np.array([hi - lo], np.uint64) * _LANES[14])
         else:
             yield np.zeros(0, np.uint64)
+
+
+def running_windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums for Karp-Rabin hashes of windows of any length, and the factors that shift windows to the origin."""
+    power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(h), _BASE))))
+    inverse = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(h), np.uint64(pow(int(_BASE), -1, 1 << 64))))))
+    return np.concatenate(([np.uint64(0)], np.cumsum(h * power[:-1]))), inverse
