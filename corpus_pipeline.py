@@ -11,31 +11,36 @@ from opsframe.llm.langid import fit_language_model, keep_identified
 from opsframe.llm.mixing import fair_mix
 from opsframe.llm.pii import sanitise
 from opsframe.llm.queries import fold
-from opsframe.llm.stages import written
+from opsframe.llm.stages import small_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network names with a probability of a half or more."""
+    small_batches(spark)
     return keep_identified(docs, fit_language_model(docs, ~fold(4, 2)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more over five-word shingles."""
+    small_batches(spark)
     return keep_one_of_each(docs, width=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and the terms that disclose it replaced; ``n_chars`` follows the text."""
+    small_batches(spark)
     return sanitise(docs).withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that the mix of sources takes of each document."""
+    small_batches(spark)
     return fair_mix(docs)
 
 
