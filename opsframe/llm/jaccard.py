@@ -20,7 +20,7 @@ BROADCAST_ROWS = 500_000
 #: Frequent shingles that are put last in the common order; a bound on what is sent, any order gives the same result.
 ORDERED_SHINGLES = 500_000
 #: Comparisons with one set that a task makes in a row; the set travels once for each such group.
-GROUP = 512
+GROUP = 64
 STAR_KEYS = 4
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, 8, dtype=np.uint64)
 
@@ -42,7 +42,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
     Of a document: a row number, set size, 128-bit signature, star keys and set.
     The set (sorted 64-bit shingles) is only kept where its signature is new in
     the stretch.  A star key is the smallest shingle under a permutation: highly
-    similar sets mostly share it.  A stretch is two million shingles of one
+    similar sets mostly share it.  A stretch is a million shingles of one
     task; it reports the shingles of at least four of its different sets, in
     rows without a number (``a`` the shingle, ``n`` its count).
     """
@@ -86,7 +86,7 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                     [batch.column("doc_id")[lo:hi], pa.array(np.arange(at, at + n)), pa.array(size), *(pa.array(x.view(np.int64)) for x in sign), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], fields
                 )
                 at += n
-                if held > 1 << 21:
+                if held > 1 << 20:
                     yield frequent()
                     stretch.clear()
                     seen.clear()
@@ -236,22 +236,28 @@ def _meetings(entries: DataFrame, num: int, den: int) -> DataFrame:
     Beyond the prefixes two sets share no more than the longer rest.
     """
     keys = ["token", "unit", "block"]
-    bounds = ["lo", "hi", "first", "last"]
     single = entries.where("not starred").select(*keys, F.col("n").alias("lo"), F.col("n").alias("hi"), F.col("place").alias("first"), F.col("place").alias("last"), "over")
     star = entries.where("starred").groupBy(*keys).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("place").alias("first"), F.max("place").alias("last"), F.bool_or("over").alias("over"))
     both = single.unionByName(star)
     cells = F.when(F.col("over"), F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))
-    both = both.select("token", "unit", "block", *bounds, F.explode(cells).alias("cell"))
+    both = both.select("*", F.explode(cells).alias("cell"))
+    # four words an entry, since all entries are sorted: a hash of shingle and cell (a clash only costs a comparison), unit, sizes, places
+    pair = lambda x, y: F.shiftleft(F.col(x).cast("long"), 32).bitwiseOR(F.col(y).cast("long"))
+    places = F.shiftleft(pair("first", "last"), 1).bitwiseOR((F.col("block") == F.col("cell")).cast("long"))
+    both = both.select(F.xxhash64("token", "cell").alias("key"), "unit", pair("lo", "hi").alias("sizes"), places.alias("places"))
     p, q = both.alias("p"), both.alias("q")
     c = F.col
-    home = (c("p.block") == c("p.cell")) | (c("q.block") == c("q.cell"))
-    sizes = (den * c("p.hi") >= num * c("q.lo")) & (den * c("q.hi") >= num * c("p.lo"))
-    rest = F.least(c("p.hi") - c("p.first"), c("q.hi") - c("q.first"))
-    enough = lambda before: (num + den) * (before + rest) >= num * (c("p.lo") + c("q.lo"))
-    meet = p.join(q, (c("p.token") == c("q.token")) & (c("p.cell") == c("q.cell")) & (c("p.unit") < c("q.unit")) & home & sizes & enough(F.least("p.last", "q.last")))
+    high, low = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    lo, hi = lambda s: high(c(f"{s}.sizes")), lambda s: low(c(f"{s}.sizes"))
+    first, last = lambda s: F.shiftright(c(f"{s}.places"), 33), lambda s: low(F.shiftright(c(f"{s}.places"), 1))
+    home = c("p.places").bitwiseOR(c("q.places")).bitwiseAND(F.lit(1)) == 1
+    sizes = (den * hi("p") >= num * lo("q")) & (den * hi("q") >= num * lo("p"))
+    rest = F.least(hi("p") - first("p"), hi("q") - first("q"))
+    enough = lambda before: (num + den) * (before + rest) >= num * (lo("p") + lo("q"))
+    meet = p.join(q, (c("p.key") == c("q.key")) & (c("p.unit") < c("q.unit")) & home & sizes & enough(F.least(last("p"), last("q"))))
     meet = meet.groupBy(c("p.unit").alias("x"), c("q.unit").alias("y")).agg(
         F.count(F.lit(1)).alias("shared"), F.bool_or(enough(F.lit(0))).alias("first"),
-        F.min("p.lo").alias("plo"), F.max("p.hi").alias("phi"), F.min("q.lo").alias("qlo"), F.max("q.hi").alias("qhi"),
+        F.min(lo("p")).alias("plo"), F.max(hi("p")).alias("phi"), F.min(lo("q")).alias("qlo"), F.max(hi("q")).alias("qhi"),
     )
     rest = lambda hi: F.ceil(num * c(hi) / den) - 1
     return meet.where("first").where((num + den) * (c("shared") + F.greatest(rest("phi"), rest("qhi"))) >= num * (c("plo") + c("qlo"))).select("x", "y")
