@@ -86,8 +86,18 @@ def empty_series_report(wanted: DataFrame, points: DataFrame, keys: tuple[str, .
     return wanted.join(points.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def downsample(points: DataFrame, max_points: int = 200, keys: tuple[str, ...] = ("metric_name",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Every k-th point of a series, from its first, with k so that no more than ``max_points`` are left."""
-    sizes = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_points).alias("_k"))
-    ranked = points.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
-    return ranked.join(sizes, list(keys)).where(F.col("_i") % F.col("_k") == 0).drop("_i", "_k")
+def downsample(points: DataFrame, max_points: int = 200, keys: tuple[str, ...] = ("metric_name",), order: tuple[str, ...] = ("ts",), bucket_seconds: int = 3600) -> DataFrame:
+    """Every k-th point of a series, from its first, with k so that no more than ``max_points`` are left.
+
+    Points are numbered in two levels, inside buckets of time and over one row
+    for each bucket, so that no task sorts a whole series.  ``order`` begins
+    with ``ts``; points without a time come first.
+    """
+    d = points.withColumn("_bucket", F.coalesce(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (bucket_seconds * 1_000_000)), F.lit(-(1 << 62))))
+    counts = d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    series = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(series.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"_{c}_of") for c in keys], F.col("_bucket").alias("_bucket_of"), before.alias("_before"), F.ceil(F.sum("_n").over(series) / max_points).alias("_k"))
+    ranked = d.withColumn("_i", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order)) - 1)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_of")) for c in keys] + [F.col("_bucket") == F.col("_bucket_of")]
+    return ranked.join(counts, same).where((F.col("_i") + F.col("_before")) % F.col("_k") == 0).select(*points.columns)

@@ -16,21 +16,23 @@ def merge_series(rows: DataFrame, label: str, count: str, bin_seconds: int, keys
     return series, r.agg(F.count_if(bad).alias("unparsable"))
 
 
-def zero_fill_bins(points: DataFrame, start_s: int, end_s: int, bin_seconds: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """All bins from the one of ``start_s`` to the one of ``end_s`` (included), absent ones with 0."""
+def _grid(points: DataFrame, start_s: int, end_s: int, bin_seconds: int, keys: tuple[str, ...]) -> DataFrame:
+    """All bins from the one of ``start_s`` to the one of ``end_s`` (included), absent ones with null."""
     first, last = start_s - start_s % bin_seconds, end_s - end_s % bin_seconds
     grid = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"), F.lit(bin_seconds).cast("long"))).alias("bin")
     names = points.select(*keys).distinct() if keys else points.sparkSession.range(1).drop("id").select(F.lit(0).alias("_one"))
-    filled = names.select(*keys, grid).join(points, [*keys, "bin"], "left")
-    return filled.select(*keys, "bin", F.coalesce("matches", F.lit(0)).alias("matches"))
+    return names.select(*keys, grid).join(points.select(*keys, "bin", "matches"), [*keys, "bin"], "left")
+
+
+def zero_fill_bins(points: DataFrame, start_s: int, end_s: int, bin_seconds: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All bins from the one of ``start_s`` to the one of ``end_s`` (included), absent ones with 0."""
+    return _grid(points, start_s, end_s, bin_seconds, keys).select(*keys, "bin", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
 def series_stats(points: DataFrame, start_s: int, end_s: int, bin_seconds: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Total, bins, median over the whole grid, peak (the earliest of equals), first and last bin with events."""
-    seen = points.withColumn("_seen", F.lit(1))
-    grid = zero_fill_bins(points, start_s, end_s, bin_seconds, keys).join(seen.select(*keys, "bin", "_seen"), [*keys, "bin"], "left")
-    full = F.when(F.col("matches") > 0, F.col("bin"))
-    given = F.col("_seen").isNotNull()
+    """Total, bins, median over the whole grid, peak (the earliest of equals), first and last bin with events; one join, which knows what bins were given."""
+    grid = _grid(points, start_s, end_s, bin_seconds, keys).withColumn("_given", F.col("matches").isNotNull()).fillna(0, ["matches"])
+    full, given = F.when(F.col("matches") > 0, F.col("bin")), F.col("_given")
     agg = [
         F.sum("matches").alias("total"), F.count(F.lit(1)).alias("expected_bins"), F.count_if(given).alias("returned_bins"),
         F.count_if(F.col("matches") == 0).alias("empty_bins"), F.percentile("matches", F.lit(0.5)).alias("median"),

@@ -75,20 +75,24 @@ def roll_up_groups(rows: DataFrame, partition_cols: tuple[str, ...] = (), max_ob
     """One row for each chain: ends, duration, true count, sets, first observations and a deterministic id.
 
     The id hashes tier, number, ends, count and an order-free sum over all rows,
-    so equal input gives equal ids and a chain of any size needs constant memory.
+    so equal input gives equal ids.  The first observations are picked inside
+    buckets of time before they are ranked over a chain, so no task holds a chain.
     """
     keys = [*partition_cols, "tier", "island"]
     text = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("None")) for c in ("component", "pod", "category", "timestamp", "summary")])
     d = rows.withColumn("_h", F.xxhash64(text).cast("decimal(38,0)"))
-    first = W.partitionBy(*keys).orderBy("_at", "seq")
-    d = d.withColumn("_n", F.row_number().over(first))
+    order = ("_at", "seq")
+    bucket = F.floor(F.col("_at") / (BUCKET_SECONDS * 1_000_000))
+    some = d.withColumn("_bucket", bucket).withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))).where(F.col("_n") <= max_observations)
+    some = some.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= max_observations)
     observation = F.struct("_n", "timestamp", "component", "pod", "category", "severity", "source", "summary")
+    shown = some.groupBy(*[F.col(k).alias(f"_{k}_of") for k in keys]).agg(F.array_sort(F.collect_list(observation)).alias("observations"))
     out = d.groupBy(*keys).agg(
         F.min_by("timestamp", F.struct("_at", "seq")).alias("start_timestamp"), F.max_by("timestamp", F.struct("_at", "seq")).alias("end_timestamp"),
         ((F.max("_at") - F.min("_at")) / 1e6).alias("duration_seconds"), F.count(F.lit(1)).alias("evidence_count"), F.sum("_h").alias("_sum"),
-        F.array_sort(F.collect_list(F.when(F.col("_n") <= max_observations, observation))).alias("observations"),
         *[F.array_sort(F.collect_set(c)).alias(name) for name, c in SETS.items()],
     )
+    out = out.join(shown, [F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in keys], "left").drop(*[f"_{k}_of" for k in keys])
     tier = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)
     seed = F.concat_ws("|", tier, F.col("start_timestamp"), F.col("end_timestamp"), F.col("evidence_count"), F.col("_sum").cast("string"))
     group_id = F.concat_ws("-", tier, F.col("island").cast("string"), F.substring(F.sha2(seed, 256), 1, 12))

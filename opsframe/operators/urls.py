@@ -25,7 +25,8 @@ def assign_unique_codes(new: DataFrame, existing: DataFrame, length: int = 6, ro
     """``original_url, short_code`` of distinct valid new URLs; no code is in ``existing`` or given twice.
 
     A URL that clashes gets another salt in the next round; a round leaves about
-    (rows / 62 ** length) of its rows over, so a few rounds do.
+    (rows / 62 ** length) of its rows over, so a few rounds do.  If URLs are left
+    after ``rounds``, the codes are too short for so many and an error says so.
     """
     urls = new.where(valid_url(F.col("original_url"))).select("original_url").distinct()
     done = None
@@ -39,6 +40,8 @@ def assign_unique_codes(new: DataFrame, existing: DataFrame, length: int = 6, ro
         taken = taken.unionByName(free.select("short_code"))
         if urls.isEmpty():
             break
+    else:
+        raise ValueError(f"codes of {length} characters are too few: some URLs clash after {rounds} rounds")
     return done.select("original_url", "short_code")
 
 

@@ -6,6 +6,7 @@ from ``events`` by the same rule in Spark and in SQL.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ def _q(sql: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"with {LOGS_SQL}\n{sql}" if "logs" in sql else sql
+            ORACLE_SQL[f.__name__] = f"with {LOGS_SQL}\n{sql}" if re.search(r"\b(from|join) logs\b", sql) else sql
         return f
 
     return add
@@ -85,17 +86,17 @@ def count_over_time(spark, sf_dir):
 
 @_q("select log_group, count(*) as matches from logs where (regexp_matches(message, '(?i)(timeout|timed out|deadline exceeded)') or contains(message, 'refused')) and not contains(message, 'redis') group by 1")
 def count_by_group(spark, sf_dir):
-    return logs.count_by(log_table(spark, sf_dir), Match(preset="timeouts", contains=("refused",), exclude=("redis",)), "log_group")
+    return logs.count_by(log_table(spark, sf_dir), Match(preset="timeouts", contains=("refused",), exclude=("redis",)), "log_group", None)
 
 
 @_q("select regexp_extract(message, '\\b(401|404|502|503)\\b', 1) as status_code, count(*) as matches from logs where regexp_matches(message, '\\b(401|404|502|503)\\b') group by 1")
 def count_by_status(spark, sf_dir):
-    return logs.count_by(log_table(spark, sf_dir), Match(status_codes=CODES), "status_code")
+    return logs.count_by(log_table(spark, sf_dir), Match(status_codes=CODES), "status_code", None)
 
 
 @_q(f"select log_group, n as matches, round_even(100.0 * n / sum(n) over (), 1) as share_pct from (select log_group, count(*) as n from logs where {_HIT} group by 1)")
 def group_shares(spark, sf_dir):
-    return logs.shares(logs.count_by(log_table(spark, sf_dir), ERRORS, "log_group"), "log_group", "matches")
+    return logs.shares(logs.count_by(log_table(spark, sf_dir), ERRORS, "log_group", None), "log_group", "matches")
 
 
 def _span(spark, sf_dir):
@@ -382,18 +383,27 @@ def unique_codes(spark, sf_dir):
     return coded.agg(F.countDistinct("original_url").alias("urls"), F.countDistinct("short_code").alias("codes"))
 
 
-@_q("select log_group as name, c.category from (select distinct log_group from logs) join (values ('eks', 'view'), ('x', 'zz')) as c(category, hint) on false")
+# The name hints of the categories, as the SQL states them.
+_HINTS = """(values ('hcl_commerce', 'commerce'), ('hcl_commerce', 'ts-app'), ('hcl_commerce', 'ts-web'), ('hcl_commerce', 'ts-utils'), ('hcl_commerce', 'search-app'), ('hcl_commerce', 'query-app'), ('hcl_commerce', 'crs-app'),
+  ('hcl_commerce', 'xc-app'), ('hcl_commerce', 'hcl'), ('hcl_commerce', 'websphere'), ('hcl_commerce', 'liberty'), ('hcl_commerce', 'wcs'), ('solr', 'solr'), ('solr', 'search-app'), ('redis', 'redis'), ('redis', 'elasticache'), ('redis', 'valkey'),
+  ('nginx', 'nginx'), ('nginx', 'ingress'), ('eks', '/aws/eks'), ('eks', 'eks'), ('eks', 'containerinsights'), ('eks', 'kubernetes'), ('eks', 'k8s'), ('ec2', '/aws/ec2'), ('ec2', 'ec2'), ('ec2', 'cloudwatch-agent'), ('ec2', '/var/log'),
+  ('alb_nlb', 'elb'), ('alb_nlb', 'alb'), ('alb_nlb', 'nlb'), ('alb_nlb', 'loadbalancer'), ('alb_nlb', 'load-balancer'), ('cloudfront', 'cloudfront'), ('cloudfront', 'cdn'), ('waf', 'waf'), ('waf', 'aws-waf-logs'), ('lambda', '/aws/lambda'),
+  ('rds', '/aws/rds'), ('rds', 'rds'), ('rds', 'db2'), ('rds', 'postgres'), ('rds', 'mysql'), ('vpc_flow', 'vpc'), ('vpc_flow', 'flowlog'), ('vpc_flow', 'flow-log'), ('route53', 'route53'), ('sns_ses', 'sns'), ('sns_ses', 'ses')) as h(category, hint)"""
+
+
+@_q(f"select distinct url as name, category from pages join {_HINTS} on contains(lower(url), hint)")
 def group_categories(spark, sf_dir):
-    names = log_table(spark, sf_dir).select(F.col("log_group").alias("name")).distinct()
-    return logs.group_categories(names)
+    return logs.group_categories(table(spark, sf_dir, "pages").select(F.col("url").alias("name")).distinct())
 
 
-@_q("select category, min(doc_id) as first_doc, count(*) as n from (select doc_id, unnest([c for c in ['redis', 'nginx', 'waf', 'sns_ses'] if case c when 'redis' then contains(lower(text), 'redis') or contains(lower(text), 'elasticache') or contains(lower(text), 'valkey') when 'nginx' then contains(lower(text), 'nginx') or contains(lower(text), 'ingress') when 'waf' then contains(lower(text), 'waf') or contains(lower(text), 'aws-waf-logs') else contains(lower(text), 'sns') or contains(lower(text), 'ses') end]) as category from documents) group by 1")
+@_q(f"select category, min(doc_id) as first_doc, count(distinct doc_id) as n from documents join {_HINTS} on contains(lower(text), hint) group by 1")
 def text_categories(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("text").alias("name"), "doc_id")
-    tags = d.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, logs.CATEGORIES[c])), lambda t: F.contains(F.lower("name"), t)), F.lit(c)) for c in ("redis", "nginx", "waf", "sns_ses")]))).alias("category"))
+    d = table(spark, sf_dir, "documents").select(F.concat_ws(" ", "doc_id", "text").alias("name"))
+    tags = logs.group_categories(d).select("category", F.substring_index("name", " ", 1).cast("long").alias("doc_id"))
     return tags.groupBy("category").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_over_time(spark, sf_dir)
+
+from opsframe import fleet_queries  # noqa: E402, F401  registers its queries
