@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from opsframe.llm.components import connected_components
 from opsframe.llm.stages import Scratch, written
-from opsframe.llm.textkit import Words, chunks, mix, shingle_sets, text_buffers
+from opsframe.llm.textkit import Words, chunks, mix, released, shingle_sets, text_buffers
 
 #: Rows up to which a table of ids is sent to all tasks; larger ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -93,6 +93,8 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
                     held = 0
         if stretch:
             yield frequent()
+        stretch.clear()
+        released()
 
     return docs.mapInArrow(run, f"doc_id {kind}, row long, n long, a long, b long, keys array<long>, set binary")
 
@@ -183,6 +185,7 @@ class _Sets:
                 at = pa.array(rows, pa.int64())
                 out = [batch.column("x").take(at), batch.column("y").take(at), *(pa.array(c, pa.int64()) for c in (nx, ny, both))]
                 yield pa.RecordBatch.from_arrays([*out, *((pa.array(c, pa.binary()) for c in (plus, minus)) if differences else ())], fields)
+            released()
 
         fields = ["x", "y", "nx", "ny", "both", *(("plus", "minus") if differences else ())]
         return placed.mapInArrow(run, "x long, y long, nx long, ny long, both long" + (", plus binary, minus binary" if differences else ""))
@@ -221,6 +224,7 @@ def _entries(sets: DataFrame, order: object, num: int, den: int) -> DataFrame:
                     [pa.array(t[k]), batch.column("unit").take(at), batch.column("starred").take(at), pa.array(n[each[k]].astype(np.int32)), pa.array(place[k].astype(np.int32)), pa.array(block[each[k]]), pa.array(over[each[k]])],
                     ["token", "unit", "starred", "n", "place", "block", "over"],
                 )
+        released()
 
     return sets.select("unit", "starred", "set").mapInArrow(run, "token long, unit long, starred boolean, n int, place int, block int, over boolean")
 

@@ -51,21 +51,28 @@ def small_batches(spark: SparkSession) -> None:
 class Scratch:
     """Intermediate tables that are deleted together when the ``with`` block ends; what outlives it must be ``written`` elsewhere.
 
-    Inside the block rows travel to Python in small batches; the session's own
-    setting returns at the end.
+    Inside the block rows travel to Python in small batches, and shuffles have
+    ``FINER`` times the session's partitions, so that a task sorts little at a
+    time; adaptive execution joins those that are small.  The session's own
+    settings return at the end.
     """
 
+    PARTITIONS, ADVISORY, FINER = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", 4
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/opsframe-{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def __enter__(self) -> Scratch:
-        self.batch = self.spark.conf.get(BATCH)
+        self.own = {key: self.spark.conf.get(key) for key in (BATCH, self.PARTITIONS, self.ADVISORY)}
         small_batches(self.spark)
+        self.spark.conf.set(self.PARTITIONS, str(self.FINER * int(self.own[self.PARTITIONS])))
+        self.spark.conf.set(self.ADVISORY, "4m")
         return self
 
     def __exit__(self, *_: object) -> None:
-        self.spark.conf.set(BATCH, self.batch)
+        for key, value in self.own.items():
+            self.spark.conf.set(key, value)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -8,6 +8,7 @@ the batch size or on how long single texts are.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,3 +157,11 @@ def running_windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(h), _BASE))))
     inverse = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(h), np.uint64(pow(int(_BASE), -1, 1 << 64))))))
     return np.concatenate(([np.uint64(0)], np.cumsum(h * power[:-1]))), inverse
+
+
+def released() -> None:
+    """At the end of a task: give freed memory back to the system, as the worker idles while the executor goes on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
