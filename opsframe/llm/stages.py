@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _write(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,7 +78,8 @@ class Scratch:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
-        return _write(df, f"{self.path}/{self.count:03d}-{name}")
+        # hashes do not compress, and codecs hold direct memory of executors long after a task
+        return _write(df, f"{self.path}/{self.count:03d}-{name}", "none")
 
 
 def unused(df: DataFrame, name: str) -> str:
