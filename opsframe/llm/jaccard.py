@@ -21,6 +21,8 @@ BROADCAST_ROWS = 500_000
 ORDERED_SHINGLES = 500_000
 #: Comparisons with one set that a task makes in a row; the set travels once for each such group.
 GROUP = 64
+#: Members of a star that answer for it first.
+SCOUTS = 16
 STAR_KEYS = 4
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, 8, dtype=np.uint64)
 
@@ -272,15 +274,11 @@ def _linked(nx: str | Column, ny: str | Column, both: str | Column, num: int, de
     return (num + den) * both >= num * (nx + ny)
 
 
-def _star_answers(sets: _Sets, work: Scratch, open_pairs: DataFrame, members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of labels (lx, ly) of stars whose members link though their pivots do not.
+def _label_links(sets: _Sets, work: Scratch, open_pairs: DataFrame, members: DataFrame, sizes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Members that could link with the other pivot of an open pair, with ``found``, the size of the intersection; and the label pairs (lx, ly) of those that do.
 
-    ``open_pairs``: x, y, both, lx, ly of pivots that are compared but neither
-    linked nor in one component.  A member's answer follows from its pivot's:
-    |m & y| is |x & y|, more what the member has beyond its pivot, less what it
-    lacks.  Members that could link with the other pivot by that bound are
-    settled first, by looking their few differing shingles up.  For stars that
-    are still apart, members of both meet where both bounds leave room.
+    ``open_pairs``: x, y, both, lx, ly.  The answer of a member follows from its
+    pivot's, by looking up the few shingles in which the two differ.
     """
     turned = open_pairs.select(F.col("x").alias("star"), F.col("y").alias("other"), "both", F.col("lx").alias("ls"), F.col("ly").alias("lo"))
     turned = turned.unionByName(open_pairs.select(F.col("y").alias("star"), F.col("x").alias("other"), "both", F.col("ly").alias("ls"), F.col("lx").alias("lo")))
@@ -292,10 +290,33 @@ def _star_answers(sets: _Sets, work: Scratch, open_pairs: DataFrame, members: Da
     exact = work.written(sets.derived(rows, members.select("x", F.col("plus").alias("mine"), F.col("minus").alias("less"))), "derived").select(F.col("x").alias("m"), F.col("y").alias("other"), F.col("both").alias("found"))
     near = work.written(near.join(exact, ["m", "other"]), "settled")
     labels = lambda a, b: (F.least(a, b).alias("lx"), F.greatest(a, b).alias("ly"))
-    links = work.written(near.where(_linked("n", "n_other", "found", num, den)).select(*labels("ls", "lo")).distinct(), "label-links")
+    return near, work.written(near.where(_linked("n", "n_other", "found", num, den)).select(*labels("ls", "lo")).distinct(), "label-links")
+
+
+def _star_answers(sets: _Sets, work: Scratch, open_pairs: DataFrame, members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of labels (lx, ly) of stars whose members link though their pivots do not.
+
+    ``open_pairs``: x, y, both, lx, ly of pivots that are compared but neither
+    linked nor in one component.  |m & y| is |x & y|, more what the member m of
+    x has beyond its pivot, less what it lacks.  About ``SCOUTS`` members of each
+    star answer first; stars that they bring together need no more answers.  Of
+    the pairs that stay apart all members answer that could link by that bound.
+    For stars that are still apart, members of both meet where both bounds leave
+    room.
+    """
+    crowd = work.written(members.groupBy(F.col("star").alias("s")).agg(F.count(F.lit(1)).alias("size")), "crowd")
+    scouts = members.join(crowd, F.col("star") == F.col("s")).where(F.pmod(F.xxhash64("x"), F.ceil(F.col("size") / SCOUTS)) == 0).drop("s", "size")
+    _, first = _label_links(sets, work, open_pairs, work.written(scouts, "scouts"), sizes, num, den)
+    merged = work.written(connected_components(first.toDF("u", "v"), work.written), "scouted")
+    now = lambda s: merged.select(F.col("node").alias(f"l{s}"), F.col("label").alias(f"m{s}"))
+    rest = open_pairs.join(now("x"), "lx", "left").join(now("y"), "ly", "left").where(F.coalesce("mx", "lx") != F.coalesce("my", "ly"))
+    open_pairs = work.written(rest.select("x", "y", "both", "lx", "ly"), "open-pairs")
+    near, links = _label_links(sets, work, open_pairs, members, sizes, num, den)
+    links = work.written(links.unionByName(first).distinct(), "label-links")
 
     left = open_pairs.withColumns({"l1": F.least("lx", "ly"), "l2": F.greatest("lx", "ly")}).join(links.toDF("l1", "l2"), ["l1", "l2"], "left_anti")
     left = left.select("x", "y", F.col("both").alias("pq"), "lx", "ly")
+    labels = lambda a, b: (F.least(a, b).alias("lx"), F.greatest(a, b).alias("ly"))
     stats = work.written(members.groupBy(F.col("star").alias("s")).agg(F.max("n_plus").alias("most"), F.min("n").alias("least")), "star-bounds")
     side = lambda s: stats.select(F.col("s").alias(s), F.col("most").alias(f"most_{s}"), F.col("least").alias(f"least_{s}"))
     left = left.join(side("x"), "x").join(side("y"), "y")  # both have members, else all is settled
