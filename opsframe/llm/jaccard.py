@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.llm.components import connected_components
@@ -272,50 +272,85 @@ def _linked(nx: str | Column, ny: str | Column, both: str | Column, num: int, de
     return (num + den) * both >= num * (nx + ny)
 
 
+def _differences(rows: DataFrame) -> DataFrame:
+    """``star, unit, feature``: the shingles that a unit has more (``plus``) or less (``minus``) than the pivot of a star."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [np.concatenate([_words64(p), _words64(m)]) for p, m in zip(batch.column("plus"), batch.column("minus"))]
+            if not both:
+                continue
+            each, features = np.repeat(np.arange(len(both)), [len(x) for x in both]), np.concatenate(both).view(np.int64)
+            for lo in range(0, len(each), 1 << 16):
+                at = pa.array(each[lo : lo + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([batch.column("star").take(at), batch.column("unit").take(at), pa.array(features[lo : lo + (1 << 16)])], ["star", "unit", "feature"])
+        released()
+
+    return rows.select("star", "unit", "plus", "minus").mapInArrow(run, "star long, unit long, feature long")
+
+
 def _star_answers(sets: _Sets, work: Scratch, open_pairs: DataFrame, members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of labels (lx, ly) of stars whose members link though their pivots do not.
 
     ``open_pairs``: x, y, both, lx, ly of pivots that are compared but neither
-    linked nor in one component.  A member's answer follows from its pivot's:
-    |m & y| is |x & y|, more what the member has beyond its pivot, less what it
-    lacks.  Members that could link with the other pivot by that bound are
-    settled first, by looking their few differing shingles up.  For stars that
-    are still apart, members of both meet where both bounds leave room.
+    linked nor in one component.  The sets of the smaller star visit the pivot p
+    of the larger one; those that link with it settle the pair.  For any other
+    visitor v, a member m's answer follows from its pivot's:
+    |m & v| is |p & v|, less what m lacks of p, more the differences from p
+    that m and v share.  So m and v can only link if they share as many
+    differences as that leaves wanting (one at least), and are found by their
+    rarest ones; members that share none with a visitor are never paired with it.
     """
-    turned = open_pairs.select(F.col("x").alias("star"), F.col("y").alias("other"), "both", F.col("lx").alias("ls"), F.col("ly").alias("lo"))
-    turned = turned.unionByName(open_pairs.select(F.col("y").alias("star"), F.col("x").alias("other"), "both", F.col("ly").alias("ls"), F.col("lx").alias("lo")))
-    other = sizes.select(F.col("row").alias("other"), F.col("n").alias("n_other"))
-    near = members.select(F.col("x").alias("m"), "star", "n", "n_plus").join(turned, "star").join(other, "other")
-    near = near.where(_linked("n", "n_other", F.least(F.col("both") + F.col("n_plus"), F.col("n"), F.col("n_other")), num, den))
-    near = work.written(near.select("m", "star", "other", "n", "n_other", "both", "ls", "lo"), "near-members")
-    rows = near.select(F.col("m").alias("x"), F.col("other").alias("y"), F.col("both").alias("start"))
-    exact = work.written(sets.derived(rows, members.select("x", F.col("plus").alias("mine"), F.col("minus").alias("less"))), "derived").select(F.col("x").alias("m"), F.col("y").alias("other"), F.col("both").alias("found"))
-    near = work.written(near.join(exact, ["m", "other"]), "settled")
-    labels = lambda a, b: (F.least(a, b).alias("lx"), F.greatest(a, b).alias("ly"))
-    links = work.written(near.where(_linked("n", "n_other", "found", num, den)).select(*labels("ls", "lo")).distinct(), "label-links")
-
-    left = open_pairs.withColumns({"l1": F.least("lx", "ly"), "l2": F.greatest("lx", "ly")}).join(links.toDF("l1", "l2"), ["l1", "l2"], "left_anti")
-    left = left.select("x", "y", F.col("both").alias("pq"), "lx", "ly")
-    stats = work.written(members.groupBy(F.col("star").alias("s")).agg(F.max("n_plus").alias("most"), F.min("n").alias("least")), "star-bounds")
-    side = lambda s: stats.select(F.col("s").alias(s), F.col("most").alias(f"most_{s}"), F.col("least").alias(f"least_{s}"))
-    left = left.join(side("x"), "x").join(side("y"), "y")  # both have members, else all is settled
-    left = left.where(_linked("least_x", "least_y", F.col("pq") + F.col("most_x") + F.col("most_y"), num, den))
-    left = work.written(left, "open-stars")
-    if left.isEmpty():
+    weight = num + den
+    stats = work.written(members.groupBy(F.col("star").alias("s")).agg(F.count(F.lit(1)).alias("k"), F.max("n_plus").alias("most"), F.min("n").alias("least")), "star-bounds")
+    side = lambda s: stats.select(F.col("s").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("k", "most", "least")))
+    met = open_pairs.join(side("x"), "x", "left").join(side("y"), "y", "left").withColumn("larger", F.coalesce("k_x", F.lit(0)) >= F.coalesce("k_y", F.lit(0)))
+    of = lambda a, b: F.when(F.col("larger"), F.col(a)).otherwise(F.col(b))
+    met = met.select(of("x", "y").alias("star"), of("y", "x").alias("small"), "both", of("most_x", "most_y").alias("most"), of("least_x", "least_y").alias("least"), "lx", "ly")
+    met = met.join(sizes.select(F.col("row").alias("star"), F.col("n").alias("n_star")), "star").withColumn("least", F.least("least", "n_star"))
+    met = work.written(met.drop("n_star"), "star-pairs")
+
+    # a visitor has no more in common with a member than the pivots have, and what both have beyond them
+    guests = met.join(members.select(F.col("x").alias("unit"), F.col("star").alias("small"), "n", "n_plus"), "small")
+    guests = guests.where(_linked("n", "least", F.least(F.col("both") + F.col("most") + F.col("n_plus"), F.col("n")), num, den))
+    labels = ["star", "unit", "lx", "ly"]
+    guests = guests.select(*labels).unionByName(met.select("star", F.col("small").alias("unit"), "lx", "ly")).dropDuplicates(["star", "unit"])
+    guests = work.written(guests, "visitors")
+    seen = work.written(sets.compared(guests.select(F.col("unit").alias("x"), F.col("star").alias("y")), differences=True), "visits")
+    settled = seen.where(_linked("nx", "ny", "both", num, den)).select(F.col("x").alias("unit"), F.col("y").alias("star"))
+    links = work.written(guests.join(settled, ["star", "unit"]).select("lx", "ly").distinct(), "label-links")
+
+    # a pair wants (cost - spare) / weight shared differences, rounded up
+    visits = seen.select(F.col("x").alias("unit"), F.col("y").alias("star"), "both", (weight * F.col("both") - num * F.col("nx")).alias("spare"), "plus", "minus")
+    visits = visits.join(settled, ["star", "unit"], "left_anti").join(guests, ["star", "unit"]).join(links, ["lx", "ly"], "left_anti")
+    visits = work.written(visits, "open-visits")
+    if visits.isEmpty():
         return links
-    found = near.select(F.col("m").alias("v"), F.col("star").alias("w"), "other", "found")
-    sided = lambda s, o: (
-        members.select(F.col("x").alias("v"), F.col("star").alias("w"), "n", "n_plus").join(left.select(F.col(s).alias("w"), F.col(o).alias("other"), "pq", F.col(f"most_{o}").alias("most"), F.col(f"least_{o}").alias("least")), "w")
-        .join(found, ["v", "w", "other"], "left").withColumn("reach", F.least(F.coalesce("found", F.col("pq") + F.col("n_plus")), F.col("n")))
-        .where(_linked("n", "least", F.col("reach") + F.col("most"), num, den))
-        .select(F.col("v").alias(f"m{s}"), F.col("w").alias(s), F.col("other").alias(o), F.col("n").alias(f"n{s}"), F.col("n_plus").alias(f"plus_{s}"), F.col("reach").alias(f"reach_{s}"))
-    )
-    a, b = work.written(sided("x", "y"), "side-x"), work.written(sided("y", "x"), "side-y")
-    most = F.least(F.col("reach_x") + F.col("plus_y"), F.col("reach_y") + F.col("plus_x"))
-    pairs = a.join(b, ["x", "y"]).where(_linked("nx", "ny", most, num, den)).select(F.col("mx"), F.col("my"), "x", "y")
-    pairs = work.written(pairs.join(left.select("x", "y", "lx", "ly"), ["x", "y"]).select(F.col("mx").alias("x"), F.col("my").alias("y"), "lx", "ly"), "member-pairs")
-    same = work.written(sets.compared(pairs.select("x", "y").distinct()).where(_linked("nx", "ny", "both", num, den)).select("x", "y"), "member-links")
-    return links.unionByName(pairs.join(same, ["x", "y"]).select(*labels("lx", "ly")).distinct())
+    asked = work.written(visits.groupBy("star").agg(F.max("spare").alias("most_spare")), "asked-stars")
+    answer = members.select(F.col("x").alias("unit"), "star", "plus", "minus", (num * F.col("n") + weight * (F.octet_length("minus") / 8).cast("long")).alias("cost"))
+    answer = work.written(answer.join(_small(asked), "star"), "asked-members")
+    cheapest = answer.groupBy("star").agg(F.min("cost").alias("least_cost"))
+    wants = lambda cost, spare: F.ceil((F.col(cost) - F.col(spare)) / weight)
+    theirs, mine = work.written(_differences(visits), "visitors-differ"), work.written(_differences(answer), "members-differ")
+    counted = lambda d, k: d.groupBy("star", "feature").agg(F.count(F.lit(1)).alias(k))
+    shared = counted(mine, "k").join(counted(theirs, "l"), ["star", "feature"]).select("star", "feature", (F.col("k") * F.col("l")).alias("pairs"))
+    shared = work.written(shared, "shared-differences")
+
+    def rarest(differences: DataFrame, needs: DataFrame) -> DataFrame:
+        """The differences of each unit of which any sufficient match shares one: the rarest, all but ``want`` - 1."""
+        unit = Window.partitionBy("star", "unit")
+        placed = differences.join(shared, ["star", "feature"]).withColumns({"place": F.row_number().over(unit.orderBy("pairs", "feature")), "held": F.count(F.lit(1)).over(unit)})
+        return placed.join(needs, ["star", "unit"]).where(F.col("place") <= F.col("held") - F.col("want") + 1).withColumn("rest", F.col("held") - F.col("place") + 1)
+
+    p = rarest(mine, answer.select("star", "unit", "cost", wants("cost", "most_spare").alias("want"))).select("star", "feature", F.col("unit").alias("m"), "cost", F.col("rest").alias("rest_m"))
+    needs = visits.join(cheapest, "star").select("star", "unit", "spare", "both", "lx", "ly", wants("least_cost", "spare").alias("want"))
+    q = rarest(theirs, needs).select("star", "feature", F.col("unit").alias("v"), "spare", "both", "lx", "ly", F.col("rest").alias("rest_v"))
+    pairs = p.join(q, ["star", "feature"]).where(F.least("rest_m", "rest_v") >= wants("cost", "spare"))
+    pairs = work.written(pairs.select(F.col("m").alias("x"), F.col("v").alias("y"), "both", "cost", "spare", "lx", "ly").distinct(), "member-pairs")
+    exact = sets.derived(pairs.select("x", "y", F.col("both").alias("start")), members.select("x", F.col("plus").alias("mine"), F.col("minus").alias("less")))
+    size = lambda s: sizes.select(F.col("row").alias(s), F.col("n").alias(f"n{s}"))
+    found = exact.withColumnRenamed("both", "found").join(size("x"), "x").join(size("y"), "y").where(_linked("nx", "ny", "found", num, den))
+    return links.unionByName(work.written(pairs.select("x", "y", "lx", "ly").join(found.select("x", "y"), ["x", "y"]).select("lx", "ly").distinct(), "member-links"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,8 +367,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
        shingles last); sets of a star enter as their pivot.  Blocks of a list
        are skipped by size, entries by place.
     4. Pivots that meet in a list are compared.  Members of pivots that do not
-       link derive their answers from the pivots' (``_star_answers``), only
-       where their two stars are not in one component already.
+       link derive their answers from the pivots', by the differences from their
+       pivot that they share with a visitor of the other star
+       (``_star_answers``), only where their two stars are not in one component
+       already.
 
     Words: ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Fewer words than
     ``width`` make one shingle; null or empty texts have none and link with

@@ -228,6 +228,31 @@ def test_op5_equals_brute_force(spark, width, num, odd):
         assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_op5_members_of_stars_meet_by_shared_differences(spark, monkeypatch):
+    """Groups of versions of one text: members link across stars whose pivots do not, some of them only through edits that both have."""
+    rng = random.Random(12)
+    words, rows, answers = [f"w{i}" for i in range(3000)], [], []
+    for size in (50, 60, 110, 150):
+        base = [rng.choice(words) for _ in range(size)]
+        edits = [(rng.randrange(size), rng.choice(words)) for _ in range(9)]
+        for _ in range(70):
+            w = list(base)
+            for at, word in rng.sample(edits, rng.choice((0, 1, 1, 1, 2, 2, 3, 4, 5, 6))):
+                w[at] = word
+            for _ in range(rng.choice((0, 0, 0, 1))):
+                w[rng.randrange(size)] = rng.choice(words)
+            rows.append(" ".join(w[: size - rng.choice((0, 0, 0, 3))]))
+    own = J._star_answers
+    monkeypatch.setattr(J, "_star_answers", lambda *a: answers.append(own(*a)) or answers[-1])
+    by_id = dict(enumerate(rows))
+    d = spark.createDataFrame(list(by_id.items()), "doc_id long, text string").repartition(3)
+    asked, derived = [], J._Sets.derived
+    monkeypatch.setattr(J._Sets, "derived", lambda self, rows, beyond: asked.append(rows.count()) or derived(self, rows, beyond))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(d, 4, 85).collect()}
+    assert got == components(by_id, 4, 85)
+    assert answers and asked[0] > 0
+
+
 def test_op5_awkward_rows(spark, odd):
     r = J.jaccard_components(odd).collect()
     assert len(r) == len(ODD) and {(x.doc_id, x.n_shingles, x.component_id) for x in r} == {(None, 0, None), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 4), (5, 1, 5)}
