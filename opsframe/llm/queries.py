@@ -1,4 +1,4 @@
-"""The ten registered queries of this subpackage; each applies its operator to a whole table."""
+"""The registered queries of this subpackage; each applies its operator to a whole table."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.llm.decontaminate import find_contamination
+from opsframe.llm.exact_dedup import copy_groups
+from opsframe.llm.filter_audit import audit_filters
 from opsframe.llm.html_text import extract_text, fit_labeller
 from opsframe.llm.jaccard import jaccard_components
 from opsframe.llm.langid import fit_language_model, identify_language
 from opsframe.llm.mixing import fair_mix
 from opsframe.llm.pii import find_pii
 from opsframe.llm.quality import quality_rules
+from opsframe.llm.resample import resample
 from opsframe.llm.secret_scan import scan_secrets
 from opsframe.llm.stages import small_batches
 from opsframe.llm.token_counts import count_tokens
@@ -76,6 +79,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -87,6 +102,9 @@ QUERIES = {
     "op8_page_text": op8_page_text,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_resample": op13_resample,
 }
 
 #: Words in SQL: runs of characters other than space and tab to carriage return.
@@ -140,5 +158,41 @@ with sized as (
 )
 select doc_id, t.size::bigint as size, source_size, target, coalesce(taken, 0)::bigint as taken
 from timed t left join (select r, sum(size) as taken from within group by r) w on w.r = t.r
+""",
+    "op11_exact_dedup": """
+select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id, (count(*) over (partition by coalesce(text, '')))::bigint as group_size,
+       row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
+from documents
+""",
+    "op12_filter_audit": rf"""
+with judged as (
+    select coalesce(lang, '') as part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as bad, [
+        len(w) < 200,
+        100 * len(list_distinct(w)) < 50 * len(w),
+        100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+        regexp_matches(t, '[#$%&*|]'),
+        coalesce(min(d.doc_id) over (partition by t) < d.doc_id, false)
+    ] as fails
+    from (select *, coalesce(text, '') as t, {_WORDS.format("coalesce(text, '')")} as w from documents) d left join labels l on l.doc_id = d.doc_id
+), letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+    select a.x || b.x || c.x || d.x || e.x as filter_order
+    from letters a join letters b on b.x <> a.x join letters c on c.x not in (a.x, b.x) join letters d on d.x not in (a.x, b.x, c.x) join letters e on e.x not in (a.x, b.x, c.x, d.x)
+), steps as (
+    select filter_order, step::int as step, list_transform(string_split(filter_order, ''), lambda x: instr('ABCDE', x)) as places from orders, range(1, 6) r(step)
+), seen as (
+    select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (bad) as bad from judged group by all
+), walked as (
+    select part, filter_order, step, n, good, bad, fails[places[step]] as failing,
+           list_bool_or(list_concat([false], list_transform(places[1 : step - 1], lambda p: fails[p]))) as gone,
+           len(list_filter(fails, lambda f: f)) = 1 as one
+    from seen, steps
+), summed as (
+    select part, filter_order, step, coalesce(sum(n) filter (not gone and not failing), 0)::bigint as kept, coalesce(sum(n) filter (not gone and failing), 0)::bigint as removed,
+           coalesce(sum(n) filter (gone and failing), 0)::bigint as redundant, coalesce(sum(n) filter (failing and one), 0)::bigint as unique_fails,
+           coalesce(sum(good) filter (not gone and failing), 0)::bigint as good_lost, coalesce(sum(bad) filter (not gone and failing), 0)::bigint as toxic_lost
+    from walked group by all
+)
+select *, (sum(removed) over (partition by part, filter_order[step]))::bigint as shapley from summed
 """,
 }

@@ -25,6 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; what is there goes when the driver's JVM ends, if it was not deleted before."""
+    path = f"{shared_dir(spark).rstrip('/')}/opsframe-{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _write(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -34,9 +47,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Later jobs read the files, so a lost executor costs at most the tasks that
-    were running there.  The files live as long as the shared folder does.
+    were running there.  The files live as long as the driver's JVM does.
     """
-    return _write(df, f"{shared_dir(df.sparkSession).rstrip('/')}/opsframe-{name}-{uuid.uuid4().hex}")
+    return _write(df, scratch_path(df.sparkSession, name))
 
 
 #: Rows of an Arrow batch; Spark's default of 10,000 rows that hold texts or sets fills tens of MB for each task, on both sides.
@@ -60,7 +73,7 @@ class Scratch:
     PARTITIONS, ADVISORY, FINER = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", 4
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/opsframe-{name}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, scratch_path(spark, name)
         self.count = 0
 
     def __enter__(self) -> Scratch:
@@ -73,8 +86,7 @@ class Scratch:
     def __exit__(self, *_: object) -> None:
         for key, value in self.own.items():
             self.spark.conf.set(key, value)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
