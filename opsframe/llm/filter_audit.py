@@ -27,6 +27,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores sets some MB of disk aside
+    "spark.sql.streaming.minBatchesToRetain": "2",
 }
 COUNTERS = "part string, mask int, quality int, toxic int, n long"
 
