@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from opsframe.functions import classify, redact, timestamps
 from opsframe.functions.ranges import TimeRange
 from opsframe.operators import alarms, findings, hosts, logs, metrics, pods, timeline, urls
-from opsframe.queries import _clicks, _q, _states, _url_table, log_table, point_table, table
+from opsframe.operators.ordered import numbered
+from opsframe.queries import LOGS_SQL, _clicks, _q, _states, _url_table, log_table, point_table, table
 from opsframe.sources import results, snapshots
 
 # Fixed values of the derived pods, by customer key.
@@ -25,7 +26,7 @@ WITHIN = TimeRange(datetime(2024, 1, 5), datetime(2024, 1, 12, 12))
 
 _K = "(c_custkey % 8)"
 #: The derived pods as SQL; null where the snapshot says that there is none.
-PODS_SQL = f"""pods as (select c_custkey as k, c_nationkey as snapshot_id, concat('pod-', cast(c_custkey as varchar)) as pod,
+PODS_SQL = f"""pods as (select c_custkey as k, c_custkey // 50 as snapshot_id, concat('pod-', cast(c_custkey as varchar)) as pod,
   case when c_custkey % 10 = 0 then 'elsewhere' when {_K} = 3 then 'nginx' when {_K} = 4 then 'redis' else 'commerce' end as namespace,
   case c_custkey % 5 when 4 then null when 3 then 'Pending' else 'Running' end as phase,
   case when c_custkey % 7 = 6 then null else concat('r', cast(c_custkey % 7 as varchar)) end as release,
@@ -77,12 +78,12 @@ def pods_lenient(spark, sf_dir):
 
 
 def _strict(spark, sf_dir):
-    """A snapshot of nine columns for each nation; a flag that cannot be read, at every 397th key, withholds its snapshot."""
+    """Snapshots of nine columns and fifty pods; a flag that cannot be read, at every 397th key, withholds its snapshot."""
     k, p = F.col("c_custkey"), _pod_columns()
     n = F.size(F.split(p["containers"], ","))
     ready = F.when(k % 397 == 5, F.array_repeat(F.lit("maybe"), n)).otherwise(F.array_repeat(F.when(k % 2 == 0, "true").otherwise("false"), n))
     fields = [p["name"], p["namespace"], F.lit("Running"), F.lit("10.0.0.1"), F.concat(F.lit("node-"), (k % 9).cast("string")), p["containers"], F.regexp_replace(p["containers"], "[a-z-]+", "img:1"), F.array_join(ready, ","), F.array_join(F.array_repeat((k % 4).cast("string"), n), ",")]
-    lines = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("snapshot_id"), F.struct("c_custkey", F.concat_ws("\t", *fields).alias("line")).alias("at"))
+    lines = table(spark, sf_dir, "customer").select(F.floor(k / 50).alias("snapshot_id"), F.struct("c_custkey", F.concat_ws("\t", *fields).alias("line")).alias("at"))
     text = lines.groupBy("snapshot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["line"]), "\n").alias("text"))  # a snapshot is one listing
     return snapshots.parse_pods_strict(text, 9)
 
@@ -93,19 +94,19 @@ def pods_strict(spark, sf_dir):
     return _strict(spark, sf_dir)[0].select("snapshot_id", "pod", "namespace", "node", "ready.total_count", "ready.ready_count", "restart_count")
 
 
-@_q("select c_nationkey as snapshot_id, count(*) as bad_rows from customer where c_custkey % 397 = 5 group by 1")
+@_q("select c_custkey // 50 as snapshot_id, count(*) as bad_rows from customer where c_custkey % 397 = 5 group by 1")
 def withheld_snapshots(spark, sf_dir):
     return _strict(spark, sf_dir)[1].select("snapshot_id", "bad_rows")
 
 
-@_q("""select s_nationkey as snapshot_id, s_name as name, s_suppkey % 5 as desired, case when s_suppkey % 3 = 0 then 0 else s_suppkey % 4 end as ready, case when s_suppkey % 6 <> 1 then s_suppkey % 4 end as available, 2 as images
-  from supplier where s_nationkey not in (select s_nationkey from supplier where s_suppkey % 61 = 7)""")
+@_q("""select s_suppkey // 50 as snapshot_id, s_name as name, s_suppkey % 5 as desired, case when s_suppkey % 3 = 0 then 0 else s_suppkey % 4 end as ready, case when s_suppkey % 6 <> 1 then s_suppkey % 4 end as available, 2 as images
+  from supplier where s_suppkey // 50 not in (select s_suppkey // 50 from supplier where s_suppkey % 61 = 7)""")
 def workloads(spark, sf_dir):
-    """Deployments of a nation as one listing; a count that is no number, at every 61st key, withholds it."""
+    """Deployments in listings of fifty; a count that is no number, at every 61st key, withholds it."""
     k = F.col("s_suppkey")
     text = lambda c: c.cast("string")
     fields = [F.col("s_name"), F.lit("commerce"), F.when(k % 61 == 7, "many").otherwise(text(k % 5)), F.when(k % 3 == 0, "<none>").otherwise(text(k % 4)), F.when(k % 6 == 1, "<none>").otherwise(text(k % 4)), F.lit("1"), F.lit("a,b"), F.lit("img:1,img:2")]
-    d = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("snapshot_id"), F.struct("s_suppkey", F.concat_ws(" ", *fields).alias("line")).alias("at"))
+    d = table(spark, sf_dir, "supplier").select(F.floor(k / 50).alias("snapshot_id"), F.struct("s_suppkey", F.concat_ws(" ", *fields).alias("line")).alias("at"))
     listing = d.groupBy("snapshot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["line"]), "\n").alias("text"))
     return snapshots.parse_workloads(listing, "deployment")[0].select("snapshot_id", "name", "desired", "ready", "available", F.size("containers").alias("images"))
 
@@ -200,13 +201,21 @@ def unknown_components(spark, sf_dir):
     return pods.unknown_components(given, pods.component_table(spark)).select("name")
 
 
-@_q("select doc_id, case when contains(lower(text), 'redis') then 'redis' else 'ts-app,crs-app,ts-web,store-web' end as components from documents where not regexp_matches(lower(concat(' ', text, ' ')), "
-    "'transaction|crs|store|rest api|ts-|search|solr|elastic|cache-app|dynacache|nginx|ingress|4xx|5xx| http |session store|tooling|wcbd| utils')")
+# The hints of the components, in table order, as the SQL states them.
+_HINTS_SQL = """(values (1, 'ts-app', 'ts-app'), (1, 'ts-app', 'transaction server'), (1, 'ts-app', 'transaction'), (2, 'crs-app', 'crs-app'), (2, 'crs-app', 'crs'), (2, 'crs-app', 'store server'), (2, 'crs-app', 'rest api'), (3, 'ts-web', 'ts-web'),
+  (4, 'store-web', 'store-web'), (4, 'store-web', 'storefront'), (4, 'store-web', 'store front'), (5, 'search-app', 'search'), (5, 'search-app', 'solr'), (5, 'search-app', 'elastic'), (6, 'cache-app', 'cache-app'), (6, 'cache-app', 'dynacache'),
+  (7, 'nginx', 'nginx'), (7, 'nginx', 'ingress'), (7, 'nginx', '4xx'), (7, 'nginx', '5xx'), (7, 'nginx', ' http '), (8, 'redis', 'redis'), (8, 'redis', 'session store'), (9, 'tooling-web', 'tooling'), (10, 'wcbd', 'wcbd'), (11, 'utils', ' utils')) as h(place, component, hint)"""
+
+
+@_q(f"""with {LOGS_SQL}, texts as (select doc_id as id, concat(' ', lower(coalesce(text, '')), ' ') as t from documents union all select -1 - page_id, concat(' ', lower(url), ' ') from pages union all select -1000000 - event_id, concat(' ', lower(message), ' ') from logs),
+  hits as (select distinct id, place, component from texts join {_HINTS_SQL} on contains(t, hint))
+  select t.id, coalesce(string_agg(component, ',' order by place), 'ts-app,crs-app,ts-web,store-web') as components from texts t left join hits h on h.id = t.id group by t.id""")
 def inferred_components(spark, sf_dir):
-    """Documents without any hint but ``redis``: the others have several, in table order."""
-    d = table(spark, sf_dir, "documents")
-    other = F.lower(F.concat(F.lit(" "), "text", F.lit(" "))).rlike("transaction|crs|store|rest api|ts-|search|solr|elastic|cache-app|dynacache|nginx|ingress|4xx|5xx| http |session store|tooling|wcbd| utils")
-    return d.where(~other).select("doc_id", F.array_join(classify.infer_components(F.col("text")), ",").alias("components"))
+    """Texts, URLs and messages."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    d = d.unionByName(table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("url").alias("t")))
+    d = d.unionByName(log_table(spark, sf_dir).select((-1_000_000 - F.col("event_id")).alias("id"), F.col("message").alias("t")))
+    return d.select("id", F.array_join(classify.infer_components(F.col("t")), ",").alias("components"))
 
 
 @_q("""select event_id, case when event_id % 20 = 7 then 'authentication_failure' when event_id % 20 = 17 then 'unclassified' end as category, event_type as count_of from events where event_id % 20 in (7, 17) and event_type <> 'view'""")
@@ -278,7 +287,7 @@ def dimension_metrics(spark, sf_dir):
 
 @_q("select event_type as metric_name, max_by(ts, struct_pack(v := value, t := -epoch_us(ts))) as max_at from events where value is not null group by 1")
 def metric_maxima(spark, sf_dir):
-    return metrics.metric_summary(point_table(spark, sf_dir)).select("metric_name", "max_at")
+    return metrics.metric_summary(point_table(spark, sf_dir), exact=True).select("metric_name", "max_at")
 
 
 @_q("""select name, type from (select concat('alarm-', cast(user_id as varchar)) as name, 'metric' as type, arg_max(coalesce(value, 0), struct_pack(t := ts, e := event_id)) as v from events group by user_id) where v > 100 and starts_with(name, 'alarm-1')
@@ -316,16 +325,12 @@ def time_tiers(spark, sf_dir):
   union all select event_id, 3, 0 from events where event_type = 'view' and event_id % 2 = 1)""")
 def ordered_timeline(spark, sf_dir):
     """Log lines, cluster events with times, and cluster events without, in one order."""
-    from pyspark.sql.window import Window as W
-
     d = log_table(spark, sf_dir)
     text = lambda pattern: F.date_format(F.date_trunc("second", "ts"), pattern)
     lines = d.where("log_group = 'error'").select(F.col("event_id").alias("seq"), text("yyyy-MM-dd HH:mm:ss").alias("raw"))
     none = F.lit(None).cast("string")
     cluster = d.where("log_group = 'signup' or log_group = 'view' and event_id % 2 = 1").select(F.col("event_id").alias("seq"), F.when(F.col("log_group") == "signup", text("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("event_time"), none.alias("first_timestamp"), none.alias("last_timestamp"))
-    ordered = timeline.order_timeline(timeline.timeline_union(lines, cluster))
-    place = F.row_number().over(W.orderBy("tier", "ts_utc", "ts_local", "time_of_day", "seq"))  # of a report: a place for each row
-    return ordered.select(place.alias("place"), "seq", "tier")
+    return timeline.number_timeline(timeline.timeline_union(lines, cluster)).select("place", "seq", "tier")
 
 
 @_q("select event_id, case event_id % 20 when 17 then 'INFO all good' else 'INFO order 123456 placed password=[REDACTED]' end as shown, 7 as n from events where event_id % 20 in (17, 18)")
@@ -355,10 +360,8 @@ def readable_sizes(spark, sf_dir):
 
 @_q("select p.page_id as id, row_number() over (order by page_id % 7 desc, page_id desc) as place from pages p")
 def listed_urls(spark, sf_dir):
-    from pyspark.sql.window import Window as W
-
-    d = urls.list_urls(_url_table(spark, sf_dir).withColumn("created_at", F.col("id") % 7))
-    return d.select("id", F.row_number().over(W.orderBy(F.desc("created_at"), F.desc("id"))).alias("place"))
+    d = _url_table(spark, sf_dir).withColumn("created_at", F.col("id") % 7)
+    return numbered(d, ("created_at", "id"), descending=True).select("id", "place")
 
 
 @_q("select event_id from events where event_type = 'click' and event_id % 60 not in (select page_id from pages)")

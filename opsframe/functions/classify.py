@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opsframe.functions.match import term_keys
+
 # Categories in the order in which they are tried, and their patterns.
 RULES = (
     ("oom_killed", r"(?i)\bOOMKilled\b"),
@@ -96,8 +98,7 @@ def stack_fingerprint(category: Column, exception: Column, message: Column, sign
 def infer_components(text: Column) -> Column:
     """Components that a free text hints at, in table order; the default ones if none."""
     low = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    hits = [F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(name)) for name, words in COMPONENT_HINTS.items()]
-    found = F.array_compact(F.array(*hits))
+    found = term_keys(low, COMPONENT_HINTS)
     return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, DEFAULT_COMPONENTS)))
 
 
@@ -129,7 +130,8 @@ def event_type_name(code: Column) -> Column:
 def fmt_bytes(n: Column) -> Column:
     out = None
     for i, unit in enumerate(("B", "KiB", "MiB", "GiB", "TiB")):
-        text = F.format_string("%d B", n) if i == 0 else F.format_string(f"%.2f {unit}", n / float(1024**i))
+        # exact halves go to the even digit, which the format alone would round up
+        text = F.format_string("%d B", n) if i == 0 else F.format_string(f"%.2f {unit}", F.bround(n / float(1024**i), 2))
         out = F.when(n < 1024 ** (i + 1), text) if out is None else out.when(n < 1024 ** (i + 1), text) if i < 4 else out.otherwise(text)
     return out
 

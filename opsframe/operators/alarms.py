@@ -39,7 +39,7 @@ def read_alarm_history(history: DataFrame, alarm: str | None = None, within: Tim
     if history_type:
         history = history.where(F.col("type") == history_type)
     out = history.withColumn("new_state", F.when(F.col("type") == "StateUpdate", F.get_json_object("history_data", "$.newState.stateValue")))
-    out = out.orderBy(F.desc("ts"))
+    out = out.orderBy(F.desc("ts"), "alarm_name", "type", "history_data")  # equal times by content, so that a limit gives the same rows again
     return out.limit(limit) if limit else out
 
 

@@ -10,6 +10,9 @@ from opsframe.functions.classify import EXCEPTION_LIKE, UNCLASSIFIED, classify_l
 from opsframe.functions.redact import cap_text, redact_secrets, withhold_if_secret
 from opsframe.functions.timestamps import parse_log_timestamp
 
+#: Parts into which a category's messages are dealt before they meet.
+SPREAD = 16
+
 
 def classified_lines(lines: DataFrame) -> DataFrame:
     """Non-blank lines, stripped, with ``category``."""
@@ -32,15 +35,22 @@ def distinct_messages(lines: DataFrame, entity: tuple[str, ...], max_chars: int
 def classify_logs(lines: DataFrame, entity: tuple[str, ...] = ("pod",), max_samples: int = 8) -> DataFrame:
     """Per entity and category: severity, occurrences, distinct messages and the first samples in order of first sight.
 
-    Two steps: messages first, then categories, so that a hot entity's raw lines
-    are never gathered.
+    One reading in three groupings: messages, then parts of a category with their
+    first samples each, then categories; so neither raw lines nor messages of a
+    hot entity are gathered.
     """
-    messages = distinct_messages(lines, entity)
-    w = W.partitionBy(*entity, "category").orderBy("first_line")
-    top = messages.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_samples)
-    samples = top.groupBy(*entity, "category").agg(F.array_sort(F.collect_list(F.struct("first_line", "sample", "time"))).alias("samples"))
-    totals = messages.groupBy(*entity, "category").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("distinct_messages"), F.min("first_line").alias("first_line"))
-    return totals.join(samples, [*entity, "category"]).withColumns({"severity": severity_of(F.col("category")), "severity_rank": severity_rank(F.col("category"))})
+    by = [*entity, "category"]
+    part = F.pmod(F.xxhash64("message_key"), F.lit(SPREAD)).alias("_part")
+    messages = distinct_messages(lines, entity).select("*", part)
+    w = W.partitionBy(*by, "_part").orderBy("first_line")
+    ranked = messages.withColumn("_r", F.row_number().over(w))
+    sample = F.when(F.col("_r") <= max_samples, F.struct("first_line", "sample", "time"))
+    parts = ranked.groupBy(*by, "_part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), F.min("first_line").alias("first_line"), F.collect_list(sample).alias("some"))
+    out = parts.groupBy(*by).agg(
+        F.sum("n").alias("occurrences"), F.sum("m").alias("distinct_messages"), F.min("first_line").alias("first_line"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, max_samples).alias("samples"),
+    )
+    return out.withColumns({"severity": severity_of(F.col("category")), "severity_rank": severity_rank(F.col("category"))})
 
 
 def lines_scanned(lines: DataFrame, entity: tuple[str, ...] = ("pod",)) -> DataFrame:
@@ -91,11 +101,12 @@ def tail_per_pod(lines: DataFrame, n: int, keys: tuple[str, ...] = ("pod", "log_
     return lines.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def log_coverage(lines: DataFrame, tail: int, keys: tuple[str, ...] = ("pod",)) -> tuple[DataFrame, DataFrame]:
-    """Per pod: lines returned and whether the asked tail was reached; and the same over all pods."""
-    each = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines_returned")).withColumn("tail_cap_hit", F.col("lines_returned") >= tail)
+def log_coverage(lines: DataFrame, tail: int | None, keys: tuple[str, ...] = ("pod",)) -> tuple[DataFrame, DataFrame]:
+    """Per pod: lines returned and whether the asked tail was reached (never without one); and the same over all pods."""
+    reached = lambda n: F.col(n) >= tail if tail is not None else F.lit(False)
+    each = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines_returned")).withColumn("tail_cap_hit", reached("lines_returned"))
     total = each.agg(F.coalesce(F.sum("lines_returned"), F.lit(0)).alias("lines_returned"), F.count(F.lit(1)).alias("pods_sampled"), F.coalesce(F.bool_or("tail_cap_hit"), F.lit(False)).alias("any_pod_cap_hit"))
-    return each, total.withColumn("total_cap_hit", F.col("lines_returned") >= tail)
+    return each, total.withColumn("total_cap_hit", reached("lines_returned"))
 
 
 def classify_warning_events(events: DataFrame, limit: int | None = 30) -> DataFrame:

@@ -10,9 +10,9 @@ from opsframe.functions.classify import event_type_name
 
 
 def top_processes(processes: DataFrame, by: str = "memory_percent", limit: int = 10) -> DataFrame:
-    """Per host the processes with the largest share; null counts as 0, and there are at most 100."""
+    """Per host the ``limit`` processes with the largest share; null counts as 0."""
     w = W.partitionBy("host").orderBy(F.desc(F.coalesce(F.col(by), F.lit(0.0))), "pid")
-    return processes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, min(limit, 100)))
+    return processes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, limit))
 
 
 def find_process(processes: DataFrame, text: str) -> DataFrame:

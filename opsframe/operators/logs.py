@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from opsframe.functions.match import Match, extract_status_code, name_allowlist, term_filter
+from opsframe.functions.match import Match, extract_status_code, name_allowlist, term_filter, term_keys
 from opsframe.functions.ranges import TimeRange, bin_start
 from opsframe.functions.redact import sanitize_text
+from opsframe.operators.ordered import RANGE_ROWS, running_sums
 
 # Name hints of log group categories.
 CATEGORIES = {
@@ -23,15 +25,19 @@ CATEGORIES = {
 }
 
 
-def read_log_events(events: DataFrame, groups: list[str] | None = None, within: TimeRange | None = None, stream_prefix: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Events of the groups (each asked once) in the range; only the range, groups and prefix reach the scan."""
+def read_log_events(events: DataFrame, groups: list[str] | None = None, within: TimeRange | None = None, stream_prefix: str | None = None, pattern: str | None = None, redactor: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Events of the groups (each asked once) in the range; only the range, groups and prefix reach the scan.
+
+    ``redactor`` is applied to whole messages, after the pattern has seen them.
+    """
     if groups:
         events = events.where(F.col("log_group").isin(*dict.fromkeys(groups)))
     if within:
         events = events.where(within.holds(F.col("ts")))
     if stream_prefix:
         events = events.where(F.col("log_stream").startswith(stream_prefix))
-    return events.where(term_filter(F.col("message"), pattern)) if pattern else events
+    events = events.where(term_filter(F.col("message"), pattern)) if pattern else events
+    return events.withColumn("message", redactor(F.col("message"))) if redactor else events
 
 
 def read_log_groups(catalog: DataFrame, prefix: str | None = None, globs: tuple[str, ...] = ()) -> DataFrame:
@@ -50,16 +56,14 @@ def discover_log_groups(catalog: DataFrame, keyword: str | None = None, category
         terms += CATEGORIES[key]
     found = read_log_groups(catalog, prefix, globs)
     if terms:
-        found = found.where(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower("name"), t)))
+        found = found.where(F.lower("name").rlike("|".join(map(re.escape, terms))))
     found = found.orderBy("name")
     return found.limit(limit) if limit else found
 
 
 def group_categories(catalog: DataFrame) -> DataFrame:
     """All categories of all groups: ``name, category``, a row for each that applies."""
-    hit = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower("name"), t))
-    tags = F.array_compact(F.array(*[F.when(hit(terms), F.lit(c)) for c, terms in CATEGORIES.items()]))
-    return catalog.select("name", F.explode(tags).alias("category"))
+    return catalog.select("name", F.explode(term_keys(F.lower("name"), CATEGORIES)).alias("category"))
 
 
 def never_expire_report(catalog: DataFrame) -> DataFrame:
@@ -127,10 +131,9 @@ def fair_limit(events: DataFrame, limit: int, n_groups: int) -> DataFrame:
     return events.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max(1, limit // max(n_groups, 1))).drop("_rank")
 
 
-def size_budget(rows: DataFrame, size: Column, budget: int, order: list[Column]) -> DataFrame:
-    """Rows up to the first whose running size exceeds the budget.  One ordered window: for limited rows only."""
-    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("_size", F.sum(size).over(w)).where(F.col("_size") <= budget).drop("_size")
+def size_budget(rows: DataFrame, size: Column, budget: int, order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows up to the first whose running size exceeds the budget; sizes run in ranges of the order."""
+    return running_sums(rows, order, size, "_upto", range_rows=range_rows).where(F.col("_upto") <= budget).drop("_upto")
 
 
 def search_coverage(found: DataFrame, returned: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from opsframe.functions.ranges import TimeRange, bin_start
 
 SERIES = ("namespace", "metric_name", "dimensions")
+LEVELS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
 def dimension_subset(dimensions: Column, wanted: dict[str, str]) -> Column:
@@ -43,42 +44,80 @@ def read_metric_points(points: DataFrame, wanted: DataFrame, within: TimeRange |
     return key(points).join(w, ["namespace", "metric_name", "_dims"]).drop("_dims")
 
 
-def statistic(stat: str, value: str = "value") -> Column:
-    """Average, Sum, Minimum, Maximum, SampleCount or pNN.N as an aggregate.  IQM is ``interquartile_mean``."""
+def statistic(stat: str, value: str = "value", exact: bool = False, k: int | None = None) -> Column:
+    """Average, Sum, Minimum, Maximum, SampleCount or pNN.N as an aggregate, percentiles from a sketch unless ``exact``.  IQM is ``interquartile_mean``."""
     plain = {"Average": F.avg, "Sum": F.sum, "Minimum": F.min, "Maximum": F.max, "SampleCount": F.count}
     if stat in plain:
         return plain[stat](value)
     if stat.startswith("p") and 0 <= float(stat[1:]) <= 100:
-        return F.percentile(value, F.lit(float(stat[1:]) / 100))
+        level = F.lit(float(stat[1:]) / 100)
+        return F.percentile(value, level) if exact else F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k or SKETCH)), level)
     raise ValueError(f"unknown statistic {stat!r}")
 
 
-def metric_statistic(points: DataFrame, stat: str, period: int, keys: tuple[str, ...] = ("metric_name",)) -> DataFrame:
-    """One value for each series and period: ``*keys, period_start, value``."""
+def metric_statistic(points: DataFrame, stat: str, period: int, keys: tuple[str, ...] = ("metric_name",), exact: bool = False) -> DataFrame:
+    """One value for each series and period: ``*keys, period_start, value``; quartiles and percentiles from sketches unless ``exact``."""
     binned = points.withColumn("period_start", bin_start(F.col("ts"), period))
     if stat != "IQM":
-        return binned.groupBy(*keys, "period_start").agg(statistic(stat).cast("double").alias("value"))
+        return binned.groupBy(*keys, "period_start").agg(statistic(stat, exact=exact).cast("double").alias("value"))
     # mean of the values between the quartiles, both included
-    q = binned.groupBy(*keys, "period_start").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    levels = F.array(F.lit(0.25), F.lit(0.75))
+    quartiles = F.percentile("value", levels) if exact else F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(F.col("value").cast("double"), F.lit(SKETCH)), levels)
+    q = binned.groupBy(*keys, "period_start").agg(quartiles.alias("q"))
     inside = binned.join(q, [*keys, "period_start"]).where(F.col("value").between(F.col("q")[0], F.col("q")[1]))
     return inside.groupBy(*keys, "period_start").agg(F.avg("value").alias("value"))
 
 
-def metric_summary(points: DataFrame, keys: tuple[str, ...] = ("metric_name",), approx: bool = False) -> DataFrame:
-    """Count, extremes, mean, percentiles (linear interpolation), latest value, first time of the maximum, first and last time.
+#: Items of a quantile sketch; its rank error is about ``2.3 / k ** 0.9``: 0.5 % at 1,000, 0.25 % at 2,000.
+SKETCH = 2_000
 
-    ``approx`` takes percentile sketches of constant size; exact percentiles keep
-    a count for each different value of a series.
+
+def metric_summary(points: DataFrame, keys: tuple[str, ...] = ("metric_name",), exact: bool = False, k: int = SKETCH) -> DataFrame:
+    """Count, extremes, mean, percentiles, latest value, first time of the maximum, first and last time.
+
+    Percentiles come from a sketch of bounded size for each series: values whose
+    rank is near the level.  ``exact`` interpolates between the two values around
+    the level; it keeps a count for each different value of a series in memory.
     """
-    levels = F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)])
-    p = F.percentile_approx("value", levels, 10_000) if approx else F.percentile("value", levels)
+    levels = F.array(*[F.lit(x) for x in LEVELS.values()])
+    p = F.percentile("value", levels) if exact else F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(F.col("value").cast("double"), F.lit(k)), levels)
     out = points.where(F.col("value").isNotNull()).groupBy(*keys).agg(
         F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"), p.alias("p"),
         F.max_by("value", F.struct("ts", "value")).alias("latest"), F.max_by("ts", F.struct("value", -F.unix_micros(F.col("ts").cast("timestamp")))).alias("max_at"),
         F.min("ts").alias("first_at"), F.max("ts").alias("last_at"),
     )
-    names = ("p50", "p90", "p95", "p99")
-    return out.select(*keys, "n", "min", "max", "avg", *[F.col("p")[i].alias(x) for i, x in enumerate(names)], "latest", "max_at", "first_at", "last_at")
+    return out.select(*keys, "n", "min", "max", "avg", *[F.col("p")[i].alias(x) for i, x in enumerate(LEVELS)], "latest", "max_at", "first_at", "last_at")
+
+
+def sketch_bins(points: DataFrame, period: int, keys: tuple[str, ...] = ("metric_name",), k: int = SKETCH) -> DataFrame:
+    """Mergeable summaries of each series and period: ``*keys, period_start, n, min, max, total, sketch``.
+
+    Written once, they answer for any range of periods without the points; a
+    summary's size is bounded, however many points it stands for.
+    """
+    value = F.col("value").cast("double")
+    d = points.where(F.col("value").isNotNull()).groupBy(*keys, bin_start(F.col("ts"), period).alias("period_start"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("total"), F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"))
+
+
+def merge_bins(bins: DataFrame, keys: tuple[str, ...] = ("metric_name",), first: int | None = None, last: int | None = None, levels: dict[str, float] | None = None, period: int | None = None) -> DataFrame:
+    """Count, extremes, mean and percentiles of each series over the periods that start from ``first`` to ``last``, from ``sketch_bins``.
+
+    ``period`` gives a row for each longer period instead of one for the range.
+    The rank error stays that of one sketch, however many are merged.
+    """
+    levels = levels or LEVELS
+    if first is not None:
+        bins = bins.where(F.col("period_start") >= first)
+    if last is not None:
+        bins = bins.where(F.col("period_start") <= last)
+    by = list(keys)
+    if period:
+        bins = bins.withColumn("period_start", F.floor(F.col("period_start") / period) * period)
+        by.append("period_start")
+    out = bins.groupBy(*by).agg(F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"), (F.sum("total") / F.sum("n")).alias("avg"), F.kll_merge_agg_double("sketch").alias("_sketch"))
+    p = F.kll_sketch_get_quantile_double("_sketch", F.array(*map(F.lit, levels.values())))
+    return out.withColumn("_p", p).select(*by, "n", "min", "max", "avg", *[F.col("_p")[i].alias(x) for i, x in enumerate(levels)])
 
 
 def empty_series_report(wanted: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("metric_name",)) -> DataFrame:

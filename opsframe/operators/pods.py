@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from opsframe.functions.classify import pod_state
+from opsframe.functions.timestamps import parse_log_timestamp
+from opsframe.sources.lines import numbered_lines
 
 # Component, exact container names, patterns, namespace, roles, whether it is often absent.
 COMPONENTS = (
@@ -127,9 +132,31 @@ def first_pods(matches: DataFrame, n: int | None = None) -> DataFrame:
     return matches.withColumn("_r", F.row_number().over(W.partitionBy("leaf").orderBy("namespace", "pod"))).where(F.col("_r") <= n).drop("_r")
 
 
-def read_pod_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of files ``<namespace>/<pod>/<current|previous>.log`` with their numbers."""
-    d = spark.read.text(path, wholetext=True).select("value", F.split(F.col("_metadata.file_path"), "/").alias("_p"))
-    d = d.select(F.element_at("_p", -3).alias("namespace"), F.element_at("_p", -2).alias("pod"), F.regexp_replace(F.element_at("_p", -1), r"\.log$", "").alias("log_source"), "value")
-    text = F.regexp_replace("value", r"\r?\n\z", "")
-    return d.select("namespace", "pod", "log_source", F.posexplode(F.split(text, r"\r\n|[\n\r]")).alias("line_no", "line"))
+#: Namespace, pod and log source in a log file's path.
+LAYOUT = r"([^/]+)/([^/]+)/([^/]+)\.log$"
+
+
+def read_pod_logs(
+    spark: SparkSession, path: str, since: datetime | None = None, tail: int | None = None, log_source: str | None = None, redactor: Callable[[Column], Column] | None = None, layout: str = LAYOUT
+) -> DataFrame:
+    """``namespace, pod, log_source, line_no, line`` of log files ``<namespace>/<pod>/<current|previous>.log``, of any size.
+
+    ``since`` keeps a file from its first line whose own time is at or after it:
+    lines without a time, as of stack traces, belong to the lines before them.
+    A time without an offset is taken as UTC; a file without such a line gives
+    none.  ``tail`` then keeps the last lines of each file.  Both know a file's
+    line count, so no window sorts its lines.  ``redactor`` is applied to whole
+    lines, before anything can cut them.
+    """
+    d = numbered_lines(spark, path)
+    d = d.select("*", *[F.regexp_extract("path", layout, i + 1).alias(c) for i, c in enumerate(("namespace", "pod", "log_source"))])
+    if log_source:
+        d = d.where(F.col("log_source") == log_source)
+    if since is not None:
+        p = parse_log_timestamp(F.col("line"))
+        at = F.coalesce(p["ts_utc"].cast("timestamp"), p["ts_local"].cast("timestamp"))
+        first = d.where(at >= F.lit(since).cast("timestamp")).groupBy("path").agg(F.min("line_no").alias("_first"))
+        d = d.join(first, "path").where(F.col("line_no") >= F.col("_first"))
+    if tail is not None:
+        d = d.where(F.col("line_no") >= F.col("n_lines") - tail)
+    return d.select("namespace", "pod", "log_source", "line_no", (redactor(F.col("line")) if redactor else F.col("line")).alias("line"))

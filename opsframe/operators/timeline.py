@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from opsframe.functions.timestamps import parse_log_timestamp
+from opsframe.operators.ordered import RANGE_ROWS, numbered, with_range
 
 TIERS = ("absolute_tz_known", "absolute_tz_unknown", "time_only")
 SETS = {"components": "component", "pods": "pod", "releases": "release", "categories": "category", "severities": "severity", "sources": "source"}
 EVENT_TIMES = (("event_time", "eventTime"), ("first_timestamp", "event_firstTimestamp"), ("last_timestamp", "event_lastTimestamp"))
-BUCKET_SECONDS = 3600
+ORDER = ("tier", "ts_utc", "ts_local", "time_of_day", "seq")
 
 
 def event_rows(events: DataFrame) -> DataFrame:
@@ -32,66 +33,96 @@ def timeline_union(log_rows: DataFrame, events: DataFrame) -> DataFrame:
 
 def order_timeline(timeline: DataFrame, max_entries: int | None = None) -> DataFrame:
     """By tier, then time inside the tier, then ``seq``, the order of encounter."""
-    out = timeline.orderBy("tier", "ts_utc", "ts_local", "time_of_day", "seq")
+    out = timeline.orderBy(*ORDER)
     return out.limit(max_entries) if max_entries else out
 
 
+def number_timeline(timeline: DataFrame, name: str = "place", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows with their places in that order, numbered in ranges of it."""
+    return numbered(timeline, ORDER, name, range_rows=range_rows)
+
+
 def _seconds(timeline: DataFrame) -> DataFrame:
     micro = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     at = F.when(F.col("tier") == 0, micro("ts_utc")).when(F.col("tier") == 1, micro("ts_local")).when(F.col("tier") == 2, F.round(F.col("time_of_day") * 1_000_000).cast("long"))
     return timeline.withColumn("_at", at)
 
 
-def correlate_timeline(timeline: DataFrame, window_seconds: int = 60, partition_cols: tuple[str, ...] = (), bucket_seconds: int = BUCKET_SECONDS) -> tuple[DataFrame, DataFrame]:
+def correlate_timeline(timeline: DataFrame, window_seconds: int = 60, partition_cols: tuple[str, ...] = (), range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Rows with ``island``, the 0-based number of their chain in the tier, and the rows without a time.
 
     A row joins the chain of the row before it in its tier if it is at most
     ``window_seconds`` later; days do not wrap.  Chains are found in two levels:
-    breaks inside buckets of time, then, over one row for each bucket, the breaks
-    between buckets; so no window ever holds all rows of a tier.
+    breaks inside ranges of the order, then, over one row for each range, the
+    breaks between ranges.  Ranges are cut at sampled quantiles, so a busy hour,
+    or a busy moment, is several of them and no window holds all rows of a tier.
     """
     if not 1 <= window_seconds <= 3600:
         raise ValueError("the window is 1 to 3600 seconds")
     gap = window_seconds * 1_000_000
     t = _seconds(timeline)
-    placed = t.where("tier < 3").withColumn("_bucket", F.floor(F.col("_at") / (bucket_seconds * 1_000_000)))
     keys = [*partition_cols, "tier"]
-    inside = W.partitionBy(*keys, "_bucket").orderBy("_at", "seq")
+    placed = with_range(t.where("tier < 3"), (*keys, "_at", "seq"), range_rows)
+    inside = W.partitionBy(*keys, "_range").orderBy("_at", "seq")
     far = (F.col("_at") - F.lag("_at").over(inside)) > gap
     placed = placed.withColumn("_break", F.coalesce(far, F.lit(False)).cast("long"))
     placed = placed.withColumn("_local", F.sum("_break").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    buckets = placed.groupBy(*keys, "_bucket").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.sum("_break").alias("n"))
-    across = W.partitionBy(*keys).orderBy("_bucket")
+    ranges = placed.groupBy(*keys, "_range").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.sum("_break").alias("n"))
+    across = W.partitionBy(*keys).orderBy("_range")
     edge = F.coalesce((F.col("lo") - F.lag("hi").over(across)) > gap, F.lit(False)).cast("long")
     upto = across.rowsBetween(W.unboundedPreceding, W.currentRow)
-    buckets = buckets.withColumn("_edge", edge).withColumn("_offset", F.sum(F.col("_edge") + F.col("n")).over(upto) - F.col("n")).select(*keys, "_bucket", "_offset")
-    same = [placed[k].eqNullSafe(buckets[k]) for k in (*keys, "_bucket")]
-    rows = placed.join(buckets, same).drop(*[buckets[k] for k in (*keys, "_bucket")])
-    rows = rows.withColumn("island", F.col("_offset") + F.col("_local")).drop("_bucket", "_break", "_local", "_offset")
+    offset = F.sum(F.col("_edge") + F.col("n")).over(upto) - F.col("n")
+    ranges = ranges.withColumn("_edge", edge).withColumn("_offset", offset).select(*[F.col(k).alias(f"_{k}_of") for k in (*keys, "_range")], "_offset")
+    rows = placed.join(ranges, [F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in (*keys, "_range")])
+    rows = rows.withColumn("island", F.col("_offset") + F.col("_local")).select(*t.columns, "island")
     return rows, t.where("tier = 3").drop("_at")
 
 
-def roll_up_groups(rows: DataFrame, partition_cols: tuple[str, ...] = (), max_observations: int = 20) -> DataFrame:
+def _value_sets(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """For each chain and each of ``SETS``: its first ``most`` values by name, and how many there are.
+
+    Values are made distinct before they are counted and before the first are
+    taken, so a chain with any number of pods needs ``most`` of them in memory.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("set"), F.col(c).alias("value")) for name, c in SETS.items()])).alias("pair")
+    distinct = rows.select(*keys, pairs).select(*keys, "pair.*").where("value is not null").distinct()
+    first = distinct.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "set").orderBy("value"))).where(F.col("_r") <= most)
+    values = first.groupBy(*keys, "set").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    counts = distinct.groupBy(*keys, "set").agg(F.count(F.lit(1)).alias("n")).select(*[F.col(k).alias(f"_{k}_of") for k in keys], F.col("set").alias("_set_of"), "n")
+    both = values.join(counts, [F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in keys] + [F.col("set") == F.col("_set_of")])
+    none = F.array().cast("array<string>")
+    own = lambda name, c: F.max(F.when(F.col("set") == name, F.col(c)))
+    return both.groupBy(*[F.col(k).alias(f"_{k}_in") for k in keys]).agg(
+        *[F.coalesce(own(name, "values"), none).alias(name) for name in SETS], *[F.coalesce(own(name, "n"), F.lit(0)).alias(f"n_{name}") for name in SETS]
+    )
+
+
+def roll_up_groups(rows: DataFrame, partition_cols: tuple[str, ...] = (), max_observations: int = 20, max_values: int = 1000, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row for each chain: ends, duration, true count, sets, first observations and a deterministic id.
 
+    Each of the six sets comes as its first ``max_values`` values by name and as
+    ``n_<set>``, the true number of its values; a set without a value is empty.
     The id hashes tier, number, ends, count and an order-free sum over all rows,
     so equal input gives equal ids.  The first observations are picked inside
-    buckets of time before they are ranked over a chain, so no task holds a chain.
+    ranges of the order before they are ranked over a chain, so no task holds a
+    chain.
     """
     keys = [*partition_cols, "tier", "island"]
     text = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("None")) for c in ("component", "pod", "category", "timestamp", "summary")])
     d = rows.withColumn("_h", F.xxhash64(text).cast("decimal(38,0)"))
     order = ("_at", "seq")
-    bucket = F.floor(F.col("_at") / (BUCKET_SECONDS * 1_000_000))
-    some = d.withColumn("_bucket", bucket).withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))).where(F.col("_n") <= max_observations)
+    some = with_range(d, (*keys, *order), range_rows)
+    some = some.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))).where(F.col("_n") <= max_observations)
     some = some.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= max_observations)
     observation = F.struct("_n", "timestamp", "component", "pod", "category", "severity", "source", "summary")
     shown = some.groupBy(*[F.col(k).alias(f"_{k}_of") for k in keys]).agg(F.array_sort(F.collect_list(observation)).alias("observations"))
     out = d.groupBy(*keys).agg(
         F.min_by("timestamp", F.struct("_at", "seq")).alias("start_timestamp"), F.max_by("timestamp", F.struct("_at", "seq")).alias("end_timestamp"),
         ((F.max("_at") - F.min("_at")) / 1e6).alias("duration_seconds"), F.count(F.lit(1)).alias("evidence_count"), F.sum("_h").alias("_sum"),
-        *[F.array_sort(F.collect_set(c)).alias(name) for name, c in SETS.items()],
     )
+    out = out.join(_value_sets(d, keys, max_values), [F.col(k).eqNullSafe(F.col(f"_{k}_in")) for k in keys], "left").drop(*[f"_{k}_in" for k in keys])
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    out = out.withColumns({name: F.coalesce(name, none) for name in SETS} | {f"n_{name}": F.coalesce(f"n_{name}", zero) for name in SETS})
     out = out.join(shown, [F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in keys], "left").drop(*[f"_{k}_of" for k in keys])
     tier = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)
     seed = F.concat_ws("|", tier, F.col("start_timestamp"), F.col("end_timestamp"), F.col("evidence_count"), F.col("_sum").cast("string"))

@@ -17,9 +17,10 @@ def _component_lines(lines: DataFrame, matches: DataFrame, max_pods: int | None
     return pair_previous_logs(attach_pod_context(lines, first_pods(matches, max_pods)))
 
 
-def component_logs(lines: DataFrame, matches: DataFrame, tail: int = 1000, max_pods: int | None = None, max_chars: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Redacted, then cut, lines of the components' pods with context, and their coverage."""
-    own = tail_per_pod(_component_lines(lines, matches, max_pods), tail, ("namespace", "pod", "log_source"))
+def component_logs(lines: DataFrame, matches: DataFrame, tail: int | None = 1000, max_pods: int | None = None, max_chars: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Redacted, then cut, lines of the components' pods with context, and their coverage.  ``tail`` None: all lines."""
+    own = _component_lines(lines, matches, max_pods)
+    own = tail_per_pod(own, tail, ("namespace", "pod", "log_source")) if tail is not None else own
     return own.withColumn("line", cap_text(redact_secrets(F.col("line")), max_chars, "")), log_coverage(own, tail, ("namespace", "pod"))[0]
 
 
@@ -35,7 +36,9 @@ def diagnose(components: DataFrame, matches: DataFrame, lines: DataFrame, events
     """Three tables: components (health, findings, confidence), classified warning events, guidance by category.
 
     Confidence is given for each component by itself.  Events do not add
-    components to the categories that several components share.
+    components to the categories that several components share.  All warning
+    events are classified and all their categories have guidance; a report may
+    limit the second table.
     """
     if wanted:
         components = components.where(F.col("component").isin(*wanted) | F.exists(F.array(*map(F.lit, wanted)), lambda w: F.array_contains("roles", w)))
@@ -45,7 +48,7 @@ def diagnose(components: DataFrame, matches: DataFrame, lines: DataFrame, events
     health = component_health(components, matches).join(found, "leaf", "left").join(scanned, "leaf", "left").fillna(0, ["n_categories", "lines_scanned"])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     health = health.withColumns({"confidence": confidence(zero("total"), zero("running"), F.col("n_categories")), "none_running": (zero("total") > 0) & (zero("running") == 0)})
-    warned = classify_warning_events(events)
+    warned = classify_warning_events(events, None)
     shared = co_occurring_categories(errors, "leaf")
     seen = errors.select("category").unionByName(warned.select("category")).where("category <> 'unclassified'").distinct()
     guidance = attach_knowledge(seen, knowledge).join(shared, "category", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.functions import classify, redact, timestamps
-from opsframe.functions.match import PRESETS, Match, extract_status_code, term_filter
+from opsframe.functions.match import Match, extract_status_code, term_filter
 from opsframe.functions.ranges import bin_start
 from opsframe.operators import alarms, findings, logs, metrics, series, timeline, urls
 
@@ -38,7 +38,7 @@ def _q(sql: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"with {LOGS_SQL}\n{sql}" if re.search(r"\b(from|join) logs\b", sql) else sql
+            ORACLE_SQL[f.__name__] = f"with {LOGS_SQL}\n{sql}" if re.search(r"\b(from|join) logs\b", sql) and LOGS_SQL not in sql else sql
         return f
 
     return add
@@ -75,7 +75,7 @@ def point_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit("shop").alias("namespace"), F.col("event_type").alias("metric_name"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("dimensions"), "ts", "value", "event_id")
 
 
-_HIT = f"regexp_matches(message, {_text(PRESETS['errors'])})"
+_HIT = "regexp_matches(message, '(?i)(error|exception|fatal|severe)')"
 _BIN = "cast(epoch_us(ts) // 3600000000 * 3600 as bigint)"
 
 
@@ -148,7 +148,7 @@ def fair_limit(spark, sf_dir):
   (select * from logs qualify row_number() over (partition by log_group order by ts, event_id) <= 40)) where s <= 9000""")
 def size_budget(spark, sf_dir):
     few = logs.fair_limit(log_table(spark, sf_dir), 200, 5)
-    return logs.size_budget(few, F.length("message") + 80, 9000, [F.col("ts"), F.col("event_id")]).select("event_id", "log_group")
+    return logs.size_budget(few, F.length("message") + 80, 9000, ["ts", "event_id"]).select("event_id", "log_group")
 
 
 @_q("select log_group, least(count(*), 40) as returned, count(*) > 40 as more_available from logs group by 1")
@@ -185,38 +185,36 @@ def status_codes(spark, sf_dir):
     return d.where("status_code is not null")
 
 
-def _category_sql(line: str) -> str:
-    rules = " ".join(f"when regexp_matches({line}, {_text(p)}) then '{c}'" for c, p in classify.RULES)
-    return f"case when {line} = '' then null {rules} else 'unclassified' end"
+# What category, severity and normalised text each template's line should get, as the SQL states it.
+KINDS_SQL = """kinds as (select * from (values
+  (0, 'oom_killed', 'high', '<TS> container web OOMKilled by kernel'), (1, 'crash_loop', 'high', '<TS> back-off CrashLoopBackOff restarting'), (2, 'readiness_liveness_failure', 'high', '<TS> Readiness probe failed: HTTP 503'),
+  (3, 'scheduling_failure', 'high', '<TS> 0/3 nodes: Insufficient cpu FailedScheduling'), (4, 'redis_error', 'high', '<TS> redis connection timeout after <NUM> ms'), (5, 'search_error', 'high', '<TS> SolrServerException: search failed for core <NUM>'),
+  (6, 'database_error', 'high', '<TS> java.sql.SQLException: ORA-<NUM>'), (7, 'authentication_failure', 'medium', '<TS> login failed for user 77 status=401'), (8, 'connection_failure', 'high', '<TS> Connection refused by db:<NUM>'),
+  (9, 'timeout', 'medium', '<TS> request timed out after <NUM> ms'), (10, 'upstream_downstream_failure', 'medium', '<TS> upstream service unavailable'), (11, 'http_5xx', 'medium', '<TS> GET /cart " 502 12ms'),
+  (12, 'http_4xx', 'low', '<TS> GET /img " 404 3ms'), (13, 'stack_trace', 'medium', 'at com.shop.Cart.add(Cart.java:42)'), (14, 'jvm_application_error', 'medium', '<TS> java.lang.OutOfMemoryError: heap'),
+  (15, 'exception', 'medium', '<TS> com.shop.CartException: empty cart'), (16, 'generic_error', 'low', '<TS> ERROR something odd happened'), (17, 'unclassified', 'medium', '<TS> INFO all good'),
+  (18, 'unclassified', 'medium', '<TS> INFO order <NUM> placed password=hunter2'), (19, null, 'medium', '')) as t(id, category, severity, normal))"""
+_LINES = f"{KINDS_SQL}, lines as (select log_group as component, log_stream as pod, event_id, regexp_replace(message, '^\\s+|\\s+$', '', 'g') as line, normal, category, severity from logs join kinds on id = event_id % 20)"
 
 
-def _severity_sql(c: str) -> str:
-    return f"case when {c} in {classify.HIGH} then 'high' when {c} in {classify.LOW} then 'low' else 'medium' end"
-
-
-_STRIPPED = "regexp_replace(message, '^\\s+|\\s+$', '', 'g')"
-_NORMAL = _STRIPPED
-for _p, _m in classify.VARIABLE:
-    _NORMAL = f"regexp_replace({_NORMAL}, {_text(_p)}, '{_m}', 'g')"
-_LINES = f"lines as (select log_group as component, log_stream as pod, event_id, {_STRIPPED} as line, {_NORMAL} as normal, {_category_sql(_STRIPPED)} as category from logs)"
-
-
-@_q(f"select * from (with l2 as (select 1), {_LINES} select category, {_severity_sql('category')} as severity, count(*) as n from lines where category is not null group by 1, 2)")
+@_q(f"select * from (with l2 as (select 1), {_LINES} select category, severity, count(*) as n from lines where category is not null group by 1, 2)")
 def line_categories(spark, sf_dir):
     d = findings.classified_lines(line_table(spark, sf_dir))
     return d.groupBy("category", classify.severity_of(F.col("category")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_q(f"select * from (with l2 as (select 1), {_LINES} select component, category, count(*) as occurrences, count(distinct normal) as distinct_messages, min(event_id) as first_line, {_severity_sql('category')} as severity from lines where category <> 'unclassified' group by 1, 2)")
+@_q(f"select * from (with l2 as (select 1), {_LINES} select component, category, count(*) as occurrences, count(distinct normal) as distinct_messages, min(event_id) as first_line, min(severity) as severity from lines where category <> 'unclassified' group by 1, 2)")
 def classify_logs(spark, sf_dir):
     d = findings.classify_logs(line_table(spark, sf_dir), ("component",))
     return d.select("component", "category", "occurrences", "distinct_messages", "first_line", "severity")
 
 
-@_q(f"select * from (with l2 as (select 1), {_LINES} select component, category, count(*) as occurrence_count, case when category = 'stack_trace' then count(*) else 0 end as frame_count from lines where category <> 'unclassified' group by 1, 2)")
+@_q(f"""select * from (with l2 as (select 1), {_LINES} select component, category, count(*) as occurrence_count, case when category = 'stack_trace' then count(*) else 0 end as frame_count,
+  substr(sha256(case category when 'stack_trace' then 'stack_trace|at com.shop.Cart.add' else concat_ws('|', category, case category when 'exception' then 'com.shop.CartException' when 'database_error' then 'java.sql.SQLException'
+  when 'search_error' then 'SolrServerException' when 'jvm_application_error' then 'java.lang.OutOfMemoryError' else '' end, min(normal)) end), 1, 16) as stack_fingerprint from lines where category <> 'unclassified' group by 1, 2)""")
 def log_evidence(spark, sf_dir):
     d = findings.log_evidence(findings.classify_logs(line_table(spark, sf_dir), ("component",)), ("component",), None)
-    return d.select("component", "category", "occurrence_count", "frame_count")
+    return d.select("component", "category", "occurrence_count", "frame_count", "stack_fingerprint")
 
 
 @_q(f"select * from (with l2 as (select 1), {_LINES} select component, category, min(cast(regexp_extract(line, '^\\d+-\\d+-\\d+ \\d+:\\d+:\\d+') as timestamp)) as first_seen, regexp_extract(min_by(line, event_id), '([\\w.$]*(?:Exception|Error))\\b', 1) as exception_class from (select * from lines where category in ('exception', 'database_error') qualify row_number() over (partition by component, category order by event_id) <= 1) group by 1, 2)")
@@ -243,20 +241,28 @@ def _chain(column: str, rules) -> str:
     return column
 
 
-@_q(f"select doc_id, md5({_chain('text', [(p, '<redacted>') for p in redact.SECRETS])}) as redacted from documents")
-def redact_secrets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redact.redact_secrets(F.col("text"))).alias("redacted"))
+# The patterns of secrets, as the SQL states them.
+_SECRETS = (
+    r"(?i)\b(password|passwd|pwd)\b\s*[:=]\s*\S+", r"(?i)\b(api[_-]?key|apikey)\b\s*[:=]\s*\S+", r"(?i)\b(secret|token|access[_-]?key|client[_-]?secret)\b\s*[:=]\s*\S+",
+    r"(?i)authorization:\s*bearer\s+\S+", r"AKIA[0-9A-Z]{16}", r"(?i)jdbc:\S*password=\S+",
+)
+_WITHHELD = (
+    *_SECRETS, r"(?i)\b(aws[_-]?secret[_-]?access[_-]?key)\b\s*[:=]\s*\S+", r"(?i)\b(aws[_-]?session[_-]?token)\b\s*[:=]\s*\S+", r"\bhvs\.[A-Za-z0-9]{20,}\b", r"\b[sb]\.[A-Za-z0-9]{24,}\b",
+    r"(?i)authorization:\s*basic\s+\S+", r"(?i)\b(postgres|postgresql|redis|amqp|mongodb|mysql)://[^\s:@/]*:[^\s@]+@\S+", r"-----BEGIN(?:\s+\S+)?\s+PRIVATE KEY-----[\s\S]*?-----END(?:\s+\S+)?\s+PRIVATE KEY-----",
+)
 
 
-_DOLLAR = [(p, r.replace("$1", "\\1").replace("$2", "\\2").replace("$3", "\\3")) for p, r in redact.SANITISE]
+@_q(f"select doc_id, md5({_chain('text', [(p, '<redacted>') for p in _SECRETS])}) as redacted from documents")
+def redact_secrets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redact.redact_secrets(F.col("text"))).alias("redacted"))
 
 
-@_q(f"select event_id, {_chain('message', _DOLLAR)} as message from logs")
+@_q("select event_id, replace(message, 'password=hunter2', 'password=[REDACTED]') as message from logs")
 def sanitize_messages(spark, sf_dir):
     return log_table(spark, sf_dir).select("event_id", redact.sanitize_text(F.col("message")).alias("message"))
 
 
-_SECRET_SQL = " or ".join(f"regexp_matches(text, {_text(p)})" for p in (*redact.SECRETS, *redact.MORE_SECRETS))
+_SECRET_SQL = " or ".join(f"regexp_matches(text, {_text(p)})" for p in _WITHHELD)
 
 
 @_q(f"""select doc_id, ({_SECRET_SQL}) as has_secret, len([t for t in regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{32,}}') if regexp_matches(t, '[a-z]')::int + regexp_matches(t, '[A-Z]')::int
@@ -269,13 +275,13 @@ def withheld_documents(spark, sf_dir):
 @_q("""select event_type as metric_name, count(value) as n, min(value) as min, max(value) as max, round(avg(value), 6) as avg, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90,
   round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, arg_max(value, struct_pack(t := ts, v := value)) as latest, min(ts) as first_at, max(ts) as last_at from events where value is not null group by 1""")
 def metric_summary(spark, sf_dir):
-    d = metrics.metric_summary(point_table(spark, sf_dir)).drop("max_at")
+    d = metrics.metric_summary(point_table(spark, sf_dir), exact=True).drop("max_at")
     return d.select("metric_name", "n", "min", "max", *[F.round(c, 6).alias(c) for c in ("avg", "p50", "p90", "p95", "p99")], "latest", "first_at", "last_at")
 
 
 @_q(f"select event_type as metric_name, {_BIN} as period_start, round(quantile_cont(value, 0.9), 6) as value from events group by 1, 2")
 def metric_p90(spark, sf_dir):
-    d = metrics.metric_statistic(point_table(spark, sf_dir), "p90", HOUR)
+    d = metrics.metric_statistic(point_table(spark, sf_dir), "p90", HOUR, exact=True)
     return d.select("metric_name", "period_start", F.round("value", 6).alias("value"))
 
 
@@ -283,7 +289,7 @@ def metric_p90(spark, sf_dir):
   quantile_cont(l_quantity, 0.75) over (partition by l_returnflag) as b from lineitem) where l_quantity between a and b group by 1""")
 def interquartile_mean(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("metric_name"), F.to_timestamp(F.lit("2000-01-01")).alias("ts"), F.col("l_quantity").alias("value"))
-    return metrics.metric_statistic(d, "IQM", HOUR).select("metric_name", F.round("value", 6).alias("value"))
+    return metrics.metric_statistic(d, "IQM", HOUR, exact=True).select("metric_name", F.round("value", 6).alias("value"))
 
 
 @_q("""select event_type as metric_name, event_id, ts, value from (select *, row_number() over (partition by event_type order by ts, event_id) - 1 as i,
@@ -336,7 +342,7 @@ def _timeline(spark, sf_dir):
     )
 
 
-_ISLANDS = "islands as (select event_id, ts, log_group, sum(b) over (order by ts, event_id rows unbounded preceding) as island from (select *, case when ts - lag(ts) over (order by ts, event_id) > interval 600 second then 1 else 0 end as b from logs))"
+_ISLANDS = "islands as (select event_id, ts, log_group, cast(substr(log_stream, 6) as bigint) as user_id, sum(b) over (order by ts, event_id rows unbounded preceding) as island from (select *, case when ts - lag(ts) over (order by ts, event_id) > interval 600 second then 1 else 0 end as b from logs))"
 
 
 @_q(f"select * from (with l2 as (select 1), {_ISLANDS} select event_id as seq, cast(island as bigint) as island from islands)")
@@ -344,10 +350,10 @@ def correlate_timeline(spark, sf_dir):
     return timeline.correlate_timeline(_timeline(spark, sf_dir), 600)[0].select("seq", "island")
 
 
-@_q(f"select * from (with l2 as (select 1), {_ISLANDS} select cast(island as bigint) as island, count(*) as evidence_count, cast(epoch_us(max(ts)) - epoch_us(min(ts)) as double) / 1e6 as duration_seconds, string_agg(distinct log_group, ',' order by log_group) as components from islands group by 1)")
+@_q(f"select * from (with l2 as (select 1), {_ISLANDS} select cast(island as bigint) as island, count(*) as evidence_count, cast(epoch_us(max(ts)) - epoch_us(min(ts)) as double) / 1e6 as duration_seconds, string_agg(distinct log_group, ',' order by log_group) as components, count(distinct user_id) as n_pods, list_sort(list(distinct concat('user-', cast(user_id as varchar))))[5] as fifth_pod from islands group by 1)")
 def timeline_groups(spark, sf_dir):
     g = timeline.roll_up_groups(timeline.correlate_timeline(_timeline(spark, sf_dir), 600)[0])
-    return g.select("island", "evidence_count", "duration_seconds", F.array_join("components", ",").alias("components"))
+    return g.select("island", "evidence_count", "duration_seconds", F.array_join("components", ",").alias("components"), "n_pods", F.get("pods", F.lit(4)).alias("fifth_pod"))
 
 
 @_q("select page_id, regexp_matches(url, '^(?i:https?)://[^/?#\\s]+') as valid from pages")
@@ -406,4 +412,4 @@ def text_categories(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_over_time(spark, sf_dir)
 
-from opsframe import fleet_queries  # noqa: E402, F401  registers its queries
+from opsframe import fleet_queries, store_queries  # noqa: E402, F401  register their queries

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsframe.functions.classify import strip
 
@@ -113,11 +112,43 @@ def parse_workloads(snapshots: DataFrame, kind: str, key: str = "snapshot_id") -
     return good.drop("_valid"), bad
 
 
-def read_k8s_list(spark: SparkSession, path: str, item_schema: T.StructType, namespace: str | None = None) -> DataFrame:
-    """A row for each item of JSON listings of any kind; the schema says which fields are read (leave secrets out of it)."""
-    listing = spark.read.schema(T.StructType([T.StructField("items", T.ArrayType(item_schema))])).json(path, multiLine=True)
-    items = listing.select(F.explode("items").alias("item")).select("item.*")
-    return items.where(F.col("metadata.namespace") == namespace) if namespace and namespace != "all" else items
+# Kinds of listings, and those of the whole cluster, which have no namespace.
+KINDS = (
+    "Namespace", "Node", "Pod", "Deployment", "Service", "Ingress", "HorizontalPodAutoscaler", "Event", "ReplicaSet", "StatefulSet", "DaemonSet", "Job", "CronJob", "Endpoints", "EndpointSlice",
+    "NetworkPolicy", "PodDisruptionBudget", "ConfigMap", "Secret", "PersistentVolume", "PersistentVolumeClaim", "StorageClass", "ServiceAccount", "Role", "RoleBinding", "ClusterRole", "ClusterRoleBinding",
+)
+CLUSTER_KINDS = ("Namespace", "Node", "PersistentVolume", "StorageClass", "ClusterRole", "ClusterRoleBinding")
+
+
+def read_k8s_list(spark: SparkSession, path: str, kind: str | None = None, namespace: str | None = None, fields: dict[str, tuple[str, str]] | None = None, multi_line: bool = True) -> DataFrame:
+    """A row for each item of JSON listings of any kind: ``kind, name, namespace, created, item`` and the asked fields.
+
+    A listing is read into one VARIANT, whatever its kind, and its items are
+    exploded from there; no schema is inferred and no list of items is built.
+    ``fields`` maps a column to a path in the item and a type; a path that is
+    missing, or of another type, gives null.  ``kind`` keeps items of one kind,
+    an item's own or else its list's; ``namespace`` keeps one namespace, or all for
+    ``all``; kinds of the whole cluster have none and are always kept.  Of secrets
+    only names and the keys of their data leave: ``item`` and all fields are null,
+    ``secret_keys`` has the keys.  A file that is no JSON has no items.
+    ``multi_line`` False: one listing in each line of a file.
+    """
+    if kind is not None and kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}")
+    listing = spark.read.option("singleVariantColumn", "doc").option("multiLine", multi_line).json(path)
+    get = lambda c, at, to: F.try_variant_get(F.col(c), at, to)
+    d = listing.select(get("doc", "$.items", "variant").alias("items"), F.regexp_replace(get("doc", "$.kind", "string"), "List$", "").alias("list_kind"))
+    d = d.lateralJoin(spark.tvf.variant_explode(F.col("items").outer())).select("list_kind", F.col("value").alias("item"))
+    d = d.withColumn("kind", F.coalesce(get("item", "$.kind", "string"), F.nullif(F.col("list_kind"), F.lit(""))))
+    d = d.withColumns({"name": get("item", "$.metadata.name", "string"), "namespace": get("item", "$.metadata.namespace", "string"), "created": get("item", "$.metadata.creationTimestamp", "string")})
+    if kind is not None:
+        d = d.where(F.col("kind") == kind)
+    if namespace and namespace != "all":
+        d = d.where((F.col("namespace") == namespace) | F.col("kind").isin(*CLUSTER_KINDS))
+    hidden = F.coalesce(F.col("kind") == "Secret", F.lit(False))
+    keys = F.map_keys(F.from_json(F.to_json(get("item", "$.data", "variant")), "map<string,string>"))
+    shown = {c: F.when(~hidden, get("item", at, to)) for c, (at, to) in (fields or {}).items()}
+    return d.select("kind", "name", "namespace", "created", *[v.alias(c) for c, v in shown.items()], F.when(hidden, F.array_sort(keys)).alias("secret_keys"), F.when(~hidden, F.col("item")).alias("item"))
 
 
 def pod_summary(pods: DataFrame) -> DataFrame:
