@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from opsframe.llm.textkit import Words, text_buffers
 
 PATH_DIM, LEAF_DIM, WORD_DIM, HIDDEN = 192, 64, 48, 16
+#: Blocks of a page that go through the networks at once, and characters of pages that a task takes apart together.
+STRETCH, PAGES_CHARS = 4096, 4_000_000
 _NUMBERS = 7
 INPUT = PATH_DIM + LEAF_DIM + WORD_DIM + _NUMBERS
 
 # Element names by their part in a page.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe")
+RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe")
+FOREIGN = ("svg", "math")  # a slash at the end of the tag closes these
+TEXT_ONLY = ("script", "style", "textarea", "iframe")  # without an end tag they reach to the end of the page
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 INLINE = ("a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr")
 CONTENT = ("article", "main")
@@ -32,7 +36,7 @@ NOISE_WORDS = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "
 CONTENT_WORDS = ("article", "content", "post", "entry", "story")
 
 #: A quote opens a value only after an equals sign; elsewhere in a tag it is an ordinary character.
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -47,10 +51,10 @@ def _bits(words: tuple[str, ...], salt: str, dim: int) -> int:
 class Element:
     """An open element: its words, and what it and all elements above it say together, so that depth costs nothing."""
 
-    __slots__ = ("above", "apart", "inside", "leaf", "name", "path", "words")
+    __slots__ = ("above", "apart", "inside", "kinds", "leaf", "name", "path", "words")
 
     def __init__(self, above: Element | None, name: str, words: tuple[str, ...]):
-        self.above, self.name, self.words = above, name, words
+        self.above, self.name, self.words, self.kinds = above, name, words, None
         own = (name, *words)
         self.path = (above.path if above else 0) | _bits(own, "", PATH_DIM)
         self.leaf = _bits(own, "leaf ", LEAF_DIM)
@@ -58,6 +62,15 @@ class Element:
         self.inside = bool(above and above.inside) or name in CONTENT or any(w in CONTENT_WORDS for w in told)
         self.apart = bool(above and above.apart) or name in APART or any(w in NOISE_WORDS for w in told)
 
+    def within(self, name: str, words: tuple[str, ...]) -> Element:
+        """The element of that name and words inside this one; equal ones are one, so that a list of any length has one kind of item."""
+        if self.kinds is None:
+            self.kinds = {}
+        found = self.kinds.get((name, words))
+        if found is None:
+            found = self.kinds[name, words] = Element(self, name, words)
+        return found
+
     @property
     def label(self) -> bool | None:
         """What the markup itself says: main text, apart from it, or (None) nothing.  Only training pages are labelled by it."""
@@ -67,21 +80,29 @@ class Element:
 _ROOT = Element(None, "", ())
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     at: Element
     text: str
     linked: int  # characters inside links
 
 
+@functools.cache
+def _ends(name: str) -> re.Pattern:
+    return re.compile(f"</{name}(?:[\\s/][^>]*)?(?:>|\\Z)", re.I)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's texts between block-level tags, in order, with the open element around each.
 
-    An element's words are those of its class, id and role.  Scripts and styles
-    are skipped to their end tag; inline tags and line breaks stay inside a block.
+    An element's words are those of its class, id and role.  Scripts, styles and
+    drawings are skipped to their end tag and do not end the block around them;
+    without an end tag, scripts and their like reach to the end of the page, and
+    of others only the tag is skipped.  Inline tags and line breaks stay inside a
+    block.
     """
     out: list[Block] = []
-    stack: list[Element] = [_ROOT]
+    stack: list[Element] = [Element(None, "", ())]
     opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
@@ -119,20 +140,22 @@ def leaf_blocks(page: str) -> list[Block]:
             parts.append(" ")
         if name in INLINE:
             continue
+        if name in RAW:
+            if m[1] or name in FOREIGN and m[3].rstrip().endswith("/"):
+                continue
+            ending = _ends(name).search(page, at)
+            at = ending.end() if ending else len(page) if name in TEXT_ONLY else at
+            continue
         flush()
         if m[1]:
             while opened[name] and close() != name:
                 pass
             continue
-        if name in RAW:
-            ending = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
-            at = ending.end() if ending else len(page)
-            continue
         if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack[-1].name == name:
             close()
         if name not in VOID and not m[3].rstrip().endswith("/"):
             words = tuple(w for g in _NAMES.findall(m[3]) for w in _PART.findall(" ".join(g).lower())) if "=" in m[3] else ()
-            stack.append(Element(stack[-1], name, words))
+            stack.append(stack[-1].within(name, words))
             opened[name] += 1
     flush()
     return out
@@ -142,8 +165,11 @@ def _unpacked(masks: list[int], dim: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(m.to_bytes(dim // 8, "little") for m in masks), np.uint8).reshape(len(masks), dim // 8), axis=1)
 
 
-def features(pages: list[list[Block]]) -> np.ndarray:
-    """Vectors of all blocks: hashed words of the whole tag path and of its last element, hashed words and shape of the text."""
+def features(pages: list[list[Block]], place: np.ndarray | None = None) -> np.ndarray:
+    """Vectors of all blocks: hashed words of the whole tag path and of its last element, hashed words and shape of the text.
+
+    ``place``: the blocks' places in their pages, from 0 to 1, where ``pages`` are parts of pages.
+    """
     blocks = [b for p in pages for b in p]
     x = np.zeros((len(blocks), INPUT), np.float32)
     if not blocks:
@@ -156,7 +182,7 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     n = np.maximum(words.counts, 1)
     x[:, PATH_DIM + LEAF_DIM : -_NUMBERS] = np.minimum(bag.reshape(-1, WORD_DIM) / np.sqrt(n)[:, None], 2)
     size = np.array([len(b.text) for b in blocks], np.float32)
-    place = np.concatenate([np.arange(len(p)) / max(len(p), 1) for p in pages])
+    place = np.concatenate([np.arange(len(p)) / max(len(p), 1) for p in pages]) if place is None else place
     x[:, -_NUMBERS:] = np.stack([
         np.log1p(size) / 5, np.minimum(n, 50) / 25, np.array([min(1.0, b.linked / len(b.text)) for b in blocks]), place,
         np.array([b.text[-1] in ".!?\"'" for b in blocks]), np.array([any(c in b.text for c in "©|»›·") for b in blocks]), np.ones(len(blocks)),
@@ -185,9 +211,10 @@ class BlockLabeller:
         out.transpose(1, 0, 2)[mask.T] = x
         return out, mask
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: list | None = None) -> tuple[np.ndarray, list]:
+        """Outputs at every place.  ``state``: a list of the two vectors to begin with, which then holds those at the end."""
         z_all = x @ self.p[d + "w"] + self.p[d + "c"]
-        h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+        h, c = state or [np.zeros((x.shape[1], HIDDEN), np.float32)] * 2
         out, cache = np.zeros((*x.shape[:2], HIDDEN), np.float32), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             z = z_all[t] + h @ self.p[d + "u"]
@@ -202,6 +229,8 @@ class BlockLabeller:
                 cache.append((t, h, c, i, f, o, g, tc, m))
             h, c = h2, c2
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out, cache
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
@@ -249,14 +278,29 @@ class BlockLabeller:
             dh, dc = dz @ u.T, dc * f
         return {d + "w": gw, d + "u": gu, d + "c": gc}
 
+    def label_long(self, blocks: list[Block], stretch: int = STRETCH) -> np.ndarray:
+        """Whether each block of one page is main text, in stretches of blocks: the networks' states go from one to the next, so the result is that of the whole page."""
+        z = np.full(len(blocks), self.p["ob"][0], np.float32)
+        starts = range(0, len(blocks), stretch)
+        for d, weights, order in (("f", self.p["o"][:HIDDEN], starts), ("b", self.p["o"][HIDDEN : 2 * HIDDEN], reversed(starts))):
+            state = [np.zeros((1, HIDDEN), np.float32)] * 2
+            for lo in order:
+                part = blocks[lo : lo + stretch]
+                x = features([part], np.arange(lo, lo + len(part)) / len(blocks))[:, None]
+                out, _ = self._run(x, np.ones((len(part), 1), bool), d, False, state)
+                z[lo : lo + stretch] += (out @ weights)[:, 0]
+                if d == "f":
+                    z[lo : lo + stretch] += (x @ self.p["o"][2 * HIDDEN :])[:, 0]
+        return z > 0
+
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """Whether each block of each page is main text."""
-        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+        """Whether each block of each page is main text; pages of like length go together, a longer one than ``STRETCH`` blocks alone."""
+        out: list[np.ndarray] = [self.label_long(p) if len(p) > STRETCH else np.zeros(0, bool) for p in pages]
+        order = sorted((i for i in range(len(pages)) if 0 < len(pages[i]) <= STRETCH), key=lambda i: len(pages[i]))
         k = 0
         while k < len(order):
             size = len(pages[order[k]])
-            n = max(1, min(128, 60_000 // max(size, 1)))
+            n = max(1, min(128, 4 * STRETCH // size))
             some = [i for i in order[k : k + n] if len(pages[i]) <= 2 * size + 16]
             x, mask = self._pad(features([pages[i] for i in some]), [len(pages[i]) for i in some])
             z, _ = self.logits(x, mask)
@@ -355,13 +399,29 @@ def fit_labeller(pages: DataFrame, rows: int = 400, chars: int = 200_000, html_c
     return BlockLabeller().fit(data) if data else None
 
 
+def _page_groups(column: pa.Array, rows: int = 256) -> Iterator[list[str]]:
+    """Pages in groups of at most ``rows`` and about ``PAGES_CHARS`` characters."""
+    group, size = [], 0
+    for x in column:
+        page = x.as_py() or ""
+        if group and (size + len(page) > PAGES_CHARS or len(group) == rows):
+            yield group
+            group, size = [], 0
+        group.append(page)
+        size += len(page)
+    if group:
+        yield group
+
+
 def extract_text(pages: DataFrame, model: BlockLabeller | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: its blocks that the labeller keeps, in order, with an empty line between.
 
     Returns ``page_id, url, text, n_chars`` (code points), a row for each input
     row.  Null and empty pages, and pages without a main block, give an empty
     text.  Without a model (no page marks its main text) the markup alone
-    decides.  Pages may be of any length and depth; other columns are not looked at.
+    decides.  Pages may be of any depth, and of any length that a task can hold
+    with some 150 bytes more for each block; the networks see a long page in
+    stretches.  Other columns are not looked at.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -369,8 +429,8 @@ def extract_text(pages: DataFrame, model: BlockLabeller | None, id_col: str = "p
         net = shared.value
         for batch in batches:
             texts: list[str] = []
-            for lo in range(0, batch.num_rows, 256):
-                parsed = [leaf_blocks(x.as_py() or "") for x in batch.column("html")[lo : lo + 256]]
+            for group in _page_groups(batch.column("html")):
+                parsed = [leaf_blocks(x) for x in group]
                 keep = net.label(parsed) if net else [np.array([b.at.label is True for b in p], bool) for p in parsed]
                 texts += ["\n\n".join(b.text for b, y in zip(p, k, strict=True) if y) for p, k in zip(parsed, keep, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

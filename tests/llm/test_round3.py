@@ -231,3 +231,29 @@ def test_features_do_not_depend_on_stretches(monkeypatch, stretch):
         for i, c in zip(text.tolist(), crc.tolist(), strict=True):
             found[i].append(c)
     assert all(sorted(found[i]) == sorted(zlib.crc32(f.encode()) for f in features_of(t)) for i, t in enumerate(texts))
+
+
+# main text of pages
+
+
+def test_markup_that_must_not_lose_text():
+    from opsframe.llm import html_text as H
+
+    for page, want in (
+        ("<p>a</p><svg/><p>b</p>", ["a", "b"]), ("<p>a</p><svg><path d='x'/></svg ><p>b</p>", ["a", "b"]), ("<p>a<!-->b</p>", ["ab"]), ("<p>a<!--->b</p>", ["ab"]), ("<p>a<!--x--!>b</p>c", ["ab", "c"]),
+        ("<p>a<!-- never closed", ["a"]), ("<p>before <script>if (x < y) {}</script>after</p>", ["before after"]), ("<p>a <style>p {}</style><noscript>n</noscript> b</p>", ["a b"]),
+        ("<p>one</p><noscript><p>two</p>", ["one", "two"]), ("<p>one</p><script>rest <p>two</p>", ["one"]), ("</svg>x", ["x"]), ("<math/>y", ["y"]),
+    ):
+        assert [b.text for b in H.leaf_blocks(page)] == want, page
+
+
+def test_long_pages_are_labelled_in_stretches(spark):
+    from opsframe.llm import html_text as H
+
+    pages = [r.html or "" for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    net = H.BlockLabeller().fit(H.training_pages(sorted(set(pages))[:40], variants=2), epochs=2)
+    parsed = [p for p in map(H.leaf_blocks, pages[:40]) if p]
+    for p, whole in zip(parsed, net.label(parsed), strict=True):
+        assert (net.label_long(p, 5) == whole).all()
+    blocks = H.leaf_blocks("<article>" + "<p>some words here</p>" * 9000 + "</article><div class='footer'>no</div>")
+    assert len({id(b.at) for b in blocks}) == 2 and (net.label([blocks])[0] == net.label_long(blocks, 10**6)).all()
