@@ -17,7 +17,9 @@ from opsframe.llm.textkit import Words, chunks, mix, roll, running_windows, text
 #: Rows of seeds, items or keys up to which a table is sent to all tasks; larger ones are joined by shuffling.
 SEND_ROWS = 500_000
 #: Bits of the sieve for each seed of the benchmark, most bits of the sieve (16 MB), and bits that a seed sets.
-SIEVE_BITS, SIEVE_MOST, SIEVE_MARKS = 32, 1 << 27, 4
+SIEVE_BITS, SIEVE_MOST, SIEVE_MARKS = 64, 1 << 27, 6
+#: Pairs of a task that tiles them, about.
+TASK_PAIRS = 5_000
 
 
 def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -73,7 +75,7 @@ def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[i
 
 
 def _items(benchmark: DataFrame, least: int) -> DataFrame:
-    """``item, item_id, n, words, seeds``: each item with its word hashes and the distinct hashes of its ``least``-word windows (of all its words, if it has fewer)."""
+    """``item, item_id, n, words, seeds, times``: each item with its word hashes, the distinct hashes of its ``least``-word windows (of all its words, if it has fewer) and how often it has each."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +84,14 @@ def _items(benchmark: DataFrame, least: int) -> DataFrame:
             raw, offsets = text_buffers(batch.column("text"))
             w = Words(raw, offsets)
             each = [w.hash[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-            seeds = [np.unique(roll(h, min(least, len(h)))).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in each]
+            seeds = [np.unique(roll(h, min(least, len(h))), return_counts=True) if len(h) else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for h in each]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(at, at + len(each))), batch.column("item_id"), pa.array([len(h) for h in each], pa.int64()), pa.array([h.tobytes() for h in each], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
-                ["item", "item_id", "n", "words", "seeds"],
+                [pa.array(np.arange(at, at + len(each))), batch.column("item_id"), pa.array([len(h) for h in each], pa.int64()), pa.array([h.tobytes() for h in each], pa.binary()), pa.array([u.view(np.int64) for u, _ in seeds], pa.list_(pa.int64())), pa.array([n for _, n in seeds], pa.list_(pa.int64()))],
+                ["item", "item_id", "n", "words", "seeds", "times"],
             )
             at += len(each)
 
-    return benchmark.mapInArrow(run, f"item long, item_id {kind}, n long, words binary, seeds array<long>").where("n > 0")
+    return benchmark.mapInArrow(run, f"item long, item_id {kind}, n long, words binary, seeds array<long>, times array<long>").where("n > 0")
 
 
 def _marks(seeds: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -159,18 +161,25 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _tiled(docs: DataFrame, benchmark: DataFrame, least: int, coverage: float) -> tuple[DataFrame, DataFrame]:
-    """Rows with a seed (``doc_id, text_key``), and ``text_key, item_id, coverage, n_tiles`` of each different text and item that match.
+    """Rows with a seed (``doc_id, text_key, passages``), and ``passages, item_id, coverage, n_tiles`` of each different set of passages and item that match.
 
-    ``docs``: doc_id, text_key, text; ``benchmark``: item_id, text.
+    ``docs``: doc_id, text_key, text; ``benchmark``: item_id, text.  ``passages`` is
+    a digest of what the sieve leaves of a text: texts that share the same phrases
+    with the benchmark, and nothing else, are tiled as one.
     """
     items = written(_items(benchmark, least), "items")
-    seeds = written(items.select("item", F.explode("seeds").alias("seed")), "seeds")
+    need = F.when(F.col("n") < least, 1).otherwise(F.ceil(F.lit(coverage) * F.col("n") / least - F.lit(1e-9)))
+    each = items.select("item", need.cast("long").alias("need"), F.explode(F.arrays_zip("seeds", "times")).alias("s"))
+    seeds = written(each.select("item", "need", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")), "seeds")
     widths = [r.width for r in items.select(F.least("n", F.lit(least)).cast("int").alias("width")).distinct().collect()] or [least]
-    rows = written(_hits(docs, _sieve(seeds.select("seed").distinct()), sorted(widths)), "hits")
-    texts = written(rows.groupBy("text_key").agg(F.first("words").alias("text_words"), F.first("hits").alias("hits")), "hit-texts")
-    met = texts.select("text_key", F.explode("hits").alias("seed")).join(_small(seeds), "seed").groupBy("text_key", "item").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = written(met.select("text_key", "item"), "pairs")
-    pairs = pairs.join(_small(items.select("item", "item_id", "words")), "item").join(texts.select("text_key", "text_words"), "text_key")
+    rows = written(_hits(docs, _sieve(seeds.select("seed").distinct()), sorted(widths)).withColumn("passages", F.md5("words")), "hits")
+    texts = written(rows.groupBy("passages").agg(F.first("words").alias("text_words"), F.first("hits").alias("hits")), "hit-texts")
+    met = texts.select("passages", F.explode("hits").alias("seed")).join(_small(seeds), "seed").groupBy("passages", "item").agg(F.sum("times").alias("places"), F.max("need").alias("need"))
+    # tiles that cover enough of an item hold at least so many places of its windows
+    pairs = written(met.where("places >= need").select("passages", "item"), "pairs")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs.count() / TASK_PAIRS))
+    pairs = pairs.join(_small(items.select("item", "item_id", "words")), "item").join(texts.select("passages", "text_words"), "passages")
+    pairs = pairs.repartition(parts, "passages", "item")  # by pairs, not by bytes, whatever phrase they share
     kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +199,10 @@ def _tiled(docs: DataFrame, benchmark: DataFrame, least: int, coverage: float) -
                     part.append(done)
                     n.append(len(tiles))
             k = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("text_key").take(k), batch.column("item_id").take(k), pa.array(part, pa.float64()), pa.array(n, pa.int32())], ["text_key", "item_id", "coverage", "n_tiles"])
+            yield pa.RecordBatch.from_arrays([batch.column("passages").take(k), batch.column("item_id").take(k), pa.array(part, pa.float64()), pa.array(n, pa.int32())], ["passages", "item_id", "coverage", "n_tiles"])
 
-    found = pairs.select("text_key", "item_id", "words", "text_words").mapInArrow(run, f"text_key string, item_id {kind}, coverage double, n_tiles int")
-    return rows.select("doc_id", "text_key"), written(found, "tiled")
+    found = pairs.select("passages", "item_id", "words", "text_words").mapInArrow(run, f"passages string, item_id {kind}, coverage double, n_tiles int")
+    return rows.select("doc_id", "text_key", "passages"), written(found, "tiled")
 
 
 def find_contamination(
@@ -206,8 +215,9 @@ def find_contamination(
     reported if the tiles cover ``coverage`` of the item's words.  An item with
     fewer than ``least`` words must occur whole.  One pass over the documents
     keeps windows that pass a sieve of the benchmark's seeds, at most 16 MB
-    whatever the benchmark; a join on the seeds finds the pairs, and each pair
-    of a different text and an item is tiled in a task of its own batch.
+    whatever the benchmark; a join on the seeds finds the pairs that share enough
+    of them, and each pair of different passages and an item is tiled once.  Pairs
+    are dealt to tasks by their number.
 
     Returns ``doc_id, item_id, coverage, n_tiles``, one row for each pair found
     (rows of repeated documents and of repeated items repeat).  Null and empty
@@ -215,7 +225,7 @@ def find_contamination(
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     rows, found = _tiled(d, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), least, coverage)
-    return rows.join(_small(found), "text_key").select("doc_id", "item_id", "coverage", "n_tiles")
+    return rows.join(_small(found), "passages").select("doc_id", "item_id", "coverage", "n_tiles")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -225,6 +235,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, cov
     """
     key = unused(docs, "text_key")
     d = docs.select(F.lit(None).cast("int").alias("doc_id"), F.md5(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    _, found = _tiled(d, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), least, coverage)
-    gone = written(found.select(F.col("text_key").alias(key)).distinct(), "contaminated")
+    rows, found = _tiled(d, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), least, coverage)
+    gone = written(rows.join(_small(found.select("passages").distinct()), "passages").select(F.col("text_key").alias(key)).distinct(), "contaminated")
     return docs.withColumn(key, F.md5(F.col(text_col))).join(_small(gone), key, "left_anti").select(*docs.columns)
