@@ -20,17 +20,18 @@ BASE = (
 )
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 
-# Encodings in the order in which they are tried (name, pattern, alphabet, excess of
-# sum of squared letter shares over the uniform one, times alphabet size, that words and numbers written in it show).
+# Encodings in the order in which they are tried (name, pattern, alphabet; of words and numbers written
+# in it: excess of the sum of squared letter shares over the uniform one, times alphabet size, and share of neighbours
+# of different kinds, capital, small letter, digit or sign).
 ENCODINGS = (
-    ("hex", r"^[0-9a-f]+$", "0123456789abcdef", 0.6),
-    ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF", 0.6),
-    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1),
-    ("lower36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.3),
-    ("upper36", r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1.3),
-    ("base62", r"^[0-9A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 2.6),
-    ("base64", r"^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.7),
-    ("base64url", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_+/", 2.7),
+    ("hex", r"^[0-9a-f]+$", "0123456789abcdef", 0.6, 0.2),
+    ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF", 0.6, 0.2),
+    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1, 0.15),
+    ("lower36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.3, 0.15),
+    ("upper36", r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1.3, 0.15),
+    ("base62", r"^[0-9A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 2.6, 0.3),
+    ("base64", r"^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.7, 0.33),
+    ("base64url", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_+/", 2.7, 0.33),
 )
 
 
@@ -57,7 +58,8 @@ def randomness(tokens: DataFrame) -> DataFrame:
     """The battery for each row's ``token``, of 20 or more characters; adds three columns.
 
     ``text_log``: logarithm of the p-value of a chi-squared statistic as small as
-    this for words or numbers written in the inferred encoding.  ``random_log``:
+    this, and of as many runs of characters of one kind, for words or numbers
+    written in the inferred encoding (both as normal deviates, summed).  ``random_log``:
     logarithm of the Bonferroni combination of the p-values of the three tests
     (uniformity over the alphabet, runs above and below its middle, lag-one
     serial correlation) under the hypothesis that the characters are independent
@@ -67,7 +69,7 @@ def randomness(tokens: DataFrame) -> DataFrame:
     token = F.col("token")
     pick = lambda of: F.coalesce(*[F.when(token.rlike(p), F.lit(v)) for (_, p, *_), v in zip(ENCODINGS, of, strict=True)])
     kept = tokens.columns
-    d = tokens.withColumns({"alphabet": pick([a for _, _, a, _ in ENCODINGS]), "excess": pick([e for *_, e in ENCODINGS])})
+    d = tokens.withColumns({"alphabet": pick([a for _, _, a, *_ in ENCODINGS]), "excess": pick([e for *_, e, _ in ENCODINGS]), "rate": pick([r for *_, r in ENCODINGS])})
     place = lambda c: F.call_function("instr", F.col("alphabet"), c).cast("double")
     d = d.withColumns({"x": F.transform(F.split(token, "(?<=.)(?=.)"), place), "k": F.length("alphabet").cast("double"), "n": F.length(token).cast("double")})
     x, k, n = F.col("x"), F.col("k"), F.col("n")
@@ -93,9 +95,12 @@ def randomness(tokens: DataFrame) -> DataFrame:
         "z_serial": F.when(F.col("spread") > 0, (F.try_divide("lagged", "spread") + 1 / n) * F.sqrt(n)).otherwise(F.lit(12.0)),
         "z_text": (chi - df - n * excess) / F.sqrt(2 * df + 4 * n * excess),
     })
+    steps, rate = n - 1, F.col("rate")
+    kinds = F.regexp_count(token, F.lit("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+")).cast("double") - 1
+    d = d.withColumn("z_kinds", (kinds - steps * rate) / F.sqrt(steps * rate * (1 - rate)))
     tail = lambda z: F.log(F.lit(2.0)) + _log_upper(F.abs(z))
     three = F.least(_log_upper(F.col("z_chi")), tail(F.col("z_runs")), tail(F.col("z_serial")))
-    d = d.withColumns({"random_log": F.least(F.lit(0.0), F.log(F.lit(3.0)) + three), "text_log": _log_upper(-F.col("z_text")), "stratum": F.floor(F.log2(n)).cast("int")})
+    d = d.withColumns({"random_log": F.least(F.lit(0.0), F.log(F.lit(3.0)) + three), "text_log": _log_upper((F.col("z_kinds") - F.col("z_text")) / F.sqrt(F.lit(2.0))), "stratum": F.floor(F.log2(n)).cast("int")})
     return d.select(*kept, "text_log", "random_log", "stratum")
 
 

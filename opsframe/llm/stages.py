@@ -2,55 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from opsframe.scratch import delete, scratch_path, shared_dir, write_to, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a session in a single JVM may leave it unset; it then gets a folder of
-    its own.  On a cluster a local folder would be unreadable elsewhere, so an
-    unset folder is an error there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="opsframe-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder's name in the shared folder; what is there goes when the driver's JVM ends, if it was not deleted before."""
-    path = f"{shared_dir(spark).rstrip('/')}/opsframe-{name}-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def _write(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    Later jobs read the files, so a lost executor costs at most the tasks that
-    were running there.  The files live as long as the driver's JVM does.
-    """
-    return _write(df, scratch_path(df.sparkSession, name))
-
+__all__ = ["BATCH", "Scratch", "delete", "scratch_path", "shared_dir", "small_batches", "unused", "written"]
 
 #: Rows of an Arrow batch; Spark's default of 10,000 rows that hold texts or sets fills tens of MB for each task, on both sides.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
@@ -91,7 +47,7 @@ class Scratch:
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         # hashes do not compress, and codecs hold direct memory of executors long after a task
-        return _write(df, f"{self.path}/{self.count:03d}-{name}", "none")
+        return write_to(df, f"{self.path}/{self.count:03d}-{name}", "none")
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -550,7 +550,7 @@ def test_op10_battery_equals_direct_formulas(spark):
     tokens = [secrets.token_hex(20), secrets.token_urlsafe(30), "a" * 24, "some_long_identifier_name", "0123456789" * 4, secrets.token_hex(400), "Donaudampfschifffahrtsgesellschaft", "x1" * 4000]
     upper = lambda z: math.log(0.5 * math.erfc(z / math.sqrt(2))) if z < 35 else None
     for r in S.randomness(spark.createDataFrame([(t,) for t in tokens], "token string")).collect():
-        name, pattern, alphabet, excess = next(e for e in S.ENCODINGS if re.search(e[1], r.token))
+        name, pattern, alphabet, excess, rate = next(e for e in S.ENCODINGS if re.search(e[1], r.token))
         x = [alphabet.index(c) + 1 for c in r.token]
         n, k = len(x), len(alphabet)
         chi = k / n * sum(v * v for v in collections.Counter(x).values()) - n
@@ -565,7 +565,8 @@ def test_op10_battery_equals_direct_formulas(spark):
         logs = [upper(z[0]), *(None if upper(abs(v)) is None else math.log(2) + upper(abs(v)) for v in z[1:])]
         if None not in logs:
             assert r.random_log == pytest.approx(min(0.0, math.log(3) + min(logs)), rel=1e-5, abs=1e-6), r.token
-        text = (chi - df - n * excess) / math.sqrt(2 * df + 4 * n * excess)
+        kinds = len(re.findall("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+", r.token)) - 1
+        text = ((chi - df - n * excess) / math.sqrt(2 * df + 4 * n * excess) - (kinds - (n - 1) * rate) / math.sqrt((n - 1) * rate * (1 - rate))) / math.sqrt(2)
         if upper(-text) is not None:
             assert r.text_log == pytest.approx(upper(-text), rel=1e-5, abs=1e-6), r.token
         assert r.stratum == int(math.log2(n))

@@ -257,3 +257,68 @@ def test_long_pages_are_labelled_in_stretches(spark):
         assert (net.label_long(p, 5) == whole).all()
     blocks = H.leaf_blocks("<article>" + "<p>some words here</p>" * 9000 + "</article><div class='footer'>no</div>")
     assert len({id(b.at) for b in blocks}) == 2 and (net.label([blocks])[0] == net.label_long(blocks, 10**6)).all()
+
+
+# benchmark passages
+
+
+def test_a_phrase_that_many_share_is_tiled_once(spark):
+    """400 texts and 300 items share a phrase that is too short for most items; a few texts hold an item."""
+    from opsframe.llm import decontaminate as D
+
+    phrase = " ".join(f"p{i}" for i in range(12))
+    word = iter(range(10**9))
+    fill = lambda n: " ".join(f"w{next(word)}" for _ in range(n))
+    items = [(i, f"{fill(20)} {phrase} {fill(20)}") for i in range(300)] + [(300 + i, f"{phrase} {fill(6)}") for i in range(5)] + [(400, phrase), (400, "short one")]
+    docs = [(i, f"{fill(30)} {phrase} {fill(30)}") for i in range(400)] + [(1000 + i, f"{fill(5)} {items[i][1]}") for i in range(10)] + [(2000, f"{fill(9)} short one {fill(9)}")]
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    _, tiled = D._tiled(d.withColumn("text_key", F.md5("text")), b, 5, 0.5)
+    found = {(r.doc_id, r.item_id) for r in D.find_contamination(d, b).collect()}
+    some = [400, *range(300, 305)]  # the phrase covers half of these
+    assert found == {(i, t) for i, _ in docs if i < 2000 for t in some} | {(1000 + i, i) for i in range(10)} | {(2000, 400)}
+    assert tiled.count() < 100  # not 410 texts
+    assert D.drop_contaminated(d, b).count() == 0
+
+
+# quality model
+
+
+def test_a_pruned_model_still_adds_up_to_one(spark):
+    from opsframe.llm import quality as Q
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    counts = Q.ngram_counts(docs, "text", "lang")
+    whole, cut = Q.fit_models(counts), Q.fit_models(counts, size=1500)
+    for lang in whole:
+        w, c = whole[lang].value, cut[lang].value
+        assert len(c.keys[4]) < len(w.keys[4])
+        symbols = np.concatenate((w.keys[1], [np.uint64(0xFFFE)]))  # all that were seen, and the place of the others
+        for m in (w, c):
+            for n in (2, 3, 4):
+                for context in m.contexts[n][:: max(1, len(m.contexts[n]) // 15)]:
+                    total = np.exp2(m.score((context << np.uint64(16)) | symbols, n).astype(np.float64)).sum()
+                    assert abs(total - 1) < 0.01, (lang, n, len(m.keys[4]))
+
+
+# secrets
+
+
+def test_a_lone_secret_among_names_is_found(spark):
+    import base64
+    import string
+
+    from opsframe.llm import secret_scan as S
+
+    rng = random.Random(8)
+    parts = "config manager service handler user account default value internal request response cache session v2 queue builder factory adapter controller number string buffer context in my to".split()
+    names = ["_".join(rng.choice(parts) for _ in range(rng.choice([4, 5, 6, 8]))) for _ in range(20)] + ["".join(rng.choice(parts).title() for _ in range(6)) for _ in range(20)]
+    names += ["/".join(rng.choice(parts) for _ in range(6)) for _ in range(10)] + ["-".join(rng.choice(parts) for _ in range(5)) for _ in range(10)]
+    lone = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(6)] + ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(6)]
+    found = 0
+    for secret in lone:
+        d = spark.createDataFrame([(1, " ".join(names)), (2, f"see {secret} there")], "doc_id long, text string")
+        r = {x.doc_id: x for x in S.scan_secrets(d).collect()}
+        assert r[1].n_random == 0, r[1].spans
+        found += r[2].n_random
+    assert found >= 10
