@@ -16,7 +16,7 @@ from opsframe.functions import classify, redact, timestamps
 from opsframe.functions.ranges import TimeRange
 from opsframe.operators import alarms, findings, hosts, logs, metrics, pods, timeline, urls
 from opsframe.operators.ordered import numbered
-from opsframe.queries import LOGS_SQL, _clicks, _q, _states, _url_table, log_table, point_table, table
+from opsframe.queries import LOGS_SQL, _q, _states, _url_table, log_table, point_table, table
 from opsframe.sources import results, snapshots
 
 # Fixed values of the derived pods, by customer key.
@@ -364,9 +364,10 @@ def listed_urls(spark, sf_dir):
     return numbered(d, ("created_at", "id"), descending=True).select("id", "place")
 
 
-@_q("select event_id from events where event_type = 'click' and event_id % 60 not in (select page_id from pages)")
+@_q("select event_id from events where event_type = 'click' and event_id % 5000 not in (select page_id from pages)")
 def unknown_codes(spark, sf_dir):
-    return urls.resolve_short_codes(_clicks(spark, sf_dir), _url_table(spark, sf_dir))[1].select("event_id")
+    clicks = table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", F.concat(F.lit("c"), (F.col("event_id") % 5000).cast("string")).alias("short_code"))
+    return urls.resolve_short_codes(clicks, _url_table(spark, sf_dir))[1].select("event_id")
 
 
 def _hosts(spark, sf_dir):

@@ -320,10 +320,11 @@ def alarm_transitions(spark, sf_dir):
     return alarms.alarm_transitions(alarms.read_alarm_history(_states(spark, sf_dir)))
 
 
-@_q("select case when v > 100 then 'ALARM' else 'OK' end as state, count(*) as n from (select arg_max(coalesce(value, 0), struct_pack(t := ts, e := event_id)) as v from events group by user_id) group by 1")
+@_q("""with last_ as (select cast(user_id as varchar) as name, case when arg_max(coalesce(value, 0), struct_pack(t := ts, e := event_id)) > 100 then 'ALARM' else 'OK' end as state from events group by user_id)
+  select state, count(*) as n, case when state = 'ALARM' then array_to_string(list_sort(list(name))[1:20], ',') end as names from last_ group by 1""")
 def alarm_state_counts(spark, sf_dir):
     last = _states(spark, sf_dir).groupBy(F.col("alarm_name").alias("name")).agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
-    return alarms.alarm_state_counts(alarms.read_alarms(last)).select("state", "n")
+    return alarms.alarm_state_counts(alarms.read_alarms(last)).select("state", "n", F.array_join("names", ",").alias("names"))
 
 
 @_q("select event_id, cast(date_trunc('second', ts) as timestamp) as ts_local, 1 as tier from logs where event_id % 20 not in (13, 19)")
@@ -397,9 +398,16 @@ _HINTS = """(values ('hcl_commerce', 'commerce'), ('hcl_commerce', 'ts-app'), ('
   ('rds', '/aws/rds'), ('rds', 'rds'), ('rds', 'db2'), ('rds', 'postgres'), ('rds', 'mysql'), ('vpc_flow', 'vpc'), ('vpc_flow', 'flowlog'), ('vpc_flow', 'flow-log'), ('route53', 'route53'), ('sns_ses', 'sns'), ('sns_ses', 'ses')) as h(category, hint)"""
 
 
-@_q(f"select distinct url as name, category from pages join {_HINTS} on contains(lower(url), hint)")
+_GROUPS = """(select concat('/', lower(n_name), '/', word, '-', cast(s_suppkey as varchar)) as name from supplier join nation on s_nationkey = n_nationkey join (values (0, 'ts-app'), (1, 'Search-App-slave'), (2, 'redis-cache'), (3, 'aws/rds/main'), (4, 'eks-k8s'),
+  (5, 'plain'), (6, 'aws-waf-logs'), (7, 'nginx-ingress'), (8, 'vpc-flowlog'), (9, 'cdn'), (10, 'sesns')) as w(id, word) on w.id = s_suppkey % 11)"""
+
+
+@_q(f"select distinct name, category from {_GROUPS} join {_HINTS} on contains(lower(name), hint)")
 def group_categories(spark, sf_dir):
-    return logs.group_categories(table(spark, sf_dir, "pages").select(F.col("url").alias("name")).distinct())
+    words = ("ts-app", "Search-App-slave", "redis-cache", "aws/rds/main", "eks-k8s", "plain", "aws-waf-logs", "nginx-ingress", "vpc-flowlog", "cdn", "sesns")
+    d = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    word = F.element_at(F.array(*map(F.lit, words)), (F.col("s_suppkey") % 11 + 1).cast("int"))
+    return logs.group_categories(d.select(F.concat(F.lit("/"), F.lower("n_name"), F.lit("/"), word, F.lit("-"), F.col("s_suppkey").cast("string")).alias("name")))
 
 
 @_q(f"select category, min(doc_id) as first_doc, count(distinct doc_id) as n from documents join {_HINTS} on contains(lower(text), hint) group by 1")

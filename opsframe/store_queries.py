@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.fleet_queries import MATCHED_SQL, PODS_SQL, _matched, _pod_columns, _pods
-from opsframe.functions import classify, redact
+from opsframe.functions import classify, ranges, redact
 from opsframe.operators import findings, metrics, pods, urls
 from opsframe.plans.diagnose import diagnose
 from opsframe.plans.knowledge import knowledge_table
@@ -192,3 +192,30 @@ def guided_categories(spark, sf_dir):
 def diagnosed_events(spark, sf_dir):
     """All warning events with their categories."""
     return _diagnosis(spark, sf_dir)[1].select(F.col("event_key").alias("event_id"), "category", classify.severity_of(F.col("category")).alias("severity"))
+
+
+@_q("""select event_type as metric_name, cast(epoch_us(ts) // 900000000 * 900 as bigint) as period_start, round(avg(value), 6) as value from events
+  where value is not null and ts between timestamp '2024-01-10 10:00:00' and timestamp '2024-01-20 10:00:00' group by 1, 2""")
+def ranged_averages(spark, sf_dir):
+    """Averages of the ten days before a moment, floored to its minute, in the period that gives no more than 1,000 points."""
+    r = ranges.align_range(ranges.resolve_range("last 10d", now="2024-01-20T10:00:37Z", max_hours=240))
+    points = point_table(spark, sf_dir).where(ranges.TimeRange(r.start.replace(tzinfo=None), r.end.replace(tzinfo=None)).holds(F.col("ts"))).where("value is not null")
+    d = metrics.metric_statistic(points, "Average", ranges.choose_period(r.seconds))
+    return d.select("metric_name", "period_start", F.round("value", 6).alias("value"))
+
+
+@_q(f"with {MATCHED_SQL} select pod, container from matched where leaf = 'nginx' and container = 'nginx-main'")
+def container_pods(spark, sf_dir):
+    """Pods of a component by one of its containers; others are refused."""
+    container = pods.validate_container("nginx", "nginx-main")
+    return _matched(spark, sf_dir).where((F.col("leaf") == "nginx") & (F.col("container") == container)).select("pod", "container")
+
+
+@_q("select event_id, case when event_id % 20 <> 18 then message end as message from logs")
+def withheld_messages(spark, sf_dir):
+    return log_table(spark, sf_dir).select("event_id", redact.withhold_if_secret(F.col("message")).alias("message"))
+
+
+@_q("select doc_id, md5(case when length(text) > 300 then concat(substr(text, 1, 300), '...[truncated]') else text end) as capped from documents")
+def capped_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redact.cap_text(F.col("text"), 300)).alias("capped"))
