@@ -389,7 +389,7 @@ def training_pages(pages: list[str], variants: int = 6, blocks: int = 400, seed:
     return [(x, np.array([y for _, y in rows])) for x, rows in zip(np.split(vectors, ends), out, strict=True) if rows]
 
 
-def fit_labeller(pages: DataFrame, rows: int = 400, chars: int = 200_000, html_col: str = "html") -> BlockLabeller | None:
+def fit_labeller(pages: DataFrame, rows: int = 240, chars: int = 200_000, html_col: str = "html") -> BlockLabeller | None:
     """Trained on about ``rows`` pages of at most ``chars`` characters, taken by a hash of the page; None if no markup marks a main text."""
     fit = pages.where(F.length(html_col) <= chars)
     total = fit.count()
