@@ -99,14 +99,14 @@ def withheld_snapshots(spark, sf_dir):
     return _strict(spark, sf_dir)[1].select("snapshot_id", "bad_rows")
 
 
-@_q("""select s_suppkey // 50 as snapshot_id, s_name as name, s_suppkey % 5 as desired, case when s_suppkey % 3 = 0 then 0 else s_suppkey % 4 end as ready, case when s_suppkey % 6 <> 1 then s_suppkey % 4 end as available, 2 as images
-  from supplier where s_suppkey // 50 not in (select s_suppkey // 50 from supplier where s_suppkey % 61 = 7)""")
+@_q("""select s_suppkey // 10 as snapshot_id, s_name as name, s_suppkey % 5 as desired, case when s_suppkey % 3 = 0 then 0 else s_suppkey % 4 end as ready, case when s_suppkey % 6 <> 1 then s_suppkey % 4 end as available, 2 as images
+  from supplier where s_suppkey // 10 not in (select s_suppkey // 10 from supplier where s_suppkey % 61 = 7)""")
 def workloads(spark, sf_dir):
-    """Deployments in listings of fifty; a count that is no number, at every 61st key, withholds it."""
+    """Deployments in listings of ten; a count that is no number, at every 61st key, withholds it."""
     k = F.col("s_suppkey")
     text = lambda c: c.cast("string")
     fields = [F.col("s_name"), F.lit("commerce"), F.when(k % 61 == 7, "many").otherwise(text(k % 5)), F.when(k % 3 == 0, "<none>").otherwise(text(k % 4)), F.when(k % 6 == 1, "<none>").otherwise(text(k % 4)), F.lit("1"), F.lit("a,b"), F.lit("img:1,img:2")]
-    d = table(spark, sf_dir, "supplier").select(F.floor(k / 50).alias("snapshot_id"), F.struct("s_suppkey", F.concat_ws(" ", *fields).alias("line")).alias("at"))
+    d = table(spark, sf_dir, "supplier").select(F.floor(k / 10).alias("snapshot_id"), F.struct("s_suppkey", F.concat_ws(" ", *fields).alias("line")).alias("at"))
     listing = d.groupBy("snapshot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["line"]), "\n").alias("text"))
     return snapshots.parse_workloads(listing, "deployment")[0].select("snapshot_id", "name", "desired", "ready", "available", F.size("containers").alias("images"))
 
