@@ -17,7 +17,7 @@ from opsframe.llm.stages import unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-#: Disclosing pairs, candidate terms or entities up to which a table is sent to all tasks; beyond it they are joined.
+#: Disclosing terms, candidate terms or entities up to which a table is sent to all tasks; beyond it they are joined.
 SEND_ROWS = 500_000
 #: Terms whose document counts a task returns in one array.
 COUNTED = 4096
@@ -252,82 +252,80 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, alpha: float = 1.25, sup
     return joint.join(entities, "entity").join(df, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= 1 / alpha)
 
 
-def _own_flags(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``text_key, _flags``: the disclosing terms of each distinct text, where the pairs are too many to be sent."""
+def _own_flags(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``text_key, _flags``: the disclosing terms of each distinct text (``text_key, text``), where they are too many to be sent."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, x in zip(batch.column("text_key"), batch.column("text"), strict=True):
                 text = x.as_py()
-                spans = base_spans(text)
-                terms = sorted({w.lower() for w in {text[a:b] for a, b in _outside(text, spans)}})
-                for entity in sorted(entities_of(text, spans)):
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(terms), pa.string()) for c in (key.as_py(), entity)] + [pa.array(terms, pa.string())], ["text_key", "entity", "term"])
+                own = sorted({w.lower() for w in {text[a:b] for a, b in _outside(text, base_spans(text))}})
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(own), pa.string()), pa.array(own, pa.string())], ["text_key", "term"])
 
-    rows = texts.select("text_key", "text").mapInArrow(run, "text_key string, entity string, term string").join(pairs, ["entity", "term"])
-    return rows.groupBy("text_key", "term").agg(F.max("share").alias("share")).groupBy("text_key").agg(F.collect_list(F.struct("term", "share")).alias("_flags"))
+    texts = docs.where("text is not null").dropDuplicates(["text_key"])
+    rows = texts.mapInArrow(run, "text_key string, term string").join(terms, "term")
+    return rows.groupBy("text_key").agg(F.collect_list(F.struct("term", "share")).alias("_flags"))
 
 
-def _with_flags(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str, object]:
-    """The disclosing pairs as one value for all tasks if they are few, else as a column of each row's own terms, under a name that ``docs`` lacks.
+def _with_flags(docs: DataFrame, text_col: str, terms: DataFrame) -> tuple[DataFrame, str, object]:
+    """The disclosing terms as one value for all tasks if they are few, else as a column of each row's own terms, under a name that ``docs`` lacks.
 
     Flags follow from a row's text alone, so rows are joined by its hash, whatever their ids.
     """
     flags, key, salt = unused(docs, "flags"), unused(docs, "text_key"), unused(docs, "salt")
-    if pairs.count() <= SEND_ROWS:
-        few: dict[str, dict[str, float]] = {}
-        for r in pairs.collect():
-            few.setdefault(r.entity, {})[r.term] = r.share
+    if terms.count() <= SEND_ROWS:
+        few = {r.term: r.share for r in terms.collect()}
         return docs.withColumn(flags, F.lit(None).cast("array<struct<term:string,share:double>>")), flags, docs.sparkSession.sparkContext.broadcast(few)
-    own = _own_flags(texts, pairs).select(F.col("text_key").alias(key), F.col("_flags").alias(flags), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    texts = docs.select(F.sha2(F.col(text_col), 256).alias("text_key"), F.col(text_col).alias("text"))
+    own = _own_flags(texts, terms).select(F.col("text_key").alias(key), F.col("_flags").alias(flags), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
     keyed = docs.withColumn(key, F.sha2(F.col(text_col), 256)).withColumn(salt, (F.monotonically_increasing_id() % SALTS).cast("int"))
     return keyed.join(own, [key, salt], "left").drop(key, salt), flags, None
 
 
-def _term_spans(text: str, spans: list, flags: list[dict]) -> list[tuple[int, int, int, float]]:
-    out = []
-    for a, b in _outside(text, spans) if flags else ():
-        term = text[a:b].lower()
-        share = max((f[term] for f in flags if term in f), default=None)
-        if share is not None:
-            out.append((a, len(KINDS), b, share))
-    return out
-
-
-def _prepared(docs: DataFrame, text_col: str, alpha: float, support: int) -> tuple[DataFrame, DataFrame]:
+def _prepared(docs: DataFrame, text_col: str, alpha: float, support: int) -> DataFrame:
+    """``term, share``: each disclosing term with the largest share that it has of any entity."""
     d = docs.select(F.col(text_col).alias("text"))
-    texts = written(protected_texts(d), "protected")
-    return texts, written(disclosing_terms(d, texts, alpha, support), "disclosing")
-
-
-def _row_flags(batch: pa.RecordBatch, i: int, name: str, shared: object, text: str, spans: list) -> list[dict]:
-    if shared is not None:
-        return [shared.value[e] for e in entities_of(text, spans) if e in shared.value]
-    own = {f["term"]: f["share"] for f in batch.column(name)[i].as_py() or ()}
-    return [own] if own else []
+    pairs = disclosing_terms(d, written(protected_texts(d), "protected"), alpha, support)
+    return written(pairs.groupBy("term").agg(F.max("share").alias("share")), "disclosing")
+
+
+def _found(batch: pa.RecordBatch, place: int, flags: str, shared: object) -> Iterator[tuple[int, str, list, list]]:
+    """(row, text, base spans, disclosing terms that touch none of them) of the rows that have either."""
+    column = batch.column(place)
+    spanned = pc.fill_null(pc.match_substring_regex(column, "[0-9@]"), False).to_pylist()
+    for i, may_span in enumerate(spanned):
+        known = shared.value if shared is not None else {f["term"]: f["share"] for f in batch.column(flags)[i].as_py() or ()}
+        text = column[i].as_py() if may_span or known else None
+        if not text:
+            continue
+        base, terms = base_spans(text) if may_span else [], []
+        if known and not known.keys().isdisjoint(terms_of(text)):
+            words = ((a, b, known.get(text[a:b].lower())) for a, b in _outside(text, base))
+            terms = [(a, len(KINDS), b, share) for a, b, share in words if share is not None]
+        if base or terms:
+            yield i, text, base, terms
 
 
 def find_pii(docs: DataFrame, alpha: float = 1.25, support: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans of every whole text, and the terms anywhere in it that disclose a protected entity or its kind.
+    """Base spans of every whole text, and its terms that disclose a protected entity of the corpus or its kind.
+
+    A disclosing term gives its entity away wherever it stands, so it is found in
+    texts without base spans as well.
 
     Returns ``doc_id, n_email, n_ip, n_card, n_phone, n_term, n_spans,
     base_sha256, spans``, a row for each input row.  Null and empty texts have no spans.
     Counts behind the disclosure are taken over all documents; repeated rows
     count as documents, but copies of a text give no support of their own.
     """
-    texts, pairs = _prepared(docs, text_col, alpha, support)
-    d, flags, shared = _with_flags(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", texts, pairs)
+    terms = _prepared(docs, text_col, alpha, support)
+    d, flags, shared = _with_flags(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", terms)
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [[0] * batch.num_rows for _ in range(6)]
             sha, spans = [none] * batch.num_rows, [""] * batch.num_rows
-            for i, text in _candidates(batch.column("text")):
-                base = base_spans(text)
-                if not base:
-                    continue
-                terms = _term_spans(text, base, _row_flags(batch, i, flags, shared, text, base))
+            for i, _, base, terms in _found(batch, batch.schema.get_field_index("text"), flags, shared):
                 for _, k, _ in base:
                     n[k][i] += 1
                 n[4][i] = len(terms)
@@ -361,18 +359,13 @@ def sanitise_text(text: str, base: list[tuple[int, int, int]], terms: list[tuple
 
 def sanitise(docs: DataFrame, alpha: float = 1.25, support: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in the text; all rows and columns stay."""
-    texts, pairs = _prepared(docs, text_col, alpha, support)
-    d, flags, shared = _with_flags(docs, text_col, texts, pairs)
+    d, flags, shared = _with_flags(docs, text_col, _prepared(docs, text_col, alpha, support))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index(text_col)
             column = batch.column(place)
-            changed = {}
-            for i, text in _candidates(column):
-                base = base_spans(text)
-                if base:
-                    changed[i] = sanitise_text(text, base, _term_spans(text, base, _row_flags(batch, i, flags, shared, text, base)))
+            changed = {i: sanitise_text(text, base, terms) for i, text, base, terms in _found(batch, place, flags, shared)}
             if changed:
                 mask = [i in changed for i in range(batch.num_rows)]
                 column = pc.replace_with_mask(column, pa.array(mask), pa.array([changed[i] for i in sorted(changed)], column.type))

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsframe.llm import exact_dedup, filter_audit, queries, resample
+from opsframe.llm import pii as P
 from tests.conftest import SF
 
 duckdb = pytest.importorskip("duckdb")
@@ -322,3 +323,20 @@ def test_a_lone_secret_among_names_is_found(spark):
         assert r[1].n_random == 0, r[1].spans
         found += r[2].n_random
     assert found >= 10
+
+
+def test_op1_terms_disclose_in_texts_without_spans(spark, monkeypatch):
+    """A term that stands with an address elsewhere goes from texts that hold no address; sent and joined terms agree, copies and nulls too."""
+    rows = [(i, f"agent Smithers {i} at x{i}@foo.com please") for i in range(12)] + [(50, "Smithers, please come"), (51, "SMITHERS"), (52, "no one here"), (53, None), (54, "")]
+    rows += [(60, "Smithers, please come")] * 3 + [(100 + i, f"the cat {i} at the mat please") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for send in (500_000, 0):
+        monkeypatch.setattr(P, "SEND_ROWS", send)
+        found = {r.doc_id: r for r in P.find_pii(d).collect()}
+        assert (found[50].spans, found[51].spans, found[60].spans, found[50].n_email) == ("term:0:8", "term:0:8", "term:0:8", 0)
+        assert all(found[i].spans == "" for i in (52, 53, 54, 101)) and found[50].base_sha256 == hashlib.sha256(b"").hexdigest()
+        clean = {r.doc_id: r.text for r in P.sanitise(d).collect()}
+        assert "Smithers" not in clean[50] + clean[60] and "please come" in clean[50] and "SMITHERS" not in clean[51] and (clean[52], clean[53], clean[54]) == ("no one here", None, "")
+        assert send or order(P.find_pii(d)) == every
+        every = order(P.find_pii(d))
