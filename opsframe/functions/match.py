@@ -92,15 +92,14 @@ def name_allowlist(name: Column, globs: tuple[str, ...]) -> Column:
 
 
 def term_keys(text: Column, terms: dict[str, tuple[str, ...]]) -> Column:
-    """The keys that have a term in a text, in the order of ``terms``, found in one pass.
+    """The keys that have a term in a text, in the order of ``terms``; a null text has none.
 
-    One pattern holds all terms and looks at every place of the text, the longest
-    term first; a hit stands for all terms that it begins with as well.  A null
-    text has no key.
+    The text is bound once, so what it is computed from runs once for a row; each
+    term is then a plain search for its bytes.
     """
-    every = sorted({t for own in terms.values() for t in own}, key=lambda t: (-len(t), t))
-    keys_of = {hit: [k for k, own in terms.items() if any(hit.startswith(t) for t in own)] for hit in every}
-    table = F.create_map(*[F.lit(x) for hit, keys in keys_of.items() for x in (hit, keys)])
-    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({'|'.join(map(re.escape, every))}))"), F.lit(1)))
-    found = F.coalesce(F.flatten(F.transform(hits, lambda h: table[h])), F.array().cast("array<string>"))
-    return F.filter(F.lit(list(terms)), lambda k: F.array_contains(found, k))
+
+    def own(s: Column) -> Column:
+        found = [F.when(reduce(Column.__or__, [s.contains(t) for t in some]), key).otherwise("") for key, some in terms.items()]
+        return F.array_remove(F.array(*found), "")
+
+    return F.get(F.transform(F.array(F.coalesce(text, F.lit(""))), own), F.lit(0))
