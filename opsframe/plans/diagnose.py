@@ -10,6 +10,7 @@ from opsframe.functions.redact import cap_text, redact_secrets
 from opsframe.operators.findings import classify_logs, classify_warning_events, co_occurring_categories, lines_scanned, log_coverage, tail_per_pod
 from opsframe.operators.pods import attach_pod_context, component_health, first_pods, pair_previous_logs
 from opsframe.plans.knowledge import attach_knowledge
+from opsframe.scratch import written
 
 
 def _component_lines(lines: DataFrame, matches: DataFrame, max_pods: int | None = None) -> DataFrame:
@@ -42,7 +43,7 @@ def diagnose(components: DataFrame, matches: DataFrame, lines: DataFrame, events
     """
     if wanted:
         components = components.where(F.col("component").isin(*wanted) | F.exists(F.array(*map(F.lit, wanted)), lambda w: F.array_contains("roles", w)))
-    errors = component_errors(lines, matches, tail)
+    errors = written(component_errors(lines, matches, tail), "errors")  # a row for each component and category
     found = errors.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_categories"), F.array_sort(F.collect_set("category")).alias("categories"))
     scanned = lines_scanned(attach_pod_context(lines, matches), ("leaf",))
     health = component_health(components, matches).join(found, "leaf", "left").join(scanned, "leaf", "left").fillna(0, ["n_categories", "lines_scanned"])
