@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from opsframe.functions.timestamps import parse_log_timestamp
 from opsframe.operators.ordered import RANGE_ROWS, numbered, with_range
+from opsframe.scratch import written
 
 TIERS = ("absolute_tz_known", "absolute_tz_unknown", "time_only")
 SETS = {"components": "component", "pods": "pod", "releases": "release", "categories": "category", "severities": "severity", "sources": "source"}
@@ -38,8 +39,8 @@ def order_timeline(timeline: DataFrame, max_entries: int | None = None) -> DataF
 
 
 def number_timeline(timeline: DataFrame, name: str = "place", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Rows with their places in that order, numbered in ranges of it."""
-    return numbered(timeline, ORDER, name, range_rows=range_rows)
+    """Rows with their places in that order, numbered in ranges of it; their times are parsed once, as the rows are written."""
+    return numbered(written(timeline, "timeline"), ORDER, name, range_rows=range_rows)
 
 
 def _seconds(timeline: DataFrame) -> DataFrame:
