@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from opsframe.functions.classify import strip
 from opsframe.functions.match import glob_pattern
 from opsframe.scratch import delete, scratch_path, write_to
-from opsframe.sources.lines import matching_lines
+from opsframe.sources.lines import listed, matching_lines
 
 # Folder names that searches do not enter, whatever their case.
 EXCLUDED = (".venv", "venv", "env", "__pycache__", ".git", "node_modules", "$RECYCLE.BIN", "System Volume Information")
@@ -152,7 +152,7 @@ def grep_files(spark: SparkSession, root: str, text: str, extensions: tuple[str,
     Files and folders whose names begin with a dot or an underscore are invisible
     here, as they are to all of Spark's readers.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).select("path", "length").withColumn("name", F.substring_index("path", "/", -1))
+    files = listed(spark, lambda: spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)).select("path", "length").withColumn("name", F.substring_index("path", "/", -1))
     wanted = with_extension(files, extensions)
     skipped = files.join(wanted.select("path"), "path", "left_anti").withColumn("reason", F.lit("extension"))
     if max_bytes is not None:
