@@ -17,8 +17,12 @@ from opsframe.llm.textkit import Words, chunks, roll, text_buffers
 ORDER = 4
 _BITS = 16
 _MASK = [(1 << _BITS * n) - 1 for n in range(ORDER + 1)]
-#: n-grams of each order that a language's arrays hold, about; beyond that a model is pruned and its back-off weights are renewed.
+#: n-grams of each order that a language's ``KneserNey`` holds, about; beyond that it is pruned and its back-off weights are renewed.
 TABLE_SIZE = 1 << 20
+#: n-grams of the highest level, over all languages, whose costs are sent to the tasks (12 bytes each); those of all others are joined.
+HELD = 1 << 22
+#: Costs are whole numbers of these parts of a bit, so their sums do not depend on the order or on what is held.
+PARTS = 1 << 20
 #: Different n-grams that a task gathers before it passes them on.
 GATHER = 1 << 21
 
@@ -233,6 +237,9 @@ def pruned(model: DataFrame, size: int = TABLE_SIZE) -> DataFrame:
 def fit_models(counts: DataFrame, size: int = TABLE_SIZE) -> dict[str, object]:
     """A broadcast ``KneserNey`` for each language, of at most about ``size`` n-grams a level (some 20 MB each); see ``pruned``.
 
+    For texts that were not counted.  ``quality_rules`` scores the counted texts
+    themselves, by ``gram_costs``, which cuts nothing.
+
     The rows are written by language, so that each is read by itself; the driver
     takes the arrays of one language at a time, and a task loads those of the
     languages that its rows have.
@@ -245,6 +252,38 @@ def fit_models(counts: DataFrame, size: int = TABLE_SIZE) -> dict[str, object]:
     return out
 
 
+def gram_costs(counts: DataFrame, held: int = HELD) -> tuple[object, DataFrame | None]:
+    """What every n-gram costs under its language's whole model, in ``PARTS`` of a bit.
+
+    A text that was counted has no n-gram outside the highest level, so this level
+    is all that scores it and nothing is backed off.  Returns a broadcast of the most
+    frequent n-grams, ``held`` over all languages at most, as sorted arrays of codes
+    and costs by language, and all other n-grams as ``lang, code, cost``, or None
+    where there are none.
+    """
+    grams = kneser_ney(counts).where((F.col("level") == ORDER) & F.col("n").isNotNull())
+    cost = F.round(-F.col("logp") * PARTS).cast("int")
+    grams = written(grams.select("lang", "code", F.floor(4 * F.log2("n")).cast("int").alias("step"), cost.alias("cost")), "costs")
+    least, total = None, 0
+    steps = grams.groupBy("step").count().orderBy(F.desc("step")).collect()  # some hundred rows
+    for r in steps:
+        total += r["count"]
+        if total > held:
+            break
+        least = r.step
+    inside = grams.where(F.col("step") >= least) if least is not None else grams.limit(0)
+    table = inside.select("lang", "code", "cost").toArrow()
+    names, of = np.unique(np.array(table.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+    code, costs = table.column("code").to_numpy().view(np.uint64), table.column("cost").to_numpy()
+    order = np.lexsort((code, of))
+    ends = np.cumsum(np.bincount(of, minlength=len(names)))[:-1]
+    parts = zip(np.split(code[order], ends), np.split(costs[order], ends), strict=True)
+    sent = counts.sparkSession.sparkContext.broadcast({str(n): p for n, p in zip(names, parts)})
+    if total <= held:
+        return sent, None
+    return sent, (grams.where(F.col("step") < least) if least is not None else grams).select("lang", "code", "cost")
+
+
 def _repeated_words(words: Words, width: int = 8) -> np.ndarray:
     """Words of each text that lie in windows of ``width`` words found twice or more in the text."""
     rolled, out = roll(words.hash, width), np.zeros(len(words.counts), np.int64)
@@ -271,18 +310,38 @@ def _repeated_lines(text: str) -> int:
 _SYMBOL_BYTES = np.zeros(256, bool)
 _SYMBOL_BYTES[list(b"#*$%&|<>")] = True
 
-_BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double"
+_BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, cost long"
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
 
+def _costs(code: np.ndarray, row: np.ndarray, n_rows: int, held: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The costs of each row's held n-grams together, and its other n-grams: row, code and how often."""
+    keys, costs = held
+    if len(keys):
+        i = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+        hit = keys[i] == code
+        sums = np.bincount(row[hit], costs[i[hit]], n_rows).astype(np.int64)  # whole numbers, exact in doubles up to 2 ** 53
+    else:
+        hit, sums = np.zeros(len(code), bool), np.zeros(n_rows, np.int64)
+    row, code = row[~hit], code[~hit]
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))[: len(row)])
+    return sums, (row[first], code[first], np.diff(np.concatenate((first, [len(row)]))))
 
-def measure(docs: DataFrame, models: dict[str, object], text_col: str, lang_col: str, id_col: str) -> DataFrame:
-    """The base counts of every text, its cross-entropy in bits a character (null with fewer than ORDER) and a hash of it."""
+
+def measure(docs: DataFrame, costs: object, text_col: str, lang_col: str, id_col: str) -> DataFrame:
+    """The base counts of every text, a hash of it, how many n-grams it has, the costs of those that ``costs`` holds and the ``others``.
+
+    ``row`` is a number of the row; it holds once the result is written.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_lang = models
         for batch in batches:
             raw, offsets = text_buffers(batch.column("text"))
             langs = [x.as_py() or "" for x in batch.column("lang")]
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            rest = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for lo, hi in chunks(raw, offsets):
                 r, o = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 words = Words(r, o, lower=False)
@@ -291,32 +350,49 @@ def measure(docs: DataFrame, models: dict[str, object], text_col: str, lang_col:
                 upto = np.concatenate(([0], np.cumsum(chars)))
                 marks = np.concatenate(([0], np.cumsum(_SYMBOL_BYTES[r])))
                 code, have = _codes(r, o)
-                bits = np.full(hi - lo, np.nan)
-                first = np.concatenate(([0], np.cumsum(have)))
-                names = langs[lo:hi]
-                for name in set(names):
-                    rows = np.flatnonzero([x == name for x in names] & (have > 0))
-                    if name not in by_lang or not len(rows):
-                        continue
-                    mine = np.repeat(np.isin(np.arange(hi - lo), rows), have)
-                    cost = -by_lang[name].value.score(code[mine])
-                    at = np.concatenate(([0], np.cumsum(have[rows])))[:-1]
-                    bits[rows] = np.add.reduceat(cost.astype(np.float64), at) / have[rows]
-                assert first[-1] == len(code)
+                cost = np.zeros(hi - lo, np.int64)
+                row = np.repeat(np.arange(hi - lo), have)
+                names = np.array(langs[lo:hi], object)
+                for name in set(langs[lo:hi]):
+                    mine = (names == name)[row]
+                    sums, (at, others, n) = _costs(code[mine], row[mine], hi - lo, costs.value.get(name, _NONE))
+                    cost += sums
+                    rest.append((at + lo, others, n))
                 lines = np.array([_repeated_lines(x.as_py() or "") for x in batch.column("text")[lo:hi]], np.int64)
-                for c, v in zip(cols, (words.counts, upto[words.bounds[1:]] - upto[words.bounds[:-1]], marks[o[1:]] - marks[o[:-1]], lines, _repeated_words(words), bits), strict=True):
+                for c, v in zip(cols, (words.counts, upto[words.bounds[1:]] - upto[words.bounds[:-1]], marks[o[1:]] - marks[o[:-1]], lines, _repeated_words(words), have, cost), strict=True):
                     c.append(v)
-            joined = [np.concatenate(c) if c else np.zeros(0) for c in cols]
-            kinds = [pa.int64()] * 5 + [pa.float64()]
-            arrays = [pa.array(v.astype(np.float64) if k == pa.float64() else v.astype(np.int64), k, from_pandas=True) for v, k in zip(joined, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("same"), *arrays], ["doc_id", "lang", "same", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits"])
-
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
+            arrays = [pa.array((np.concatenate(c) if c else np.zeros(0)).astype(np.int64)) for c in cols]
+            at, others, n = (np.concatenate(x) for x in zip(*rest, strict=True))
+            order = np.argsort(at, kind="stable")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(langs)))))
+            others = pa.StructArray.from_arrays([pa.array(others[order].view(np.int64)), pa.array(n[order].astype(np.int64))], ["code", "n"])
+            others = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), others)
+            own = [batch.column(c) for c in ("row", "doc_id", "lang", "same")]
+            yield pa.RecordBatch.from_arrays([*own, *arrays, others], ["row", "doc_id", "lang", "same", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "cost", "others"])
+
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, lang string, same long, {_BASE_SCHEMA}")
+    return d.mapInArrow(run, f"row long, doc_id {kind}, lang string, same long, {_BASE_SCHEMA}, others array<struct<code:long,n:long>>")
+
 
+def scored(docs: DataFrame, text_col: str, lang_col: str, id_col: str, held: int = HELD) -> DataFrame:
+    """``measure`` with ``bits``: each text's cross-entropy a character under the whole model of its language, null with fewer than ORDER characters.
 
-def quality_rules(docs: DataFrame, width: float = 4.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    The costs of n-grams that are not held are joined, so ``held`` decides only
+    what is shuffled, never the result.
+    """
+    costs, rest = gram_costs(ngram_counts(docs, text_col, lang_col), held)
+    d = written(measure(docs, costs, text_col, lang_col, id_col), "quality")
+    bits = lambda cost: F.when(F.col("n_grams") > 0, cost / F.col("n_grams") / PARTS)
+    if rest is None:
+        return d.withColumn("bits", bits(F.col("cost"))).drop("row", "others", "cost", "n_grams")
+    seen = d.select("row", F.coalesce("lang", F.lit("")).alias("lang"), F.explode("others").alias("o")).select("row", "lang", "o.code", "o.n")
+    more = seen.join(rest.withColumnRenamed("cost", "each"), ["lang", "code"]).groupBy("row").agg(F.sum(F.col("n") * F.col("each")).alias("more"))
+    whole = d.drop("others").join(more, "row", "left")
+    return written(whole.withColumn("bits", bits(F.col("cost") + F.coalesce("more", F.lit(0)))).drop("row", "more", "cost", "n_grams"), "scored")
+
+
+def quality_rules(docs: DataFrame, width: float = 4.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = HELD) -> DataFrame:
     """Base counts of every text and the verdict of the language's perplexity band.
 
     A modified Kneser-Ney model of 4 characters is counted over all texts of each
@@ -328,9 +404,9 @@ def quality_rules(docs: DataFrame, width: float = 4.0, id_col: str = "doc_id", t
     n_repeat_words, base_failed, bits, kept``, a row for each input row.  Null
     texts count as empty and fail the base rules; null languages form a language
     of their own; texts without an n-gram have null ``bits`` and no band verdict.
+    ``held``: n-grams that tasks keep in memory; the result does not depend on it.
     """
-    models = fit_models(ngram_counts(docs, text_col, lang_col))
-    d = written(measure(docs, models, text_col, lang_col, id_col), "quality")
+    d = scored(docs, text_col, lang_col, id_col, held)
     once = d.groupBy("lang", "same").agg(F.first("bits").alias("bits"))  # copies of a text do not move a language's quartiles
     q = once.groupBy("lang").agg(F.percentile_approx("bits", [0.25, 0.75], 1000).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
