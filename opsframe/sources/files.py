@@ -19,6 +19,8 @@ EXCLUDED = (".venv", "venv", "env", "__pycache__", ".git", "node_modules", "$REC
 ENTRY = "path string, name string, parent string, is_folder boolean, length long, modified timestamp, listed boolean, error string"
 #: Folders that one listing task enters below the folder it was given before it hands the rest on.
 FOLDERS_AT_ONCE = 200
+#: Entries after which a listing task hands out a batch.
+AT_ONCE = 10_000
 
 
 def _children(folder: str) -> list[tuple[str, bool, int | None, datetime | None]]:
@@ -35,6 +37,9 @@ def _walk(excluded: frozenset[str], most: int):
             for root in batch.column("path").to_pylist():
                 rows, waiting, entered = [], [root], 0
                 while waiting:
+                    if len(rows) >= AT_ONCE:
+                        yield _entries(rows)
+                        rows = []
                     folder = waiting.pop()
                     if entered >= most:  # another task goes on here
                         rows.append((folder, folder.rsplit("/", 1)[-1], None, True, None, None, False, None))
@@ -52,9 +57,6 @@ def _walk(excluded: frozenset[str], most: int):
                             rows.append((path, name, folder, False, size, at, False, None))
                         elif name.lower() not in excluded:
                             waiting.append(path)
-                    if len(rows) >= 10_000:
-                        yield _entries(rows)
-                        rows = []
                 yield _entries(rows)
 
     return walk
