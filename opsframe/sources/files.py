@@ -33,9 +33,10 @@ def _children(folder: str) -> list[tuple[str, bool, int | None, datetime | None]
 
 def _walk(excluded: frozenset[str], most: int):
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []  # of many roots: a batch for each costs more than to list it
         for batch in batches:
             for root in batch.column("path").to_pylist():
-                rows, waiting, entered = [], [root], 0
+                waiting, entered = [root], 0
                 while waiting:
                     if len(rows) >= AT_ONCE:
                         yield _entries(rows)
@@ -57,7 +58,7 @@ def _walk(excluded: frozenset[str], most: int):
                             rows.append((path, name, folder, False, size, at, False, None))
                         elif name.lower() not in excluded:
                             waiting.append(path)
-                yield _entries(rows)
+        yield _entries(rows)
 
     return walk
 
